@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framehouse.llm import url_filter
+from framehouse.llm import packing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter}
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op6_best_fit_packing": op6_best_fit_packing,
+}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
