@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from framehouse.llm import packing, url_filter
+from framehouse.llm import packing, token_shards, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +20,20 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.materialise(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_no", "position"]
+    return warc.capture_history(_table(spark, sf_dir, "pages")).select(columns)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_shards": op7_token_shards,
+    "op10_warc_index": op10_warc_index,
 }
 
 ORACLE_SQL = {
