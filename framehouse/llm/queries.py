@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framehouse.llm import packing, token_shards, url_filter, warc
+from framehouse.llm import packing, quality, token_shards, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.materialise(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_no", "position"]
     return warc.capture_history(_table(spark, sf_dir, "pages")).select(columns)
@@ -31,8 +39,10 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_shards": op7_token_shards,
+    "op8_toxicity": op8_toxicity,
     "op10_warc_index": op10_warc_index,
 }
 
