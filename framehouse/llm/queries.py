@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framehouse.llm import packing, quality, token_shards, toxicity, url_filter, warc
+from framehouse.llm import nearest, packing, quality, token_shards, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_no", "position"]
     return warc.capture_history(_table(spark, sf_dir, "pages")).select(columns)
@@ -43,6 +47,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_shards": op7_token_shards,
     "op8_toxicity": op8_toxicity,
+    "op9_nearest": op9_nearest,
     "op10_warc_index": op10_warc_index,
 }
 
