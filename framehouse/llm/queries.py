@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framehouse.llm import nearest, packing, quality, token_shards, toxicity, url_filter, warc
+from framehouse.llm import decontaminate, nearest, packing, quality, token_shards, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_decontamination": op5_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_shards": op7_token_shards,
     "op8_toxicity": op8_toxicity,
@@ -76,4 +82,20 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM judged""",
+    "op5_decontamination": r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)
+  UNION ALL SELECT 'b', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+sh AS (SELECT kind, id, len(w) - 4 AS total, unnest(range(0, len(w) - 4)) AS i, w FROM words WHERE len(w) >= 5),
+pos AS (SELECT kind, id, total, i, array_to_string(w[i + 1:i + 5], ' ') AS s FROM sh),
+starts AS (
+  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.total, b.total AS n, greatest(d.i - b.i, 0) AS f, least(d.i - b.i + b.total, d.total) AS t
+  FROM pos d JOIN pos b ON d.s = b.s WHERE d.kind = 'd' AND b.kind = 'b'),
+have AS (SELECT doc_id, item_id, n, f, t, s, count(*) AS c FROM starts JOIN pos ON kind = 'd' AND id = doc_id AND i >= f AND i < t GROUP BY ALL),
+item AS (SELECT id AS item_id, s, count(*) AS ic FROM pos WHERE kind = 'b' GROUP BY ALL),
+sim AS (
+  SELECT doc_id, item_id, f, t, sum(least(c, ic)) AS common, any_value(n) AS n FROM have JOIN item USING (item_id, s) GROUP BY doc_id, item_id, f, t),
+ok AS (SELECT doc_id, item_id, f, t, common / (t - f + n - common) AS similarity FROM sim)
+SELECT doc_id, item_id, f AS start, t - f + 4 AS n_words, similarity FROM ok WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, f) = 1""",
 }
