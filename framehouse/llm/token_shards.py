@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framehouse.llm import files
-from framehouse.llm.tokens import default_tokenizer, word_encoder
+from framehouse.llm.tokens import default_tokenizer, slices, word_encoder
 from framehouse.plans.lineage import fresh_path, written
 
 LENGTH, SHARD_BYTES, KEY, ROUNDS, END_ID = 512, 16 << 20, 0x5EED, 6, 0
@@ -61,7 +61,7 @@ def sequences(docs: DataFrame, tokenizer: str | None = None, length: int = LENGT
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = word_encoder(path), 0, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches):
             docs_, pieces, sizes, data = [], [], [], []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 short = np.append(np.frombuffer(ids, "<u4"), END_ID)

@@ -1,17 +1,25 @@
-"""Token ids of whole texts by a public tokenizer file, fast enough for a corpus: chunks between plain spaces are encoded once and remembered."""
+"""Token ids of whole texts by a public tokenizer file, fast enough for a corpus: a word is encoded once and remembered."""
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Chunks of these letters alone are cut into words here, as the word tokenizer's own pattern cuts them; all others go to the tokenizer whole.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
-MOST = 600_000
+#: The same with the space that stands after a chunk.
+WORD_OR_END = re.compile(WORD.pattern.replace("[^0-9a", "[^ 0-9a") + "| ")
+#: Texts of such chunks alone, and the words of these texts.
+PLAIN_TEXT = re.compile(r"[ \n\t\r!-~À-ÖØ-öø-ÿ]*")
+TEXT_WORD = re.compile(WORD.pattern.replace("[^0-9a", r"[^ \n\t\r0-9a"))
+NO_ID, STEP = 0xFFFFFFFF, 512
+MOST = 500_000
 
 
 def default_tokenizer() -> str:
@@ -49,31 +57,58 @@ class WordEncoder:
                 self.words.update(zip(part, (x.tobytes() for x in self._ids(part))))
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.chunks) > MOST:
-            self.chunks = {"": b""}
         if len(self.words) > MOST:
             self.words = {}
-        plain = {c: WORD.findall(c.lower()) for c in chunks if PLAIN.fullmatch(c) and "<|" not in c}
-        self._learn_words(list({w for ws in plain.values() for w in ws} - self.words.keys()))
-        known = self.words
-        self.chunks.update((c, b"".join([known[w] for w in ws])) for c, ws in plain.items())
-        if odd := [c for c in chunks if c not in plain]:
+        plain, odd = [], []
+        for c in chunks:
+            (plain if PLAIN.fullmatch(c) and "<|" not in c else odd).append(c)
+        # All plain chunks are cut in one pass, with a space, which no word holds, after each.
+        words = WORD_OR_END.findall(" ".join(plain).lower())
+        self._learn_words(list(set(words) - self.words.keys() - {" "}))
+        self.words[" "] = b"\xff\xff\xff\xff"  # no id
+        ids = np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
+        ends = np.flatnonzero(ids == NO_ID)
+        data, cuts = ids.tobytes(), [-4, *(ends * 4).tolist(), len(ids) * 4]
+        if plain:
+            self.chunks.update((c, data[a + 4 : b]) for c, a, b in zip(plain, cuts, cuts[1:], strict=False))
+        if odd:
             self.chunks.update(zip(odd, (x.tobytes() for x in self._ids(odd))))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text (null: none), a bounded number of chunks at a time."""
+        """Little-endian unsigned 32-bit ids of each text (null: none), a bounded number of texts at a time."""
         out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at : at + 256]]
-            wanted = set().union(*cut)
-            if new := wanted - self.chunks.keys():
-                self._learn(list(new))
-                if missing := wanted - self.chunks.keys():  # forgotten just now
-                    self._learn(list(missing))
-            ids = self.chunks
-            out += [b"".join([ids[c] for c in x]) for x in cut]
+        for at in range(0, len(texts), STEP):
+            part = [t or "" for t in texts[at : at + STEP]]
+            odd = [k for k, t in enumerate(part) if not PLAIN_TEXT.fullmatch(t) or "<|" in t]
+            for k in odd:
+                part[k] = self._chunked(part[k])
+            cut = [TEXT_WORD.findall(t.lower()) if isinstance(t, str) else () for t in part]
+            new = set().union(*cut) - self.words.keys()
+            if new:
+                if len(self.words) > MOST:
+                    self.words = {}
+                    new = set().union(*cut)
+                self._learn_words(list(new))
+            ids = self.words
+            out += [b"".join(map(ids.__getitem__, x)) if isinstance(t, str) else t for t, x in zip(part, cut)]
         return out
 
+    def _chunked(self, text: str) -> bytes:
+        """A text with other letters or signs: its plain chunks by words, the others by the tokenizer itself."""
+        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if len(self.chunks) > MOST:
+            self.chunks = {"": b""}
+        if new := set(chunks) - self.chunks.keys():
+            self._learn(list(new))
+        return b"".join(map(self.chunks.__getitem__, chunks))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = STEP) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
