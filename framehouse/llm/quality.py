@@ -176,3 +176,9 @@ def classify(docs: DataFrame, labels: DataFrame, grade: str = "quality", at_leas
     model = train(docs, labels, grade, sample)
     scored = score(docs.select("doc_id", "text"), model, at_least)
     return scored.select("doc_id", F.col("quality_expected").alias("expected_grade"), F.col("quality_tail").alias("tail_probability"), (F.col("quality_tail") >= 0.5).alias("selected"))
+
+
+def select(docs: DataFrame, model: OrdinalModel, at_least: int = 1, tail: float = 0.5) -> DataFrame:
+    """The rows of docs, whole, whose probability of a grade of at_least is tail or more; its columns may have any names."""
+    held = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return score(held, model, at_least).where(F.col("quality_tail") >= tail).select("__row.*")

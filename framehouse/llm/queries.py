@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framehouse.llm import decontaminate, nearest, packing, quality, repeats, token_shards, toxicity, url_filter, warc
+from framehouse.llm import decontaminate, near_copies, nearest, packing, quality, repeats, token_shards, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "start", "n_words", "similarity")
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_repeats": op2_repeats,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_ngram_join": op4_ngram_join,
     "op5_decontamination": op5_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_shards": op7_token_shards,
