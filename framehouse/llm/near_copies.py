@@ -52,11 +52,11 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The upper halves of the least value of each hash function."""
+    """The upper 16 bits of the least value of each hash function: chance agreements only let more pairs stay."""
     least = np.full(HASHES, np.iinfo(np.uint64).max)
     for a in range(0, len(shingles), 256):
         least = np.minimum(least, (shingles[a : a + 256, None] * FACTORS[0] + FACTORS[1]).min(0))
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return (least >> np.uint64(48)).astype(np.uint16)
 
 
 def least_matches(similarity: float, tolerance: float = TOLERANCE) -> list[int]:
@@ -94,7 +94,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 s = shingle_set(np.asarray(words.values).view(np.uint64))
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s).astype("<u4").tobytes() if len(s) else None)
+                sigs.append(signature(s).astype("<u2").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], ["doc_id", "text_key", "set_key", "n", "sig"])
 
     return shingled(with_text_key(docs)).select("doc_id", "text_key", "words").mapInArrow(run, "doc_id long, text_key binary, set_key binary, n int, sig binary")
@@ -204,7 +204,7 @@ def linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 cids, data = (c.to_pylist() for c in batch.slice(a, 2048).columns)
-                x = band_hashes(np.frombuffer(b"".join(data), "<u4").reshape(len(data), HASHES))
+                x = band_hashes(np.frombuffer(b"".join(data), "<u2").reshape(len(data), HASHES))
                 cols = [np.tile(np.arange(BANDS, dtype=np.int32), len(data)), x.ravel(), np.repeat(np.array(cids, np.int64), BANDS)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["band", "value", "cid"])
 
@@ -219,7 +219,7 @@ def linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     def prune(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         names = table.column_names
         cols = {k: table.column(k).to_numpy() for k in names if k != "sig"}
-        data = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
+        data = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
         values = band_hashes(data)
         at, partners = [], []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
