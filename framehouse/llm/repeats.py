@@ -168,7 +168,8 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """tid, spans (first and end window, one after the other) of the texts without copies, for those that have any."""
+    """tid, found of the texts with repeated anchors: segments (start, n), and for judged ones (start, 0, spans), which are
+    the first and end of each run of repeated windows, from the segment's start."""
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -185,11 +186,11 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     long_ones = texts.where(F.octet_length("text") >= width).select("tid", F.encode("text", "UTF-8").alias("data"))
     anchors = written(long_ones.mapInArrow(anchor, "gram long, seg long, tid long, start int, n int"), "repeat-anchors")
     counted = anchors.groupBy("gram").agg(F.count("*").alias("c"), (F.min("seg") != F.max("seg")).alias("differ")).where("c > 1")
-    places = written(anchors.join(counted, "gram").select("gram", "seg", "tid", "start", "n", "differ"), "repeat-places")
+    places = written(anchors.join(counted, "gram").select("gram", "seg", "tid", "start", "n", "differ"), "repeat-places")  # of repeated anchors alone
     # Distinct segments of anchors with different ones: the only ones whose bytes are looked at.
     kinds = places.where("differ").groupBy("gram", "seg").agg(F.min(F.struct("tid", "start", "n")).alias("p"), F.count("*").alias("copies"))
     wanted = kinds.groupBy("p.tid").agg(F.collect_list(F.struct("gram", "seg", "copies", "p.start", "p.n")).alias("cuts"))  # of one text at most its own anchors
-    cut = wanted.join(long_ones, "tid").select(F.explode("cuts").alias("x"), "data").select("x.gram", "x.seg", "x.copies", F.expr(f"substring(data, x.start + 1, x.n + {width - 1})").alias("bytes"))
+    cut = wanted.join(long_ones, "tid").select("tid", F.explode("cuts").alias("x"), "data").select("x.gram", "x.seg", "x.copies", "tid", "x.start", F.expr(f"substring(data, x.start + 1, x.n + {width - 1})").alias("bytes"))
     cut = written(cut, "repeat-segments")
     sized = cut.groupBy("gram").agg(F.sum(F.octet_length("bytes")).alias("size"))
     total, most = sized.agg(F.sum("size"), F.max("size")).first()
@@ -198,33 +199,34 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
         table = table.combine_chunks()
         found = repeated_windows(table.column("bytes").to_pylist(), table.column("copies").to_pylist(), width)
         spans = [runs(f).tolist() for f in found]
-        return pa.table({"gram": table.column("gram"), "seg": table.column("seg"), "spans": pa.array(spans, pa.list_(pa.int32()))})
+        return table.select(["tid", "start", "copies"]).append_column("spans", pa.array(spans, pa.list_(pa.int32())))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            for g, s, n, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for g, tid, start, n, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 raw = np.frombuffer(data, np.uint8)
                 at = np.arange(len(raw) - width + 1)
                 one, two = (hashes.of(hashes.sums(x), at, at + width).view(np.int64) for x in (raw, raw[::-1]))
-                cols = [pa.array(np.full(len(at), x, np.int64)) for x in (g, s, n)] + [pa.array(at.astype(np.int32)), pa.array(one), pa.array(two[::-1])]
-                yield pa.RecordBatch.from_arrays(cols, ["gram", "seg", "copies", "at", "one", "two"])
+                cols = [pa.array(np.full(len(at), x, np.int64)) for x in (g, tid, start, n)] + [pa.array(at.astype(np.int32)), pa.array(one), pa.array(two[::-1])]
+                yield pa.RecordBatch.from_arrays(cols, ["gram", "tid", "start", "copies", "at", "one", "two"])
 
     buckets = max(1, -(-(total or 0) // BUCKET_BYTES))
     fitting = cut if (most or 0) <= MOST_BYTES else cut.join(sized.where(F.col("size") <= MOST_BYTES), "gram", "left_semi")
     dealt = fitting.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-    answered = dealt.groupBy("bucket").applyInArrow(merge, "gram long, seg long, spans array<int>")
+    answered = dealt.groupBy("bucket").applyInArrow(merge, "tid long, start int, copies long, spans array<int>")
     if (most or 0) > MOST_BYTES:
-        hot = cut.join(sized.where(F.col("size") > MOST_BYTES), "gram", "left_semi").select("gram", "seg", "copies", "bytes")
-        each = written(hot.mapInArrow(windows, "gram long, seg long, copies long, at int, one long, two long"), "repeat-windows")
+        hot = cut.join(sized.where(F.col("size") > MOST_BYTES), "gram", "left_semi")
+        each = written(hot.select("gram", "tid", "start", "copies", "bytes").mapInArrow(windows, "gram long, tid long, start long, copies long, at int, one long, two long"), "repeat-windows")
         again = each.groupBy("gram", "one", "two").agg(F.sum("copies").alias("c")).where("c > 1")
-        held = each.join(again, ["gram", "one", "two"]).select("gram", "seg", F.array(F.col("at"), F.col("at") + 1).alias("one_span"))
-        answered = answered.unionByName(held.groupBy("gram", "seg").agg(F.flatten(F.array_sort(F.collect_list("one_span"))).alias("spans")))
-    answered = written(answered, "repeat-answers")
-    # Of equal segments all windows repeat; of the others those that the merge found.
-    even = places.where("NOT differ").select("tid", F.array(F.col("start"), F.col("start") + F.col("n")).alias("spans"))
-    odd = places.where("differ").join(answered, ["gram", "seg"]).where(F.size("spans") > 0).select("tid", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
-    return even.unionByName(odd).groupBy("tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
+        place = ["tid", F.col("start").cast("int").alias("start"), "copies"]
+        held = each.join(again, ["gram", "one", "two"]).select(*place, F.array(F.col("at"), F.col("at") + 1).alias("span"))
+        held = held.unionByName(hot.select(*place, F.array().cast("array<int>").alias("span")))  # those without any
+        answered = answered.unionByName(held.groupBy("tid", "start", "copies").agg(F.flatten(F.array_sort(F.collect_list("span"))).alias("spans")))
+    # All windows of a segment with copies repeat. One without has a place of its own, and the merge has judged it.
+    found = places.select("tid", "start", "n", F.lit(None).cast("array<int>").alias("spans"))
+    single = answered.where("copies = 1").select("tid", "start", F.lit(0).alias("n"), "spans")
+    return found.unionByName(single).groupBy("tid").agg(F.collect_list(F.struct("start", "n", "spans")).alias("found"))  # of one text
 
 
 def judged(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
@@ -236,7 +238,10 @@ def judged(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, as_text: bool
         for batch in batches:
             keys, sizes, gone, n_spans, kept = [], [], [], [], []
             for key, copies, data, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                pairs = np.array(found or [], np.int64).reshape(-1, 2)
+                own = {x["start"]: x["spans"] for x in found or () if x["spans"] is not None}
+                pairs = [(x["start"], x["start"] + x["n"]) for x in found or () if x["spans"] is None and x["start"] not in own]
+                pairs += [(at + a, at + b) for at, spans in own.items() for a, b in zip(spans[::2], spans[1::2])]
+                pairs = np.array(pairs, np.int64).reshape(-1, 2)
                 if copies > 1 and len(data) >= width:
                     pairs = np.array([[0, len(data) - width + 1]])
                 pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
@@ -249,7 +254,7 @@ def judged(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, as_text: bool
             types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, sizes, gone, n_spans, kept), types)], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    whole = texts.join(spans, "tid", "left").select("key", "copies", F.encode("text", "UTF-8").alias("data"), "spans")
+    whole = texts.join(spans, "tid", "left").select("key", "copies", F.encode("text", "UTF-8").alias("data"), "found")
     return whole.mapInArrow(cut, f"key binary, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
