@@ -161,4 +161,5 @@ def materialise(docs: DataFrame, path: str | None = None, tokenizer: str | None
     path = path or fresh_path(docs.sparkSession, "token-shards")
     index, total, each = write_shards(docs, path, tokenizer, length, key, shard_bytes)
     found = read_shards(docs.sparkSession, path, total, each, length)
-    return found.join(index, "slot").select("slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids_crc32")
+    # What the shards hold grows with the corpus though Spark takes it for small: never broadcast.
+    return found.join(index.hint("merge"), "slot").select("slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids_crc32")
