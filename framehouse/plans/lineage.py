@@ -34,6 +34,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """df written to the shared folder in as many buckets by ``column`` as a shuffle has partitions, and read again.
+
+    A join by that column then moves the other side alone. After a grouping by the same column each bucket is one file.
+    The table's name goes at once: the files and the buckets are all that the DataFrame needs.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = f"framehouse_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).format("parquet").saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # external: the files stay
+    return found
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a path that nothing reads any more, through the file system Spark itself uses."""
     jvm = spark.sparkContext._jvm
