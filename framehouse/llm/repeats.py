@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framehouse.plans.lineage import written
+from framehouse.plans.lineage import bucketed, written
 
 WIDTH, GRAM, STEP = 200, 64, 8
 BUCKET_BYTES, MOST_BYTES, SHARD_BYTES = 2 << 20, 8 << 20, 1 << 19
@@ -168,7 +168,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """tid, found of the texts with repeated anchors: segments (start, n), and for judged ones (start, 0, spans), which are
+    """key, found of the texts with repeated anchors: segments (start, n), and for judged ones (start, 0, spans), which are
     the first and end of each run of repeated windows, from the segment's start."""
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +183,16 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
                 types = (np.int64, np.int64, np.int64, np.int32, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(found, types)], ["gram", "seg", "tid", "start", "n"])
 
-    long_ones = texts.where(F.octet_length("text") >= width).select("tid", F.encode("text", "UTF-8").alias("data"))
-    anchors = written(long_ones.mapInArrow(anchor, "gram long, seg long, tid long, start int, n int"), "repeat-anchors")
+    long_ones = texts.where(F.octet_length("text") >= width).select("key", "tid", F.encode("text", "UTF-8").alias("data"))
+    anchors = written(long_ones.select("tid", "data").mapInArrow(anchor, "gram long, seg long, tid long, start int, n int"), "repeat-anchors")
     counted = anchors.groupBy("gram").agg(F.count("*").alias("c"), (F.min("seg") != F.max("seg")).alias("differ")).where("c > 1")
     places = written(anchors.join(counted, "gram").select("gram", "seg", "tid", "start", "n", "differ"), "repeat-places")  # of repeated anchors alone
     # Distinct segments of anchors with different ones: the only ones whose bytes are looked at.
     kinds = places.where("differ").groupBy("gram", "seg").agg(F.min(F.struct("tid", "start", "n")).alias("p"), F.count("*").alias("copies"))
-    wanted = kinds.groupBy("p.tid").agg(F.collect_list(F.struct("gram", "seg", "copies", "p.start", "p.n")).alias("cuts"))  # of one text at most its own anchors
-    cut = wanted.join(long_ones, "tid").select("tid", F.explode("cuts").alias("x"), "data").select("x.gram", "x.seg", "x.copies", "tid", "x.start", F.expr(f"substring(data, x.start + 1, x.n + {width - 1})").alias("bytes"))
+    # The texts are in buckets by key: with its key looked up by tid, a cut goes to its text and no text is moved.
+    ids = texts.select("tid", "key")
+    wanted = kinds.groupBy("p.tid").agg(F.collect_list(F.struct("gram", "seg", "copies", "p.start", "p.n")).alias("cuts")).join(ids, "tid")  # of one text at most its own anchors
+    cut = wanted.select("key", "cuts").join(long_ones, "key").select("tid", F.explode("cuts").alias("x"), "data").select("x.gram", "x.seg", "x.copies", "tid", "x.start", F.expr(f"substring(data, x.start + 1, x.n + {width - 1})").alias("bytes"))
     cut = written(cut, "repeat-segments")
     sized = cut.groupBy("gram").agg(F.sum(F.octet_length("bytes")).alias("size"))
     total, most = sized.agg(F.sum("size"), F.max("size")).first()
@@ -226,12 +228,13 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     # All windows of a segment with copies repeat. One without has a place of its own, and the merge has judged it.
     found = places.select("tid", "start", "n", F.lit(None).cast("array<int>").alias("spans"))
     single = answered.where("copies = 1").select("tid", "start", F.lit(0).alias("n"), "spans")
-    return found.unionByName(single).groupBy("tid").agg(F.collect_list(F.struct("start", "n", "spans")).alias("found"))  # of one text
+    of_text = found.unionByName(single).groupBy("tid").agg(F.collect_list(F.struct("start", "n", "spans")).alias("found"))  # of one text
+    return of_text.join(ids, "tid").select("key", "found")
 
 
 def judged(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept of each distinct text; key is the text's SHA-256, kept its other bytes or characters."""
-    texts = written(distinct_texts(docs), "repeat-texts")
+    texts = bucketed(distinct_texts(docs), "repeat-texts", "key")
     spans = repeated_spans(texts, width, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +257,7 @@ def judged(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, as_text: bool
             types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, sizes, gone, n_spans, kept), types)], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    whole = texts.join(spans, "tid", "left").select("key", "copies", F.encode("text", "UTF-8").alias("data"), "found")
+    whole = texts.join(spans, "key", "left").select("key", "copies", F.encode("text", "UTF-8").alias("data"), "found")
     return whole.mapInArrow(cut, f"key binary, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
@@ -271,9 +274,10 @@ def digest_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """All columns and rows of docs, text without its repeated bytes (a null text stays null) and n_chars, if any, of what is left."""
     found = judged(docs, width, as_text=True).select(F.col("key").alias("__key"), F.col("kept").alias("__kept"), F.col("n_removed").alias("__removed"))
-    joined = keyed(docs).join(written(found, "repeat-kept"), "__key")
-    text = F.when((F.col("__removed") > 0), F.col("__kept")).otherwise(F.col("text").cast("string"))
-    swapped = {"text": text}
+    # What is kept of a text is the whole of it where nothing went, so the text itself need not be moved.
+    rest = keyed(docs).withColumn("__had", F.col("text").isNotNull()).drop("text")
+    swapped = rest.join(written(found, "repeat-kept"), "__key").withColumn("text", F.when(F.col("__had"), F.col("__kept")))
     if "n_chars" in docs.columns:
-        swapped["n_chars"] = F.when(F.col("__removed") > 0, F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(swapped).select([F.col(f"`{c}`") for c in docs.columns])
+        n_chars = F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        swapped = swapped.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return swapped.select([F.col(f"`{c}`") for c in docs.columns])
