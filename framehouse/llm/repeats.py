@@ -185,7 +185,8 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
 
     long_ones = texts.where(F.octet_length("text") >= width).select("key", "tid", F.encode("text", "UTF-8").alias("data"))
     anchors = written(long_ones.select("tid", "data").mapInArrow(anchor, "gram long, seg long, tid long, start int, n int"), "repeat-anchors")
-    counted = anchors.groupBy("gram").agg(F.count("*").alias("c"), (F.min("seg") != F.max("seg")).alias("differ")).where("c > 1")
+    # Written, so that both sides of the join come straight from shuffles and a hot anchor's rows can be split among tasks.
+    counted = written(anchors.groupBy("gram").agg(F.count("*").alias("c"), (F.min("seg") != F.max("seg")).alias("differ")).where("c > 1"), "repeat-grams")
     places = written(anchors.join(counted, "gram").select("gram", "seg", "tid", "start", "n", "differ"), "repeat-places")  # of repeated anchors alone
     # Distinct segments of anchors with different ones: the only ones whose bytes are looked at.
     kinds = places.where("differ").groupBy("gram", "seg").agg(F.min(F.struct("tid", "start", "n")).alias("p"), F.count("*").alias("copies"))
