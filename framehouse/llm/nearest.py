@@ -125,16 +125,19 @@ def calibrated(c: Centroids, queries: np.ndarray, owner: np.ndarray, neighbours:
 
 
 def searched(vectors: np.ndarray, c: Centroids, sizes: np.ndarray, k: int, ratio: float, width: int) -> list[list[int]]:
-    """The lists of each query: at least LEAST_LISTS and enough to hold k others, then all within the distance ratio."""
+    """The lists of each query: at least LEAST_LISTS and enough to hold k others, then all within the distance ratio.
+
+    ``sizes`` count distinct vec_ids, one that stands in more than REPLICAS lists by a share in each.
+    """
     out = []
     for point in np.column_stack([vectors, np.zeros(len(vectors))]):
         found = c.nearest(point, width)
-        chosen, held = [], 0
+        chosen, held = [], 0.0
         for d, j in found:
             if len(chosen) >= LEAST_LISTS and held > REPLICAS * k + 1 and d > ratio * found[0][0]:
                 break
             chosen.append(j)
-            held += int(sizes[j])
+            held += float(sizes[j])
         if held <= REPLICAS * k + 1:
             chosen = list(range(len(sizes)))
         out.append(chosen)
@@ -142,17 +145,22 @@ def searched(vectors: np.ndarray, c: Centroids, sizes: np.ndarray, k: int, ratio
 
 
 def best_of(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the k best candidates of a block but itself: its number, ids and scores."""
+    """For each query the k best candidates of a block but itself, each id by its best row: its number, rows and scores."""
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    firsts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, int)
     for a in range(0, len(queries), 256):
         rough = queries[a : a + 256] @ vectors.T
         rough[own[a : a + 256, None] == ids[None, :]] = -np.inf
-        cut = np.partition(rough, -k, 1)[:, -k] if len(ids) > k else np.full(len(rough), -np.inf)
+        by_id = rough if len(firsts) == len(ids) else np.maximum.reduceat(rough, firsts, 1)
+        cut = np.partition(by_id, -k, 1)[:, -k] if len(firsts) > k else np.full(len(rough), -np.inf)
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0)))
         for i, row in enumerate(rough):
             at = np.flatnonzero((row >= cut[i] - slack[i]) & (row > -np.inf))
             score = (vectors[at] * queries[a + i]).sum(1)  # in one fixed order of addition, so equal vectors tie
-            best = np.lexsort((ids[at], -score))[:k]
-            yield a + i, ids[at][best], score[best]
+            best = np.lexsort((ids[at], -score))
+            best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])[:k]]
+            yield a + i, order[at][best], score[best]
 
 
 def clean(embeddings: DataFrame) -> DataFrame:
@@ -173,12 +181,12 @@ def probed(vectors: DataFrame, c: Centroids, k: int) -> tuple[float, int]:
         for f in frames:
             if len(f):
                 ids, v = f["vec_id"].to_numpy(), f["v"]
-                where = pd.Series(range(len(ids)), ids)[~pd.Index(ids).duplicated()]
-                for i, best, score in best_of(queries, ids, np.array(v.tolist()), own, k):
-                    yield pd.DataFrame({"probe": i, "vec_id": best, "score": score, "v": v.iloc[where.loc[best]].to_numpy()})
+                for i, rows, score in best_of(queries, ids, np.array(v.tolist()), own, k):
+                    yield pd.DataFrame({"probe": i, "vec_id": ids[rows], "score": score, "v": v.iloc[rows].to_numpy()})
 
     order = Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id")
     best = vectors.mapInPandas(exact, "probe int, vec_id long, score double, v array<double>")
+    best = best.groupBy("probe", "vec_id").agg(F.max("score").alias("score"), F.max_by("v", F.struct("score", "v")).alias("v"))  # an id's rows stand in many blocks
     truth = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("probe", "v").toPandas()
     return calibrated(c, queries, truth["probe"].to_numpy(), np.array(truth["v"].tolist()))
 
@@ -187,7 +195,7 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, sample: int =
     """query_id, rank, vec_id, score: queries are the rows whose vec_id is divisible by ``every``."""
     spark = embeddings.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
-    vectors = clean(embeddings)
+    vectors = written(clean(embeddings).dropDuplicates(["vec_id", "v"]), "ann-vectors")  # repeated rows add nothing
     stats = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm2")).first()
     if not stats.n:
         return spark.createDataFrame([], out)
@@ -202,8 +210,11 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, sample: int =
                 yield f.assign(list=chosen).explode("list").astype({"list": "int32"})[["list", "vec_id", "v"]]
 
     postings = written(vectors.mapInPandas(index, "list int, vec_id long, v array<double>"), "ann-postings")
-    counted = {r.list: r.n for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each centroid
-    sizes = np.array([counted.get(i, 0) for i in range(len(model.value.points))])
+    listed = postings.groupBy("list", "vec_id").agg(F.count("*").alias("n")).withColumn("lists", F.count("*").over(Window.partitionBy("vec_id")))
+    share = F.least(F.lit(1.0), F.lit(REPLICAS) / F.col("lists"))  # so that no set of lists counts a vec_id more than REPLICAS times
+    per_list = listed.groupBy("list").agg(F.sum("n").alias("n"), F.sum(share).alias("ids")).collect()  # a row for each centroid
+    counted, distinct = {r.list: r.n for r in per_list}, {r.list: r.ids for r in per_list}
+    sizes = np.array([distinct.get(i, 0.0) for i in range(len(model.value.points))])
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -218,15 +229,15 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, sample: int =
     splits = spark.createDataFrame([(i, -(-n // part), -(-wanted[i] // part)) for i, n in counted.items() if i in wanted] or [(-1, 1, 1)], "list int, n_parts int, q_parts int")
     splits = F.broadcast(splits)
     every_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = postings.join(splits, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("n_parts")).cast("int").alias("p"), every_of("q_parts").alias("q"), "vec_id", "v")
+    left = postings.join(splits, "list").select("list", F.pmod(F.xxhash64("vec_id", "v"), F.col("n_parts")).cast("int").alias("p"), every_of("q_parts").alias("q"), "vec_id", "v")
     right = routed.join(splits, "list").select("list", every_of("n_parts").alias("p"), F.pmod(F.xxhash64("vec_id"), F.col("q_parts")).cast("int").alias("q"), "vec_id", "v")
 
     def meet(key, cands: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(cands) and len(queries):
-            qid = queries["vec_id"].to_numpy()
-            for i, ids, scores in best_of(np.array(queries["v"].tolist()), cands["vec_id"].to_numpy(), np.array(cands["v"].tolist()), qid, k):
-                rows.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids, "score": scores}))
+            qid, ids = queries["vec_id"].to_numpy(), cands["vec_id"].to_numpy()
+            for i, at, scores in best_of(np.array(queries["v"].tolist()), ids, np.array(cands["v"].tolist()), qid, k):
+                rows.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[at], "score": scores}))
         return pd.concat(rows) if rows else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     key = ["list", "p", "q"]

@@ -53,3 +53,19 @@ def test_hot_vector_is_split_and_ties_go_to_smaller_ids(spark):
     got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), part=32).collect()
     want = brute(rows, 20, 20)
     assert {(r.query_id, r.rank, r.vec_id) for r in got} == {(q, k + 1, a) for q, x in want.items() for k, (a, _) in enumerate(x)}
+
+
+def test_repeated_ids_leave_room_for_others(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, float(x)]) for i, x in enumerate(rng.uniform(0, 1, 60))]
+    rows += [(1, [3.0, 1.0])] * 30 + [(3, [2.0, 1.0 + j / 64]) for j in range(30)]  # of equal and of different vectors
+    got = {}
+    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), part=16).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    vectors = {}
+    for i, v in rows:
+        vectors.setdefault(i, []).append(v)
+    for q in (0, 20, 40):
+        score = {i: max(float(np.dot(v, vectors[q][0])) for v in vs) for i, vs in vectors.items() if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert got[q].keys() == set(want) and all(abs(got[q][i] - score[i]) < 1e-12 for i in want)
