@@ -36,7 +36,7 @@ MOST = 1_000_000
 
 def chunk_buckets(chunk: str) -> tuple[int, int]:
     """The bucket of the word and that of its shape, in which runs of like letters are one sign."""
-    shape = chunk[:40]
+    shape = chunk
     for sign, run in zip("aA0", LETTERS):
         shape = run.sub(sign, shape)
     return zlib.crc32(chunk.lower().encode("utf-8", "surrogatepass")) % BUCKETS, zlib.crc32(b"shape " + shape.encode("utf-8", "surrogatepass")) % BUCKETS

@@ -2,7 +2,8 @@
 
 Vectors and softmax are trained jointly in numpy. A text is read in windows of a few words and takes the window that
 looks most toxic, in training as in scoring, so that a long text does not hide what a short one would show. A
-misspelled word that was never seen shares most n-grams, so most of its vector, with words that were.
+misspelled word that was never seen shares most n-grams, so most of its vector, with words that were. A run of more than
+LONG letters and digits is read as several words of LONG, which overlap so that no n-gram is lost.
 
 The model is fitted on the driver on at most ``each`` rows of either label (those with the smallest hash of doc_id,
 of texts of at most ``longest`` characters, never rows held out); every document is scored whole.
@@ -27,12 +28,22 @@ BUCKETS, WIDTH, WINDOW, GRAMS = 1 << 16, 8, 8, (3, 4, 5)
 EACH, LONGEST, EPOCHS, STEPS, BATCH, RATE, SEED = 2500, 20_000, 12, 200, 64, 0.5, 11
 FOLDS = 5
 WORD = re.compile(r"[^\W_]+")
+LONG = 60
 MOST = 1_000_000
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters and digits; those above LONG in overlapping pieces, which no n-gram falls between."""
+    words = WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    step = LONG - max(GRAMS) + 1
+    return [w[at : at + LONG] for w in words for at in range(0, max(1, len(w) - max(GRAMS) + 1), step)]
+
+
 def subwords(word: str) -> list[int]:
     """Buckets of the word within < and >, and of its n-grams."""
-    marked = f"<{word[:60]}>"
+    marked = f"<{word}>"
     parts = {marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))}
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in sorted(parts)]
 
@@ -61,7 +72,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     labels = np.asarray(labels, np.int64)
     if len(set(labels.tolist())) < 2:
         return SubwordModel(vectors * 0, output, np.array([0.0, 500.0 if len(labels) and labels[0] else -500.0]))
-    docs = [WORD.findall(t.lower()) for t in texts]
+    docs = [words_of(t) for t in texts]
     vocab: dict[str, int] = {}
     coded = [np.array([vocab.setdefault(w, len(vocab)) for w in d], np.int64) for d in docs]
     lists = [np.array(subwords(w), np.int32) for w in vocab]
@@ -127,7 +138,7 @@ class WordLogits(dict):
         return s
 
     def score(self, text: str | None) -> float:
-        words = WORD.findall((text or "").lower())
+        words = words_of(text or "")
         if len(self) > MOST:
             self.clear()
         z = self.bias

@@ -58,6 +58,21 @@ def test_misspellings_share_vectors():
     assert scores.score(f"{calm(10)} dreadfull horribble {calm(10)}") > 0.5 > scores.score(calm(500))
 
 
+def test_long_runs_are_read_to_their_end():
+    rng = np.random.default_rng(2)
+    calm = lambda n: " ".join(rng.choice(["river", "stone", "paper", "window", "garden", "silver"], n))
+    texts = [calm(30) for _ in range(60)] + [f"{calm(15)} dreadful horrible {calm(15)}" for _ in range(60)]
+    scores = toxicity.WordLogits(toxicity.fit(texts, np.array([0] * 60 + [1] * 60)))
+    plain = "riverstonepaperwindowgardensilver" * 4
+    assert scores.score(plain + "dreadfulhorrible" * 8) > 0.5 > scores.score(plain)
+    assert scores.score(plain + "dreadfulhorrible" * 8 + plain) > 0.5
+    run = "".join(map(chr, rng.integers(97, 123, 1000)))
+    for n in (59, 60, 61, 64, 65, 116, 117, 1000):
+        pieces = toxicity.words_of(run[:n])
+        assert {p[i : i + 5] for p in pieces for i in range(len(p) - 4)} == {run[i : i + 5] for i in range(n - 4)} and max(map(len, pieces)) <= 60
+    assert quality.chunk_buckets("a" * 40 + "-x1")[1] != quality.chunk_buckets("a" * 40 + "?x1")[1]
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (1, "", 2), (None, "a " * 60000, 3)], "doc_id long, text string, score int")
     one = spark.createDataFrame([(5, 1)], "doc_id long, toxic int")
