@@ -31,7 +31,7 @@ def test_recall_and_exact_scores(spark):
 
 
 def test_recall_with_many_lists(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "LIST", 20)
+    monkeypatch.setattr(nearest, "PER_ROOT", 8)
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(0, 1, 12) * rng.uniform(0.5, 2)).tolist()) for i in range(3000)]
     got = {(r.query_id, r.vec_id) for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
@@ -50,7 +50,7 @@ def test_edges(spark):
 
 def test_hot_vector_is_split_and_ties_go_to_smaller_ids(spark):
     rows = [(i, [1.0, 0.5] if i % 3 else [0.2, float(i % 7) / 10 + 0.1]) for i in range(400)]
-    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), part=32).collect()
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shelf=32).collect()
     want = brute(rows, 20, 20)
     assert {(r.query_id, r.rank, r.vec_id) for r in got} == {(q, k + 1, a) for q, x in want.items() for k, (a, _) in enumerate(x)}
 
@@ -60,7 +60,7 @@ def test_repeated_ids_leave_room_for_others(spark):
     rows = [(i, [1.0, float(x)]) for i, x in enumerate(rng.uniform(0, 1, 60))]
     rows += [(1, [3.0, 1.0])] * 30 + [(3, [2.0, 1.0 + j / 64]) for j in range(30)]  # of equal and of different vectors
     got = {}
-    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), part=16).collect():
+    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shelf=16).collect():
         got.setdefault(r.query_id, {})[r.vec_id] = r.score
     vectors = {}
     for i, v in rows:
