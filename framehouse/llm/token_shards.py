@@ -1,13 +1,15 @@
 """Token ids in training order: fixed-stride binary shards whose global order is a keyed permutation of all sequences.
 
-Every document is cut into sequences of ``length`` ids; sequence number i of n takes the global slot that a keyed
-Feistel network gives it, walking its cycle until the slot is below n. Slots are dealt by range to shards, so reading
-the shards one after another is reading in training order, and any slot's bytes are at a place known by arithmetic.
+The ids of documents, each followed by an end id, run on through sequences of ``length`` ids within a partition of the
+input, so that only a partition's last sequence may be shorter. Sequence number i of n takes the global slot that a
+keyed Feistel network gives it, walking its cycle until the slot is below n. Slots are dealt by range to shards, so
+reading the shards one after another is reading in training order, and any slot's bytes are at a place known by
+arithmetic. A table of documents tells which part of which document stands where.
 
 A record is ``2 + 2 * length`` bytes: the number of ids, the ids as little-endian unsigned 16-bit numbers, zeros to the end.
 
-Defined results: a null or empty text is one sequence that holds the end id alone. Repeated rows, and rows with a null
-doc_id, each have sequences of their own. An empty table writes no shards. Only doc_id and text are read.
+Defined results: a null or empty text is the end id alone. Repeated rows, and rows with a null doc_id, each have places
+of their own. An empty table writes no shards. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -55,28 +57,57 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+PARTS = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("n", pa.int32())])
+SEQUENCE = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("docs", pa.list_(PARTS))])
+
+
 def sequences(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
-    """part, at, doc_id, piece, n_tokens, ids of every sequence; (part, at) numbers them within the writing task."""
+    """part, at, n_tokens, ids, docs of every sequence; (part, at) numbers them within the writing task.
+
+    docs are the parts of documents in it: start counts the document's ids before the part, offset the sequence's.
+    """
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, part = word_encoder(path), 0, TaskContext.get().partitionId()
+        encoder, part = word_encoder(path), TaskContext.get().partitionId()
+        at, rest, size = 0, b"", 2 * length
+        held, used = [[], [], [], []], [0]  # the columns of PARTS, and where each sequence's parts begin and end
+
+        def table(data: list[bytes]) -> pa.RecordBatch:
+            nonlocal at, held, used
+            n = used[len(data)]
+            items = pa.StructArray.from_arrays([pa.array(c[:n], t.type) for c, t in zip(held, PARTS)], fields=list(PARTS))
+            cols = [pa.array([part] * len(data), pa.int32()), pa.array(range(at, at + len(data)), pa.int64()), pa.array([len(d) // 2 for d in data], pa.int32()), pa.array(data, pa.binary()), pa.ListArray.from_arrays(pa.array(used[: len(data) + 1], pa.int32()), items)]
+            at, held, used = at + len(data), [c[n:] for c in held], [0]
+            return pa.RecordBatch.from_arrays(cols, schema=SEQUENCE)
+
         for batch in slices(batches):
-            docs_, pieces, sizes, data = [], [], [], []
+            raws, filled = [rest], len(rest) // 2
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                short = np.append(np.frombuffer(ids, "<u4"), END_ID)
-                if short.max() > 0xFFFF:
+                wide = np.append(np.frombuffer(ids, "<u4"), END_ID)
+                if wide.max() > 0xFFFF:
                     raise ValueError("this vocabulary needs more than 16 bits an id")
-                raw = short.astype("<u2").tobytes()
-                for k, start in enumerate(range(0, len(raw), 2 * length)):
-                    docs_.append(doc), pieces.append(k), data.append(raw[start : start + 2 * length]), sizes.append(len(data[-1]) // 2)
-            for a in range(0, len(data), 5000):
-                cols = [[part] * len(data[a : a + 5000]), list(range(at + a, at + min(a + 5000, len(data)))), docs_[a : a + 5000], pieces[a : a + 5000], sizes[a : a + 5000], data[a : a + 5000]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["part", "at", "doc_id", "piece", "n_tokens", "ids"])
-            at += len(data)
+                raws.append(wide.astype("<u2").tobytes())
+                start, n = 0, len(wide)
+                while start < n:
+                    take = min(length - filled, n - start)
+                    for column, x in zip(held, (doc, start, filled, take)):
+                        column.append(x)
+                    start, filled = start + take, filled + take
+                    if filled == length:
+                        used.append(len(held[0]))
+                        filled = 0
+            data = b"".join(raws)
+            whole = len(data) - len(data) % size
+            rest = data[whole:]
+            if whole:
+                yield table([data[a : a + size] for a in range(0, whole, size)])
+        if rest:
+            used.append(len(held[0]))
+            yield table([rest])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(cut, "part int, at long, doc_id long, piece int, n_tokens int, ids binary")
+    return read.mapInArrow(cut, "part int, at long, n_tokens int, ids binary, docs array<struct<doc_id: long, start: long, offset: int, n: int>>")
 
 
 def slotted(cut: DataFrame, key: int) -> tuple[DataFrame, int]:
@@ -94,7 +125,7 @@ def slotted(cut: DataFrame, key: int) -> tuple[DataFrame, int]:
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int, int]:
-    """Shards under path; the index (slot, doc_id, piece), the number of slots and the slots of a shard."""
+    """Shards under path; the table of documents (slot, offset, doc_id, start, n), the number of slots and the slots of a shard."""
     cut = written(sequences(docs, tokenizer, length), "token-sequences")
     placed, total = slotted(cut, key)
     each = max(1, shard_bytes // stride(length))
@@ -124,25 +155,31 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, lengt
     shard_of = F.floor(F.col("slot") / F.lit(each)).cast("int")
     ranges = placed.select("slot", "ids").repartitionById(n_shards, shard_of).sortWithinPartitions("slot")
     ranges.mapInArrow(write, "done int").agg(F.count("*")).collect()
-    return placed.select("slot", "doc_id", "piece"), total, each
+    return placed.select("slot", F.explode("docs").alias("d")).select("slot", "d.offset", "d.doc_id", "d.start", "d.n"), total, each
 
 
-def read_shards(spark, path: str, total: int, each: int, length: int = LENGTH) -> DataFrame:
-    """slot, shard, byte_offset, n_tokens, ids_crc32 of every record, read from the shards alone."""
-    size = stride(length)
+def read_shards(index: DataFrame, path: str, total: int, each: int, length: int = LENGTH) -> DataFrame:
+    """slot, shard, byte_offset, doc_id, start, n_tokens, ids_crc32 of every part of a document, the last from the shards' bytes.
+
+    The table of documents goes to its shards as the sequences did; a task opens each shard once, and no shard's bytes move.
+    """
+    size, schema = stride(length), "slot long, shard long, byte_offset long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, data = None, b""
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                data = files.get(path, f"shard-{shard:08d}.bin")
-                counts = [int.from_bytes(data[a : a + 2], "little") for a in range(0, len(data), size)]
-                crcs = [zlib.crc32(np.frombuffer(data, "<u2", n, k * size + 2).astype("<u4").tobytes()) for k, n in enumerate(counts)]
-                n = len(counts)
-                cols = [range(shard * each, shard * each + n), [shard] * n, range(0, n * size, size), counts, crcs]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["slot", "shard", "byte_offset", "n_tokens", "ids_crc32"])
+            slot, offset, n = (batch.column(k).to_numpy() for k in (0, 1, 4))
+            shard, place = slot // each, slot % each * size + 2 + 2 * offset.astype(np.int64)
+            crcs = []
+            for s, a, m in zip(shard.tolist(), place.tolist(), n.tolist()):
+                if s != opened:
+                    opened, data = s, files.get(path, f"shard-{s:08d}.bin")
+                crcs.append(zlib.crc32(np.frombuffer(data, "<u2", m, a).astype("<u4").tobytes()))
+            cols = [batch.column(0), pa.array(shard), pa.array(place), batch.column(2), batch.column(3), pa.array(n.astype(np.int64)), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["slot", "shard", "byte_offset", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n_shards = -(-total // each)
-    return spark.range(0, n_shards, 1, max(1, n_shards)).mapInArrow(read, "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long")
+    shard_of = F.floor(F.col("slot") / F.lit(each)).cast("int")
+    return index.repartitionById(max(1, -(-total // each)), shard_of).sortWithinPartitions("slot", "offset").mapInArrow(read, schema)
 
 
 def resume(path: str, slot: int, each: int, total: int, length: int = LENGTH) -> Iterator[np.ndarray]:
@@ -157,9 +194,7 @@ def resume(path: str, slot: int, each: int, total: int, length: int = LENGTH) ->
 
 
 def materialise(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """slot, shard, byte_offset, doc_id, piece, n_tokens, ids_crc32 of every sequence; ids as read back from the shards."""
+    """slot, shard, byte_offset, doc_id, start, n_tokens, ids_crc32 of every part of a document; ids as read back from the shards."""
     path = path or fresh_path(docs.sparkSession, "token-shards")
     index, total, each = write_shards(docs, path, tokenizer, length, key, shard_bytes)
-    found = read_shards(docs.sparkSession, path, total, each, length)
-    # What the shards hold grows with the corpus though Spark takes it for small: never broadcast.
-    return found.join(index.hint("merge"), "slot").select("slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids_crc32")
+    return read_shards(index, path, total, each, length)

@@ -19,15 +19,30 @@ def test_feistel_is_a_keyed_permutation(n):
 def test_round_trip(spark, tmp_path, texts):
     docs = spark.createDataFrame([(i if i else None, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, slot int").repartition(2)
     rows = ts.materialise(docs, f"file://{tmp_path}", length=16, shard_bytes=34 * 7).collect()
-    plain, want = Tokenizer.from_file(default_tokenizer()), []
+    plain, whole = Tokenizer.from_file(default_tokenizer()), []
     for i, t in enumerate(texts):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
-        for k in range(0, len(ids), 16):
-            want.append((i or None, k // 16, zlib.crc32(np.array(ids[k : k + 16], "<u4").tobytes())))
-    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.piece, r.ids_crc32)) for r in rows)
-    assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    assert all(r.byte_offset == r.slot % 7 * 34 and r.shard == r.slot // 7 for r in rows)
+        whole.append((i or None, ids))
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append((r.start, r.n_tokens, r.ids_crc32))
+    assert got.keys() == {i for i, _ in whole}
+    for i, ids in whole:
+        parts, at = sorted(got[i]), 0
+        for start, n, crc in parts:
+            assert start == at and n > 0 and crc == zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())
+            at += n
+        assert at == len(ids)
+    total = len({r.slot for r in rows})
+    assert {r.slot for r in rows} == set(range(total))
+    # Two partitions, so at most two sequences are not full.
+    tokens = sum(len(ids) for _, ids in whole)
+    assert tokens / 16 <= total <= tokens // 16 + 2
+    assert all(r.byte_offset // 34 == r.slot % 7 and r.shard == r.slot // 7 for r in rows)
     if rows:
-        crcs = {r.slot: r.ids_crc32 for r in rows}
-        left = list(ts.resume(f"file://{tmp_path}", 10, 7, len(rows), 16))
-        assert [zlib.crc32(x.astype("<u4").tobytes()) for x in left] == [crcs[s] for s in range(10, len(rows))]
+        left = list(ts.resume(f"file://{tmp_path}", 10, 7, total, 16))
+        assert len(left) == total - 10 and sum(len(x) for x in left) == sum(r.n_tokens for r in rows if r.slot >= 10)
+        for r in rows:
+            if r.slot >= 10:
+                at = (r.byte_offset % 34 - 2) // 2
+                assert zlib.crc32(left[r.slot - 10][at : at + r.n_tokens].astype("<u4").tobytes()) == r.ids_crc32
