@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a single machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='framehouse-')}")
@@ -26,11 +28,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, zstd_level: int = 3) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage is the files."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", zstd_level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
