@@ -126,7 +126,7 @@ def slotted(cut: DataFrame, key: int) -> tuple[DataFrame, int]:
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int, int]:
     """Shards under path; the table of documents (slot, offset, doc_id, start, n), the number of slots and the slots of a shard."""
-    cut = written(sequences(docs, tokenizer, length), "token-sequences")
+    cut = written(sequences(docs, tokenizer, length), "token-sequences", zstd_level=6)
     placed, total = slotted(cut, key)
     each = max(1, shard_bytes // stride(length))
     n_shards = max(1, -(-total // each))

@@ -40,12 +40,16 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the words of the last generation, looked up before the tokenizer is asked
         self.chunks: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_words(self, words: list[str]) -> None:
+        if self.before:
+            self.words.update((w, self.before[w]) for w in words if w in self.before)
+            words = [w for w in words if w not in self.words]
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             ids = self._ids([" ".join(part)])[0]
@@ -58,7 +62,7 @@ class WordEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         if len(self.words) > MOST:
-            self.words = {}
+            self.before, self.words = self.words, {}
         plain, odd = [], []
         for c in chunks:
             (plain if PLAIN.fullmatch(c) and "<|" not in c else odd).append(c)
@@ -86,7 +90,7 @@ class WordEncoder:
             new = set().union(*cut) - self.words.keys()
             if new:
                 if len(self.words) > MOST:
-                    self.words = {}
+                    self.before, self.words = self.words, {}
                     new = set().union(*cut)
                 self._learn_words(list(new))
             ids = self.words
