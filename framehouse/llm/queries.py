@@ -50,7 +50,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_no", "position"]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "history_no"]
     return warc.capture_history(_table(spark, sf_dir, "pages")).select(columns)
 
 
@@ -108,4 +108,16 @@ sim AS (
 ok AS (SELECT doc_id, item_id, f, t, common / (t - f + n - common) AS similarity FROM sim)
 SELECT doc_id, item_id, f AS start, t - f + 4 AS n_words, similarity FROM ok WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, f) = 1""",
+    "op10_warc_index": r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+h AS (SELECT *, sha1(html) AS hex, count(*) OVER (PARTITION BY html) AS n, max(page_id) OVER (PARTITION BY html) AS latest FROM p),
+u AS (SELECT *, regexp_matches(url, '^[^:/?#]*://') AS has, regexp_replace(split_part(lower(regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1)), '@', -1), '^www\.', '') AS authority,
+  regexp_extract(url, '^[^:/?#]*://[^/?#]*([^#]*)', 1) AS rest FROM h),
+k AS (SELECT *, CASE WHEN NOT has THEN url ELSE array_to_string(list_reverse(string_split(split_part(authority, ':', 1), '.')), ',')
+  || CASE WHEN split_part(authority, ':', 2) NOT IN ('', '80', '443') THEN ':' || split_part(authority, ':', 2) ELSE '' END || ')' || lower(CASE WHEN rest = '' THEN '/' ELSE rest END) END AS url_key,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 2147483648), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM u)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN n > 1 AND latest > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n > 1 AND latest > page_id THEN latest END AS refers_to,
+  url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS history_no FROM k""",
 }

@@ -1,8 +1,10 @@
 """WARC archives of pages, read back and merged to one ordered capture history.
 
 Each task writes gzip members, one for a record, to archives of its own. Reading an archive back gives a run of
-captures sorted by URL key and time; runs are dealt by ranges of (URL key, time), and each range merges its part of
-every run by a loser tree, so the histories are globally ordered without one task seeing them all.
+captures sorted by URL key and time. Runs are merged in two levels, both by a loser tree: a task merges those of up to
+``FAN`` archives as it reads them, and of the longer runs each range of (URL key, time, page) merges its parts, so the
+histories are globally ordered without one task seeing them all. Nothing is sorted after the archives' own runs: a
+range takes its rows as they come, and a new run begins wherever the order falls.
 
 Defined results: a null html is an empty payload; a null url has an empty target and key. Of records with equal
 payloads of at least ``smallest`` bytes those with the largest page_id are responses (all of them, if the row is
@@ -19,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import batched
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from framehouse.llm import files
 from framehouse.plans.lineage import fresh_path, written
 
-SMALLEST, ARCHIVE_BYTES = 0, 64 << 20
+SMALLEST, ARCHIVE_BYTES, FAN, CHUNK = 0, 64 << 20, 8, 1 << 14
 FIRST = datetime(2024, 1, 1, tzinfo=timezone.utc)
 CAPTURE = "page_id long, url_key string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 CAPTURE_ARROW = pa.schema([("page_id", pa.int64()), ("url_key", pa.string()), ("captured", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -104,37 +107,49 @@ def write_archives(pages: DataFrame, path: str, smallest: int = SMALLEST, archiv
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """offset, length, header and block of each gzip member."""
-    at = 0
+    """offset, length, header and block of each gzip member, fed by chunks so that a member costs its own bytes and one chunk."""
+    at, view = 0, memoryview(data)
     while at < len(data):
-        unzip = zlib.decompressobj(31)
-        whole = unzip.decompress(memoryview(data)[at:])
-        end = len(data) - len(unzip.unused_data)
-        head, _, rest = whole.partition(b"\r\n\r\n")
+        unzip, parts, end = zlib.decompressobj(31), [], at
+        while not unzip.eof:
+            if end >= len(data):
+                raise ValueError(f"the member at {at} is cut short")
+            parts.append(unzip.decompress(view[end : end + CHUNK]))
+            end = min(end + CHUNK, len(data))
+        end -= len(unzip.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         yield at, end - at, fields, rest[: int(fields["Content-Length"])]
         at = end
 
 
-def read_captures(archives: DataFrame, path: str) -> DataFrame:
-    """A capture for each record, with the digest and length of the payload that the archive gives; each archive is a sorted run."""
+def capture_key(row: tuple) -> tuple:
+    """URL key, time, page, archive and place: the order of the history."""
+    return row[1], row[2], -1 if row[0] is None else row[0], row[7], row[8]
+
+
+def read_captures(archives: DataFrame, path: str, fan: int = FAN) -> DataFrame:
+    """A capture for each record, with the digest and length of the payload that the archive gives, in one sorted run a task."""
+
+    def captures(name: str) -> list[tuple]:
+        run = []
+        for offset, length, f, block in records(files.get(path, name)):
+            http, _, payload = block.partition(b"\r\n\r\n")
+            page, kind = f["X-Page-ID"], f["WARC-Type"]
+            n = int(re.search(rb"Content-Length: (\d+)", http)[1]) if kind == "revisit" else len(payload)
+            sha = f["WARC-Payload-Digest"].removeprefix("sha1:") if kind == "revisit" else digest(payload)
+            run.append((int(page) if page else None, url_key(f.get("WARC-Target-URI", "")), f["WARC-Date"], n, sha, kind, int(f["X-Refers-To-Page"]) if kind == "revisit" else None, name, offset, length))
+        return sorted(run, key=capture_key)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                run = []
-                for offset, length, f, block in records(files.get(path, name)):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    page, kind = f["X-Page-ID"], f["WARC-Type"]
-                    n = int(re.search(rb"Content-Length: (\d+)", http)[1]) if kind == "revisit" else len(payload)
-                    sha = f["WARC-Payload-Digest"].removeprefix("sha1:") if kind == "revisit" else digest(payload)
-                    run.append((int(page) if page else None, url_key(f.get("WARC-Target-URI", "")), f["WARC-Date"], n, sha, kind, int(f["X-Refers-To-Page"]) if kind == "revisit" else None, name, offset, length))
-                run.sort(key=lambda r: (r[1], r[2], r[8]))
-                for k in range(0, len(run), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*run[k : k + 10_000]), CAPTURE_ARROW)], schema=CAPTURE_ARROW)
-
-    spread = archives.select("archive").repartition(max(1, archives.count()), "archive")
-    return spread.mapInArrow(read, CAPTURE)
+        names = [name for batch in batches for name in batch.column(0).to_pylist()]
+        for at in range(0, len(names), fan):
+            merged = LoserTree([captures(name) for name in names[at : at + fan]], capture_key)
+            for rows in batched(merged, 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), CAPTURE_ARROW)], schema=CAPTURE_ARROW)
+
+    tasks = max(1, -(-archives.count() // fan), archives.sparkSession.sparkContext.defaultParallelism)
+    return archives.select("archive").repartition(tasks, "archive").mapInArrow(read, CAPTURE)
 
 
 class LoserTree:
@@ -184,13 +199,15 @@ def merged_index(captures: DataFrame, n_ranges: int) -> DataFrame:
     schema = f"{CAPTURE}, range_no int, position long"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list] = {}
-        key = lambda r: (r[1], r[2], -1 if r[0] is None else r[0], r[7], r[8])
+        runs: list[list] = []
+        last = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(row[7], []).append(row)
-        for run in runs.values():  # a run's rows may come in several blocks
-            run.sort(key=key)
+                key = capture_key(row)
+                if last is None or key < last:
+                    runs.append([])
+                runs[-1].append(row)
+                last = key
         number, out, n = TaskContext.get().partitionId(), [], 0
 
         def batch_of(rows: list) -> pa.RecordBatch:
@@ -198,7 +215,7 @@ def merged_index(captures: DataFrame, n_ranges: int) -> DataFrame:
             arrays += [pa.array([number] * len(rows), pa.int32()), pa.array(range(n - len(rows), n), pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, [*CAPTURE_ARROW.names, "range_no", "position"])
 
-        for row in LoserTree(list(runs.values()), key):
+        for row in LoserTree(runs, capture_key):
             out.append(row)
             n += 1
             if len(out) == 10_000:
@@ -211,9 +228,16 @@ def merged_index(captures: DataFrame, n_ranges: int) -> DataFrame:
 
 
 def capture_history(pages: DataFrame, path: str | None = None, smallest: int = SMALLEST, range_rows: int = 100_000) -> DataFrame:
-    """Write, read back, merge: every record once, in global order of range_no and position."""
+    """Write, read back, merge: every record once; history_no numbers them in the global order, position within a range."""
     path = path or fresh_path(pages.sparkSession, "warc")
     archives = write_archives(pages, path, smallest)
     total = archives.agg(F.sum("n_records")).first()[0] or 0
     captures = written(read_captures(archives, path), "warc-captures")
-    return merged_index(captures, max(1, -(-total // range_rows)))
+    merged = written(merged_index(captures, max(1, -(-total // range_rows))), "warc-history")
+    # A row for each range: how many captures stand before it.
+    before, starts = 0, []
+    for r in sorted(merged.groupBy("range_no").agg(F.count("*").alias("n")).collect()):
+        starts.append((r.range_no, before))
+        before += r.n
+    offsets = pages.sparkSession.createDataFrame(starts, "range_no int, before long")
+    return merged.join(F.broadcast(offsets), "range_no").withColumn("history_no", F.col("before") + F.col("position")).drop("before")
