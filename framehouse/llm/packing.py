@@ -1,10 +1,13 @@
 """Best-fit packing of token pieces into sequences by a grouping genetic algorithm on islands.
 
 Texts become ids by a tokenizer file, each followed by an end id; only documents above the capacity are cut. Whole
-pieces fill a sequence of their own. The rest is dealt by hash into pools of a bounded number of pieces, each pool is
-evolved on several islands, elites migrate between the islands of a pool, and the best solution stays. Bins that are
-not well filled are then dealt together into new pools, where their old solution competes, so a second round never
-uses more sequences.
+pieces fill a sequence of their own. The rest is dealt by hash into pools of a bounded number of pieces, and each pool
+is evolved on several islands. Islands begin with different solutions: best fit of the pieces in falling order of size
+on the first, in orders of their own chance elsewhere. Crossover injects whole well-filled bins of one parent into
+another, drops the bins that hold the same pieces, lets displaced pieces take the places of smaller ones that they fill
+better, and best-fits what is then left. Elites migrate between the islands of a pool, and the best solution stays.
+Bins that are not well filled are then dealt together into new pools, where their old solution competes, so a second
+round never uses more sequences.
 
 Defined results: a null or empty text is its end id alone. Repeated rows, and rows with a null doc_id, are packed
 each for itself. An empty table gives no rows. Only doc_id and text are read; other columns, of any name, are ignored.
@@ -26,7 +29,7 @@ from framehouse.llm.tokens import default_tokenizer, word_encoder
 from framehouse.plans.lineage import written
 
 CAPACITY, END_ID = 2048, 0
-POOL, ISLANDS, POPULATION, GENERATIONS = 4096, 2, 4, 6
+POOL, ISLANDS, POPULATION, LEAST_GENERATIONS, GENERATIONS, PATIENCE = 4096, 2, 4, 2, 40, 6
 WELL_FILLED = 0.97
 
 
@@ -78,61 +81,103 @@ def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, fl
     return -len(full), float(((full / capacity) ** 2).mean()) if len(full) else 0.0
 
 
+def replaced(sizes: np.ndarray, bins: np.ndarray, items: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """What is left of displaced items after each, the largest first, took the place of the smaller one by which its bin
+    gains most; the smaller is displaced instead. Bins and room change. Their sum falls at every exchange, so it ends."""
+    waiting = sorted((int(sizes[i]), int(i)) for i in items)
+    left = []
+    seated = np.ones(len(sizes), bool)
+    seated[items] = False
+    while waiting:
+        size, item = waiting.pop()
+        gain = size - sizes
+        free = room[bins]
+        fits = seated & (gain > 0) & (gain <= free) & (free > 0)
+        if not fits.any():
+            left.append(item)
+            continue
+        out = int(np.argmin(np.where(fits, free - gain, np.iinfo(np.int64).max)))
+        room[bins[out]] -= gain[out]
+        bins[item], seated[item], seated[out] = bins[out], True, False
+        insort(waiting, (int(sizes[out]), out))
+    return np.array(left, np.int64)
+
+
 def crossover(sizes: np.ndarray, one: np.ndarray, other: np.ndarray, rng: np.random.Generator, capacity: int) -> np.ndarray:
-    """A child of one with whole well-filled bins of other; bins that hold their items go, and what they displaced is best-fitted."""
+    """A child of one with whole well-filled bins of other; bins that hold their items go, and what they displaced is placed anew."""
     full = fills(sizes, other)
     good = np.flatnonzero(full >= WELL_FILLED * capacity)
     if not len(good):
         good = np.argsort(-full, kind="stable")[: max(1, len(full) // 4)]
     chosen = np.zeros(len(full), bool)
-    chosen[rng.permutation(good)[: max(1, len(good) // 2)]] = True
+    chosen[rng.permutation(good)[: max(1, int(len(good) * rng.uniform(0.02, 0.12)))]] = True
     injected = chosen[other]
     broken = np.zeros(one.max() + 1, bool)
     broken[one[injected]] = True
+    # The worst bins of the child go too: their items are what keeps it from fewer bins.
+    kept_fill = np.where(broken, capacity + 1, fills(sizes, one))
+    broken[np.argsort(kept_fill, kind="stable")[:2]] = True
     displaced = broken[one] & ~injected
     child = np.where(injected, one.max() + 1 + other, one)
     kept = ~displaced
     ids, used = np.unique(child[kept], return_inverse=True)
-    room = dict(zip(ids.tolist(), (capacity - np.bincount(used, sizes[kept]).astype(np.int64)).tolist()))
-    items = np.flatnonzero(displaced)
-    best_fit(sizes, items[np.argsort(-sizes[items], kind="stable")], child, room, capacity)
+    room = capacity - np.bincount(used, sizes[kept], len(ids)).astype(np.int64)
+    child[kept] = used
+    child[displaced] = 0  # not a place yet
+    items = replaced(sizes, child, np.flatnonzero(displaced), room)
+    best_fit(sizes, items[np.argsort(-sizes[items], kind="stable")], child, dict(enumerate(room.tolist())), capacity)
     return numbered(child)
 
 
-def evolved(sizes: np.ndarray, population: list[np.ndarray], rng: np.random.Generator, capacity: int) -> list[np.ndarray]:
-    """Some generations from the given solutions, the best first; ends early at the least possible number of bins."""
-    least = -(-int(sizes.sum()) // capacity)
-    population = [p for p in population if len(p) == len(sizes)]
-    while len(population) < POPULATION:
-        noise = sizes * (1 + (0.02 * len(population)) * rng.random(len(sizes))) if population else sizes
+def seeded(sizes: np.ndarray, rng: np.random.Generator, capacity: int, first: bool) -> list[np.ndarray]:
+    """A population: the first island's has best fit in falling order; all others are best fits in orders of chance,
+    from nearly falling to nearly random."""
+    out = []
+    for k in range(POPULATION):
+        noise = sizes if first and not k else sizes * np.exp(rng.normal(0, 0.05 * 4**k / 4, len(sizes)))
         bins = np.zeros(len(sizes), np.int64)
         best_fit(sizes, np.argsort(-noise, kind="stable"), bins, {}, capacity)
-        population.append(numbered(bins))
-        if population[-1].max() + 1 <= least:
-            break
+        out.append(numbered(bins))
+    return out
+
+
+def evolved(sizes: np.ndarray, population: list[np.ndarray], rng: np.random.Generator, capacity: int, first: bool = True) -> tuple[list[np.ndarray], int]:
+    """The population after its generations, the best first, and the number of crossovers.
+
+    It ends after LEAST_GENERATIONS at the least possible number of bins, or when PATIENCE generations brought no fewer.
+    """
+    least = -(-int(sizes.sum()) // capacity)
+    population = [p for p in population if len(p) == len(sizes)]
+    if len(population) < POPULATION:
+        population = [*population, *seeded(sizes, rng, capacity, first)][: POPULATION + 1]
     rank = lambda p: fitness(sizes, p, capacity)
     population.sort(key=rank, reverse=True)
-    for _ in range(GENERATIONS):
-        if len(population) < 2 or population[0].max() + 1 <= least:
+    best, since, crossed = int(population[0].max()) + 1, 0, 0
+    for generation in range(GENERATIONS):
+        if generation >= LEAST_GENERATIONS and (best <= least or since >= PATIENCE):
             break
         a, b = rng.permutation(len(population))[:2]
-        children = [crossover(sizes, population[a], population[b], rng, capacity), crossover(sizes, population[0], population[-1], rng, capacity)]
+        children = [crossover(sizes, population[a], population[b], rng, capacity), crossover(sizes, population[0], population[1 + rng.integers(len(population) - 1)], rng, capacity)]
+        crossed += len(children)
         population = sorted([*population, *children], key=rank, reverse=True)[:POPULATION]
-    return population
+        since = 0 if population[0].max() + 1 < best else since + 1
+        best = int(population[0].max()) + 1
+    return population, crossed
 
 
 def _epoch(states: DataFrame, capacity: int, epoch: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            pops, used = [], []
+            pops, used, crossed = [], [], []
             for pool, island, sizes, pop in zip(frame["pool"], frame["island"], frame["sizes"], frame["pop"]):
                 rng = np.random.default_rng([epoch, int(pool), int(island)])
-                best = evolved(np.asarray(sizes, np.int64), [np.asarray(p, np.int64) for p in pop], rng, capacity)
+                best, n = evolved(np.asarray(sizes, np.int64), [np.asarray(p, np.int64) for p in pop], rng, capacity, first=not island)
                 pops.append([p.tolist() for p in best])
                 used.append(int(best[0].max()) + 1)
-            yield frame.assign(pop=pops, used=used)[["pool", "island", "rids", "sizes", "pop", "used"]]
+                crossed.append(n)
+            yield frame.assign(pop=pops, used=used, crossed=crossed)[["pool", "island", "rids", "sizes", "pop", "used", "crossed"]]
 
-    return states.select("pool", "island", "rids", "sizes", "pop").mapInPandas(run, "pool long, island int, rids array<long>, sizes array<long>, pop array<array<int>>, used int")
+    return states.select("pool", "island", "rids", "sizes", "pop").mapInPandas(run, "pool long, island int, rids array<long>, sizes array<long>, pop array<array<int>>, used int, crossed int")
 
 
 def pooled(items: DataFrame, n_items: int, capacity: int, deal: list[str], old: bool) -> DataFrame:

@@ -52,5 +52,31 @@ def test_crossover_keeps_every_item_within_capacity():
         parents.append(packing.numbered(bins))
     child = packing.crossover(sizes, *parents, rng, 2048)
     assert len(child) == 300 and packing.fills(sizes, child).max() <= 2048
-    best = packing.evolved(sizes, parents, rng, 2048)[0]
-    assert packing.fills(sizes, best).max() <= 2048 and best.max() <= min(p.max() for p in parents)
+    (best, *_), crossed = packing.evolved(sizes, parents, rng, 2048)
+    assert crossed and packing.fills(sizes, best).max() <= 2048 and best.max() <= min(p.max() for p in parents)
+
+
+def falling(sizes, capacity=2048):
+    bins = np.zeros(len(sizes), np.int64)
+    packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), bins, {}, capacity)
+    return packing.numbered(bins).max() + 1
+
+
+def test_evolution_beats_best_fit_where_that_is_not_the_least():
+    rng = np.random.default_rng(0)
+    a = rng.integers(780, 1000, 60)
+    b = np.array([rng.integers(512, (2048 - x) // 2 + 1) for x in a])
+    for sizes in (np.concatenate([a, b, 2048 - a - b]), rng.integers(300, 1000, 600)):
+        one, n1 = packing.evolved(sizes, [], np.random.default_rng(1), 2048, True)
+        two, n2 = packing.evolved(sizes, [], np.random.default_rng(2), 2048, False)
+        met, n3 = packing.evolved(sizes, [two[0], *one], np.random.default_rng(3), 2048)
+        assert n1 and n2 and n3 and not np.array_equal(one[0], two[0])  # what migrates is not the island's own
+        assert packing.fills(sizes, met[0]).max() <= 2048 and met[0].max() + 1 < falling(sizes)
+
+
+def test_crossover_runs_on_documents_and_never_needs_more_than_best_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sizes = np.array([r.length for r in packing.token_pieces(docs).where("length < 2048").select("length").collect()])
+    population, crossed = packing.evolved(sizes, [], np.random.default_rng(1), 2048)
+    assert crossed >= 2 * packing.LEAST_GENERATIONS and population[0].max() + 1 <= falling(sizes)
+    assert packing.evolved(np.array([5]), [], np.random.default_rng(1), 2048)[0][0].tolist() == [0]
