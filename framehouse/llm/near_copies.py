@@ -5,10 +5,11 @@ words is one run). Texts of equal sets are one class of copies, of which one rep
 one of ``BANDS`` bands of ``ROWS`` MinHash values; a pair at the threshold shares none with a probability of 1.3e-7. A
 pair is looked at only in the first band that it shares: its MinHash values are compared ``AT_ONCE`` at a time, and it is
 dropped when, from a uniform prior, the posterior probability that its similarity reaches the threshold is below
-``TOLERANCE``. What is left is verified on the sets of 64-bit hashes, without estimates.
+``TOLERANCE``; values of 16 bits agree by chance once in 65,536, at any length of the texts, and the posterior counts that
+in. What is left is verified on the sets of 64-bit hashes, without estimates.
 
-Pairs never become rows. A band's members are cut into blocks of at most ``BLOCK``, and each pair of blocks meets in a
-task; a member's row carries the list of its partners there. Verification gives each member the number of its links and
+Pairs never become rows. A band's members are cut into blocks of about ``BLOCK`` members, or fewer where their sets are
+large (``BLOCK_BYTES``), and each pair of blocks meets in a task; a member's row carries the list of its partners there. Verification gives each member the number of its links and
 the root of its part of the graph, and components come of these by rounds of large and small stars.
 
 Defined results: null and empty texts and those without letters or digits have no words: no links, each row a class of
@@ -31,7 +32,8 @@ from framehouse.llm.decontaminate import words_of
 from framehouse.plans.lineage import delete_path, fresh_path, written
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS, AT_ONCE, TOLERANCE, BLOCK = 40, 5, 20, 1e-9, 512
+BANDS, ROWS, AT_ONCE, TOLERANCE = 40, 5, 20, 1e-9
+BLOCK, BLOCK_BYTES = 256, 32 << 20
 HASHES = BANDS * ROWS
 RNG = np.random.default_rng(4)
 FACTORS = RNG.integers(1, 1 << 64, (2, HASHES), np.uint64) | np.uint64(1)
@@ -52,18 +54,20 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The upper 16 bits of the least value of each hash function: chance agreements only let more pairs stay."""
+    """16 bits of the least value of each hash function, hashed again: the least of many values has nothing but zeros above."""
     least = np.full(HASHES, np.iinfo(np.uint64).max)
     for a in range(0, len(shingles), 256):
         least = np.minimum(least, (shingles[a : a + 256, None] * FACTORS[0] + FACTORS[1]).min(0))
-    return (least >> np.uint64(48)).astype(np.uint16)
+    return (mixed(least) >> np.uint64(48)).astype(np.uint16)
 
 
 def least_matches(similarity: float, tolerance: float = TOLERANCE) -> list[int]:
     """Of the first AT_ONCE, 2 AT_ONCE, ... values, how many must agree for a pair to stay.
 
     After m of h agree, a uniform prior gives Beta(m + 1, h - m + 1); its mass above s is P(Binomial(h + 1, s) <= m).
+    s is the rate at which values of such a pair agree: by similarity, or else by chance.
     """
+    similarity += (1 - similarity) / 65536
     out = []
     for h in range(AT_ONCE, HASHES + 1, AT_ONCE):
         mass, m = 0.0, -1
@@ -203,14 +207,15 @@ def linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
-                cids, data = (c.to_pylist() for c in batch.slice(a, 2048).columns)
+                cids, sizes, data = (c.to_pylist() for c in batch.slice(a, 2048).columns)
                 x = band_hashes(np.frombuffer(b"".join(data), "<u2").reshape(len(data), HASHES))
-                cols = [np.tile(np.arange(BANDS, dtype=np.int32), len(data)), x.ravel(), np.repeat(np.array(cids, np.int64), BANDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["band", "value", "cid"])
+                cols = [np.tile(np.arange(BANDS, dtype=np.int32), len(data)), x.ravel(), np.repeat(np.array(cids, np.int64), BANDS), np.repeat(np.array(sizes, np.int32), BANDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["band", "value", "cid", "n"])
 
-    banded = written(reps.select("cid", "sig").mapInArrow(band, "band int, value long, cid long"), "near-bands")
-    shared = banded.groupBy("band", "value").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    banded = written(reps.select("cid", "n", "sig").mapInArrow(band, "band int, value long, cid long, n int"), "near-bands")
+    shared = banded.groupBy("band", "value").agg(F.count("*").alias("m"), F.sum("n").alias("hashes")).where("m > 1")
+    blocks = F.least(F.col("m"), F.ceil(F.greatest(F.col("m") / BLOCK, F.col("hashes") * 8 / BLOCK_BYTES))).cast("int")
+    banded = banded.drop("n")
     members = banded.join(shared, ["band", "value"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # A member meets its own block and each other one once: (i, j) with i <= j.
     met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid")
@@ -329,10 +334,11 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, whole, one of each class: that of the smallest doc_id. Rows without words all stay."""
     found = written(classes(docs, similarity), "near-judged")
-    best = found.where("class_no IS NOT NULL").groupBy("class_no").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))).alias("b")).select("b.__id", "b.__key")
-    wordless = found.where("class_no IS NULL").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    best = found.where("class_no IS NOT NULL").groupBy("class_no").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("b")).select("b.id", "b.key")
+    wordless = found.where("class_no IS NULL").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.unhex(F.sha2(text, 256))})
-    match = lambda right: keyed["__doc"].eqNullSafe(right["__id"]) & (keyed["__text"] == right["__key"])
-    kept = keyed.join(best, match(best), "left_semi").dropDuplicates(["__doc", "__text"])
-    return kept.unionByName(keyed.join(wordless, match(wordless), "left_semi")).drop("__doc", "__text")
+    # The caller's row is one struct, so its columns may have any names.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.unhex(F.sha2(text, 256)).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    match = lambda right: keyed["doc"].eqNullSafe(right["id"]) & (keyed["text_key"] == right["key"])
+    kept = keyed.join(best, match(best), "left_semi").dropDuplicates(["doc", "text_key"])
+    return kept.unionByName(keyed.join(wordless, match(wordless), "left_semi")).select("row.*")

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 BUCKETS = 1 << 15
 SAMPLE, LONGEST, STEPS = 6000, 20_000, 250
@@ -77,7 +78,7 @@ class OrdinalModel:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: int = STEPS) -> OrdinalModel:
-    """Full-batch Adam on the likelihood of the grades; thresholds are a first one and positive steps, so they stay ordered."""
+    """Full-batch Adam on the likelihood of the grades, each grade weighing as much as every other; thresholds are a first one and positive steps, so they stay ordered."""
     grades = np.asarray(grades, np.int64)
     k = int(grades.max()) + 1 if len(grades) else 1
     if len(set(grades.tolist())) < 2:
@@ -166,8 +167,7 @@ def score(docs: DataFrame, model: OrdinalModel, at_least: int = 1) -> DataFrame:
             own = [c for c, n in zip(batch.columns, batch.schema.names) if n != "__text"]
             yield pa.RecordBatch.from_arrays([*own, pa.array(tails.sum(1)), pa.array(tail)], [*(n for n in batch.schema.names if n != "__text"), "quality_expected", "quality_tail"])
 
-    schema = docs.schema
-    out = schema.add("quality_expected", "double").add("quality_tail", "double")
+    out = StructType([*docs.schema.fields, StructField("quality_expected", DoubleType()), StructField("quality_tail", DoubleType())])
     return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, out)
 
 

@@ -10,8 +10,10 @@ their first h bytes, sorted stably by the symbol before each, is that by their f
 neighbours part gives their common prefix, and after width / 8 steps the intervals that never parted are the strings that
 repeat. No suffixes of different shards are ever compared, nor sorted again.
 
-A bucket's size is bounded. An anchor whose distinct segments alone exceed it is decided by counting its windows by
-two 64-bit hashes, which takes any number of them.
+A bucket's size is bounded. The segments of an anchor that alone exceeds it are cut finer, by anchors of longer
+substrings (``FINER``), of which each has fewer segments; with the last, which are as long as a window, all of an anchor's
+segments are one. Every part is judged by the same merge. Equal texts are told by SHA-256, equal segments by 128 bits of
+hash.
 
 Defined results: a null text is empty; texts under ``width`` bytes lose nothing. Repeated rows are copies of each other.
 Rows with a null doc_id are judged alike. Spans are of bytes and may cut a character: where text is asked for, what is
@@ -21,37 +23,40 @@ left of a cut character goes. Only the named columns are read; an empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framehouse.plans.lineage import bucketed, written
 
 WIDTH, GRAM, STEP = 200, 64, 8
+FINER = (0.75, 1.0)  # of a window
 BUCKET_BYTES, MOST_BYTES, SHARD_BYTES = 2 << 20, 8 << 20, 1 << 19
 SEPARATOR = b"\xff"  # not a byte of UTF-8
-BASE = np.uint64(0x9E3779B97F4A7C15)
-TABLE = np.random.default_rng(200).integers(1, 1 << 64, 256, np.uint64)
+BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+TABLES = np.random.default_rng(200).integers(1, 1 << 64, (2, 256), np.uint64)
 
 
 class Hashes:
     """64-bit polynomial hashes of substrings, from sums of the bytes' numbers times powers of an odd base."""
 
-    def __init__(self):
+    def __init__(self, which: int = 0):
+        self.base, self.table = BASES[which], TABLES[which]
         self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def reach(self, n: int) -> None:
         if n >= len(self.powers):
             m = max(n + 1, 2 * len(self.powers))
-            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(m, BASE)]), dtype=np.uint64)
+            inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
+            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(m, self.base)]), dtype=np.uint64)
             self.inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(m, inverse)]), dtype=np.uint64)
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         self.reach(len(data))
-        return np.concatenate([[np.uint64(0)], np.cumsum(TABLE[data] * self.powers[: len(data)], dtype=np.uint64)])
+        return np.concatenate([[np.uint64(0)], np.cumsum(self.table[data] * self.powers[: len(data)], dtype=np.uint64)])
 
     def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((sums[end] - sums[start]) * self.inverses[start])
@@ -62,8 +67,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def segments(data: np.ndarray, width: int, gram: int, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, hash, first window and number of windows of each segment of a text of at least ``width`` bytes."""
+def segments(data: np.ndarray, width: int, gram: int, both: tuple[Hashes, Hashes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, two hashes, first window and number of windows of each segment of a text of at least ``width`` bytes."""
+    hashes, second = both
     sums = hashes.sums(data)
     span, n = width - gram + 1, len(data) - gram + 1
     gram_hash = mixed((sums[gram:] - sums[:n]) * hashes.inverses[:n])
@@ -77,7 +83,8 @@ def segments(data: np.ndarray, width: int, gram: int, hashes: Hashes) -> tuple[n
     at = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     count = np.diff(np.append(start, len(at)))
-    return gram_hash[at[start]].view(np.int64), hashes.of(sums, start, start + count - 1 + width).view(np.int64), start, count
+    end = start + count - 1 + width
+    return gram_hash[at[start]].view(np.int64), hashes.of(sums, start, end).view(np.int64), second.of(second.sums(data), start, end).view(np.int64), start, count
 
 
 def suffix_order(data: np.ndarray, symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -172,60 +179,70 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     the first and end of each run of repeated windows, from the segment's start."""
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        both = Hashes(0), Hashes(1)
         for batch in batches:
-            found = [[], [], [], [], []]
+            found = [[], [], [], [], [], []]
             for tid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts = segments(np.frombuffer(text.as_buffer(), np.uint8), width, gram, hashes)
-                for own, x in zip(found, (parts[0], parts[1], np.full(len(parts[0]), tid), parts[2], parts[3])):
+                grams, *parts = segments(np.frombuffer(text.as_buffer(), np.uint8), width, gram, both)
+                for own, x in zip(found, (grams, np.full(len(grams), tid), *parts)):
                     own.append(x)
             if found[0]:
-                types = (np.int64, np.int64, np.int64, np.int32, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(found, types)], ["gram", "seg", "tid", "start", "n"])
+                types = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(found, types)], ["gram", "tid", "seg", "seg2", "start", "n"])
 
     long_ones = texts.where(F.octet_length("text") >= width).select("key", "tid", F.encode("text", "UTF-8").alias("data"))
-    anchors = written(long_ones.select("tid", "data").mapInArrow(anchor, "gram long, seg long, tid long, start int, n int"), "repeat-anchors")
+    anchors = written(long_ones.select("tid", "data").mapInArrow(anchor, "gram long, tid long, seg long, seg2 long, start int, n int"), "repeat-anchors")
     # Written, so that both sides of the join come straight from shuffles and a hot anchor's rows can be split among tasks.
-    counted = written(anchors.groupBy("gram").agg(F.count("*").alias("c"), (F.min("seg") != F.max("seg")).alias("differ")).where("c > 1"), "repeat-grams")
-    places = written(anchors.join(counted, "gram").select("gram", "seg", "tid", "start", "n", "differ"), "repeat-places")  # of repeated anchors alone
+    counted = written(anchors.groupBy("gram").agg(F.count("*").alias("c"), ((F.min("seg") != F.max("seg")) | (F.min("seg2") != F.max("seg2"))).alias("differ")).where("c > 1"), "repeat-grams")
+    places = written(anchors.join(counted, "gram").select("gram", "seg", "seg2", "tid", "start", "n", "differ"), "repeat-places")  # of repeated anchors alone
     # Distinct segments of anchors with different ones: the only ones whose bytes are looked at.
-    kinds = places.where("differ").groupBy("gram", "seg").agg(F.min(F.struct("tid", "start", "n")).alias("p"), F.count("*").alias("copies"))
+    kinds = places.where("differ").groupBy("gram", "seg", "seg2").agg(F.min(F.struct("tid", "start", "n")).alias("p"), F.count("*").alias("copies"))
     # The texts are in buckets by key: with its key looked up by tid, a cut goes to its text and no text is moved.
     ids = texts.select("tid", "key")
-    wanted = kinds.groupBy("p.tid").agg(F.collect_list(F.struct("gram", "seg", "copies", "p.start", "p.n")).alias("cuts")).join(ids, "tid")  # of one text at most its own anchors
-    cut = wanted.select("key", "cuts").join(long_ones, "key").select("tid", F.explode("cuts").alias("x"), "data").select("x.gram", "x.seg", "x.copies", "tid", "x.start", F.expr(f"substring(data, x.start + 1, x.n + {width - 1})").alias("bytes"))
+    wanted = kinds.groupBy("p.tid").agg(F.collect_list(F.struct("gram", "copies", "p.start", "p.n")).alias("cuts")).join(ids, "tid")  # of one text at most its own anchors
+    cut = wanted.select("key", "cuts").join(long_ones, "key").select("tid", F.explode("cuts").alias("x"), "data").select("x.gram", "x.copies", "tid", "x.start", F.lit(0).alias("at"), F.expr(f"substring(data, x.start + 1, x.n + {width - 1})").alias("bytes"))
     cut = written(cut, "repeat-segments")
-    sized = cut.groupBy("gram").agg(F.sum(F.octet_length("bytes")).alias("size"))
-    total, most = sized.agg(F.sum("size"), F.max("size")).first()
 
     def merge(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         found = repeated_windows(table.column("bytes").to_pylist(), table.column("copies").to_pylist(), width)
-        spans = [runs(f).tolist() for f in found]
+        spans = [(runs(f) + at).tolist() for f, at in zip(found, table.column("at").to_pylist())]
         return table.select(["tid", "start", "copies"]).append_column("spans", pa.array(spans, pa.list_(pa.int32())))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            for g, tid, start, n, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                raw = np.frombuffer(data, np.uint8)
-                at = np.arange(len(raw) - width + 1)
-                one, two = (hashes.of(hashes.sums(x), at, at + width).view(np.int64) for x in (raw, raw[::-1]))
-                cols = [pa.array(np.full(len(at), x, np.int64)) for x in (g, tid, start, n)] + [pa.array(at.astype(np.int32)), pa.array(one), pa.array(two[::-1])]
-                yield pa.RecordBatch.from_arrays(cols, ["gram", "tid", "start", "copies", "at", "one", "two"])
-
-    buckets = max(1, -(-(total or 0) // BUCKET_BYTES))
-    fitting = cut if (most or 0) <= MOST_BYTES else cut.join(sized.where(F.col("size") <= MOST_BYTES), "gram", "left_semi")
-    dealt = fitting.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-    answered = dealt.groupBy("bucket").applyInArrow(merge, "tid long, start int, copies long, spans array<int>")
-    if (most or 0) > MOST_BYTES:
-        hot = cut.join(sized.where(F.col("size") > MOST_BYTES), "gram", "left_semi")
-        each = written(hot.select("gram", "tid", "start", "copies", "bytes").mapInArrow(windows, "gram long, tid long, start long, copies long, at int, one long, two long"), "repeat-windows")
-        again = each.groupBy("gram", "one", "two").agg(F.sum("copies").alias("c")).where("c > 1")
-        place = ["tid", F.col("start").cast("int").alias("start"), "copies"]
-        held = each.join(again, ["gram", "one", "two"]).select(*place, F.array(F.col("at"), F.col("at") + 1).alias("span"))
-        held = held.unionByName(hot.select(*place, F.array().cast("array<int>").alias("span")))  # those without any
-        answered = answered.unionByName(held.groupBy("tid", "start", "copies").agg(F.flatten(F.array_sort(F.collect_list("span"))).alias("spans")))
+    def finer(gram: int):
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            both = Hashes(0), Hashes(1)
+            for batch in batches:
+                for tid, start, at, copies, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                    grams, seg, seg2, first, n = segments(np.frombuffer(data, np.uint8), width, gram, both)
+                    own = [data[a : a + m + width - 1] for a, m in zip(first.tolist(), n.tolist())]
+                    same = [pa.array(np.full(len(n), x, t)) for x, t in ((tid, np.int64), (start, np.int32), (copies, np.int64))]
+                    yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(seg), pa.array(seg2), *same, pa.array((first + at).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own, pa.binary())], ["gram", "seg", "seg2", "tid", "start", "copies", "at", "n", "bytes"])
+
+        return split
+
+    place = ["tid", "start", "copies"]
+    answers, level = [], cut
+    for share in (*FINER, None):
+        sized = level.groupBy("gram").agg(F.sum(F.octet_length("bytes")).alias("size"))
+        total, most = sized.agg(F.sum("size"), F.max("size")).first()
+        too_much = share is not None and (most or 0) > MOST_BYTES
+        fitting = level.join(sized.where(F.col("size") <= MOST_BYTES), "gram", "left_semi") if too_much else level
+        buckets = max(1, -(-(total or 0) // BUCKET_BYTES))
+        dealt = fitting.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
+        answers.append(dealt.groupBy("bucket").applyInArrow(merge, "tid long, start int, copies long, spans array<int>"))
+        if not too_much:
+            break
+        hot = level.join(sized.where(F.col("size") > MOST_BYTES), "gram", "left_semi")
+        answers.append(hot.select(*place, F.array().cast("array<int>").alias("spans")))  # those without any
+        parts = written(hot.select("tid", "start", "at", "copies", "bytes").mapInArrow(finer(round(width * share)), "gram long, seg long, seg2 long, tid long, start int, copies long, at int, n int, bytes binary"), "repeat-finer")
+        alike = written(parts.groupBy("gram", "seg", "seg2").agg(F.min(F.struct("tid", "start", "at")).alias("p"), F.sum("copies").alias("copies"), F.first("bytes").alias("bytes")), "repeat-alike")
+        again = parts.where("copies = 1").join(alike.where("copies > 1").select("gram", "seg", "seg2"), ["gram", "seg", "seg2"], "left_semi")
+        answers.append(again.select(*place, F.array(F.col("at"), F.col("at") + F.col("n")).alias("spans")))
+        level = alike.select("gram", "copies", "p.tid", "p.start", "p.at", "bytes")
+    answered = reduce(DataFrame.unionByName, answers)
+    if len(answers) > 1:
+        answered = answered.where("copies = 1").groupBy(*place).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     # All windows of a segment with copies repeat. One without has a place of its own, and the merge has judged it.
     found = places.select("tid", "start", "n", F.lit(None).cast("array<int>").alias("spans"))
     single = answered.where("copies = 1").select("tid", "start", F.lit(0).alias("n"), "spans")
@@ -262,23 +279,29 @@ def judged(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, as_text: bool
     return whole.mapInArrow(cut, f"key binary, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__key", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+def keyed(docs: DataFrame, row: Column) -> DataFrame:
+    """key, had (whether the text is not null) and the given row of every row of docs."""
+    return docs.select(F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("key"), F.col("text").isNotNull().alias("had"), row.alias("row"))
 
 
 def digest_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    found = judged(docs, width).select(F.col("key").alias("__key"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return keyed(docs).select("doc_id", "__key").join(written(found, "repeat-digests"), "__key").drop("__key")
+    found = judged(docs, width).select("key", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return keyed(docs, F.col("doc_id")).join(written(found, "repeat-digests"), "key").select(F.col("row").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
 
+def remove_repeats(docs: DataFrame, width: int = WIDTH, drop_emptied: bool = False) -> DataFrame:
+    """All columns and rows of docs, text without its repeated bytes (a null text stays null) and n_chars, if any, of what is left.
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """All columns and rows of docs, text without its repeated bytes (a null text stays null) and n_chars, if any, of what is left."""
-    found = judged(docs, width, as_text=True).select(F.col("key").alias("__key"), F.col("kept").alias("__kept"), F.col("n_removed").alias("__removed"))
+    With drop_emptied, rows go of which bytes were removed and none is left. The columns may have any names.
+    """
+    found = written(judged(docs, width, as_text=True).select("key", "kept", "n_removed"), "repeat-kept")
     # What is kept of a text is the whole of it where nothing went, so the text itself need not be moved.
-    rest = keyed(docs).withColumn("__had", F.col("text").isNotNull()).drop("text")
-    swapped = rest.join(written(found, "repeat-kept"), "__key").withColumn("text", F.when(F.col("__had"), F.col("__kept")))
-    if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        swapped = swapped.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return swapped.select([F.col(f"`{c}`") for c in docs.columns])
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    joined = keyed(docs, F.struct(*others) if others else F.lit(None)).join(found, "key")
+    if drop_emptied:
+        joined = joined.where((F.col("n_removed") == 0) | (F.length("kept") > 0))
+    text = F.when(F.col("had"), F.col("kept"))
+    n_chars = lambda c: F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("row").getField(c)).cast(docs.schema[c].dataType)
+    made = {"text": lambda c: text, "n_chars": n_chars}
+    return joined.select([made.get(c, F.col("row").getField)(c).alias(c) for c in docs.columns])

@@ -61,6 +61,27 @@ def test_one_of_each_class_stays(spark):
     assert near_copies.join(frame.limit(0)).count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f", "x", "y", "z"), (2, "a b c d e f", "x2", "y2", "z2"), (3, None, "x3", "y3", "z3")], "doc_id long, text string, __doc string, __text string, row string")
+    kept = near_copies.keep_one(frame)
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in frame.collect() if r.doc_id != 2)
+
+
+def test_unrelated_long_texts_do_not_agree():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a, b = (near_copies.signature(rng.integers(0, 1 << 64, 200_000, np.uint64)) for _ in range(2))
+    assert (a == b).mean() < 0.01
+
+
+def test_large_sets_meet_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK_BYTES", 4000)  # a few sets of a hundred hashes
+    rows = corpus()
+    out = near_copies.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.copy_id, r.n_links) for r in out} == brute(rows)
+
+
 def test_pruning_keeps_what_the_posterior_keeps():
     need = near_copies.least_matches(0.8)
     assert need == sorted(need) and all(m < 0.8 * (k + 1) * near_copies.AT_ONCE for k, m in enumerate(need))

@@ -37,11 +37,11 @@ def corpus(seed):
     return [*texts, copy, copy, near, inside, passages[1], passages[1][:190], "s" * 199, "s" * 199]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_against_brute_force(spark, monkeypatch, small):
-    if small:
+@pytest.mark.parametrize("most", [None, 1500, 300])
+def test_against_brute_force(spark, monkeypatch, most):
+    if most:
         monkeypatch.setattr(repeats, "BUCKET_BYTES", 20_000)
-        monkeypatch.setattr(repeats, "MOST_BYTES", 1500)  # some anchors are counted by windows
+        monkeypatch.setattr(repeats, "MOST_BYTES", most)  # some anchors are cut finer, once or twice
     texts = corpus(5)
     frame = spark.createDataFrame([(i, t, i, "k") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes long, key string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest_repeats(frame).collect()}
@@ -60,6 +60,18 @@ def test_merge_of_many_shards_equals_one_sort():
     assert common.tolist()[1:] == [shared(a, b) // 8 * 8 for a, b in zip(order, order[1:])]
 
 
+def test_columns_of_any_name_stay(spark):
+    texts = corpus(7)[:40] + ["same passage " * 30] * 2 + ["", None]
+    rows = [(i, t, "k", "h", "kept", "removed", i) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __key string, __had string, key string, had string, row int")
+    out = repeats.remove_repeats(frame)
+    assert out.columns == frame.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(tuple(got[i])[2:] == r[2:] for i, r in enumerate(rows)) and got[len(rows) - 1].text is None
+    left = {r.doc_id for r in repeats.remove_repeats(frame, drop_emptied=True).collect()}
+    assert left == {i for i, r in enumerate(rows) if not r[1] or got[i].text}
+
+
 def test_rows_and_columns_stay(spark):
     texts = corpus(6)
     rows = [(i, t, "z", len(t or "")) for i, t in enumerate(texts)] + [(None, texts[0], "z", 4)]
