@@ -1,13 +1,13 @@
 """A training corpus from documents: rejected, near-copied and leaked documents go, repeated passages are cut, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-documents; the last returns the placed pieces. A document of which the third stage leaves no byte goes there.
+documents; the last returns the placed pieces. A document of which the third stage removes every byte goes there; one
+that was null or empty before stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from framehouse.llm import decontaminate, near_copies, packing, quality, repeats
 from framehouse.plans.lineage import written
@@ -23,7 +23,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(docs).where(F.length("text") > 0)
+    return repeats.remove_repeats(docs, drop_emptied=True)
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
