@@ -7,7 +7,8 @@ The model is fitted on the driver on at most ``sample`` rated rows (those with t
 at most ``longest`` characters); every document is scored whole.
 
 Defined results: null and empty texts have no features and get the score of the intercept alone. Null ratings are not
-used; several ratings of a document count as several rows. Without any rating, or with one grade only, every document
+used; equal ratings of a document count once, different ones each, and of several texts of a rated doc_id the smallest is
+fitted. Without any rating, or with one grade only, every document
 gets the tail 1 of that grade (0 without ratings: grade 0). Repeated rows are scored alike; other columns are kept or
 ignored as the function says.
 """
@@ -77,8 +78,32 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -500, 500)))
 
 
+def cut_points(rest: np.ndarray) -> np.ndarray:
+    """Ordered thresholds of a first one and the logarithms of the steps between them."""
+    return np.cumsum(np.concatenate([rest[:1], np.exp(rest[1:])]))
+
+
+def loss(theta: np.ndarray, ids: np.ndarray, values: np.ndarray, row: np.ndarray, grades: np.ndarray, weight: np.ndarray, k: int) -> tuple[float, np.ndarray]:
+    """The weighted negative log-likelihood of the grades with a small penalty on the weights, and its gradient.
+
+    theta holds the feature weights, then the k - 1 thresholds as cut_points() reads them.
+    """
+    d, n, at = len(theta) - k + 1, len(grades), np.arange(len(grades))
+    score = np.bincount(row, values * theta[ids], n)
+    tail = np.column_stack([np.ones(n), 1 / (1 + np.exp(-np.clip(score[:, None] - cut_points(theta[d:])[None, :], -500, 500))), np.zeros(n)])
+    p = np.maximum(tail[at, grades] - tail[at, grades + 1], 1e-9)
+    slope = tail * (1 - tail)  # of each tail by the score; 0 at both ends
+    g_score = -(slope[at, grades] - slope[at, grades + 1]) / p * weight / n
+    g_t = np.zeros((n, k + 1))
+    np.add.at(g_t, (at, grades), slope[at, grades] / p * weight / n)
+    np.add.at(g_t, (at, grades + 1), -slope[at, grades + 1] / p * weight / n)
+    suffix = np.cumsum(g_t[:, 1:k].sum(0)[::-1])[::-1]
+    gradient = np.concatenate([np.bincount(ids, values * g_score[row], d) + 1e-5 * theta[:d], suffix[:1], suffix[1:] * np.exp(theta[d + 1 :])])
+    return float(-(np.log(p) * weight).sum() / n + 0.5e-5 * (theta[:d] ** 2).sum()), gradient
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: int = STEPS) -> OrdinalModel:
-    """Full-batch Adam on the likelihood of the grades, each grade weighing as much as every other; thresholds are a first one and positive steps, so they stay ordered."""
+    """Full-batch Adam on the likelihood of the grades, each grade weighing as much as every other; thresholds stay ordered."""
     grades = np.asarray(grades, np.int64)
     k = int(grades.max()) + 1 if len(grades) else 1
     if len(set(grades.tolist())) < 2:
@@ -87,29 +112,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: in
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     reached = np.array([(grades >= j).mean() for j in range(1, k)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(reached / (1 - reached))
-    theta = np.concatenate([np.zeros(BUCKETS + len(SHARES)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     d = BUCKETS + len(SHARES)
-    balance = len(grades) / (len(set(grades.tolist())) * np.bincount(grades, minlength=k)[grades])
+    theta = np.concatenate([np.zeros(d), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+    weight = len(grades) / (len(set(grades.tolist())) * np.bincount(grades, minlength=k)[grades])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for step in range(1, steps + 1):
-        score = np.bincount(row, values * theta[ids], len(rows))
-        t = np.cumsum(np.concatenate([theta[d : d + 1], np.exp(theta[d + 1 :])]))
-        tail = np.column_stack([np.ones(len(rows)), sigmoid(score[:, None] - t[None, :]), np.zeros(len(rows))])
-        at = np.arange(len(rows))
-        p = np.maximum(tail[at, grades] - tail[at, grades + 1], 1e-9)
-        slope = tail * (1 - tail)  # of each tail by the score; 0 at both ends
-        g_score = -(slope[at, grades] - slope[at, grades + 1]) / p * balance / len(rows)
-        g_t = np.zeros((len(rows), k + 1))
-        np.add.at(g_t, (at, grades), slope[at, grades] / p * balance / len(rows))
-        np.add.at(g_t, (at, grades + 1), -slope[at, grades + 1] / p * balance / len(rows))
-        g_t = g_t[:, 1:k].sum(0)
-        suffix = np.cumsum(g_t[::-1])[::-1]
-        grad = np.concatenate([np.bincount(ids, values * g_score[row], d) + 1e-5 * theta[:d], suffix[:1], suffix[1:] * np.exp(theta[d + 1 :])])
+        _, grad = loss(theta, ids, values, row, grades, weight, k)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    t = np.cumsum(np.concatenate([theta[d : d + 1], np.exp(theta[d + 1 :])]))
-    return OrdinalModel(theta[:d], t, k)
+    return OrdinalModel(theta[:d], cut_points(theta[d:]), k)
 
 
 class ChunkScores(dict):
@@ -135,9 +146,10 @@ class ChunkScores(dict):
 
 def rated(docs: DataFrame, labels: DataFrame, grade: str, sample: int, longest: int) -> DataFrame:
     """features and grade of the bounded sample; the texts stay on the executors."""
-    chosen = labels.select(F.col("doc_id").alias("doc_id"), F.col(grade).cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade >= 0").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
+    chosen = labels.select(F.col("doc_id").alias("doc_id"), F.col(grade).cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade >= 0").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= longest)
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # at most sample rows
+    # At most sample rows: one text of a doc_id and grade, whatever stands in docs.
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -120,4 +120,27 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
   CASE WHEN n > 1 AND latest > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n > 1 AND latest > page_id THEN latest END AS refers_to,
   url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS history_no FROM k""",
+    "op2_repeats": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+part AS (SELECT rid, j, substr(hx, 2 * j + 1, 798) AS x FROM (SELECT rid, hx, unnest(range(0, length(hx) // 2 - 199, 200)) AS j FROM d)),
+w AS (SELECT rid, j + k AS i, md5_number(substr(x, 2 * k + 1, 400)) AS h FROM (SELECT rid, j, x, unnest(range(0, length(x) // 2 - 199)) AS k FROM part)),
+again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS p FROM w SEMI JOIN again USING (h)),
+grp AS (SELECT rid, i, sum(CASE WHEN i <= p + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM hit),
+span AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM grp GROUP BY rid, g),
+gap AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS p FROM span),
+cut AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(hx, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || any_value(hx)[2 * max(b) + 1:] AS kept FROM gap JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256 FROM d LEFT JOIN cut USING (rid)""",
+    "op4_ngram_join": r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')))) ELSE [array_to_string(w, ' ')] END AS s FROM words WHERE len(w) > 0),
+kinds AS (SELECT row_number() OVER () AS k, s, min(doc_id) AS copy_id, count(*) AS copies, len(s) AS n FROM sets GROUP BY s),
+sh AS (SELECT k, n, unnest(s) AS x FROM kinds),
+pairs AS (SELECT a.k AS a, b.k AS b FROM sh a JOIN sh b ON a.x = b.x AND a.k <> b.k AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY a.k, b.k HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT k, k AS r FROM kinds UNION SELECT reach.k, pairs.b FROM reach JOIN pairs ON pairs.a = reach.r),
+class AS (SELECT reach.k, min(m.copy_id) AS class_id FROM reach JOIN kinds m ON m.k = reach.r GROUP BY reach.k),
+links AS (SELECT a AS k, sum(m.copies) AS links FROM pairs JOIN kinds m ON m.k = pairs.b GROUP BY a),
+known AS (SELECT s, class_id, copy_id, (coalesce(links, 0) + copies - 1)::BIGINT AS n_links FROM kinds JOIN class USING (k) LEFT JOIN links USING (k))
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN known USING (s)""",
 }

@@ -8,7 +8,8 @@ LONG letters and digits is read as several words of LONG, which overlap so that
 The model is fitted on the driver on at most ``each`` rows of either label (those with the smallest hash of doc_id,
 of texts of at most ``longest`` characters, never rows held out); every document is scored whole.
 
-Defined results: a null or empty text has the score of the bias alone. Null labels are not used. Without rows of both
+Defined results: a null or empty text has the score of the bias alone. Null labels are not used, and of several texts of a
+labelled doc_id the smallest is fitted. Without rows of both
 labels the score is the known label (0 without any). Repeated rows are scored alike.
 """
 
@@ -152,10 +153,11 @@ def held_out(doc_id) -> object:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = EACH, longest: int = LONGEST) -> SubwordModel:
-    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).distinct()
     one = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= longest)
-    rows = texts.join(F.broadcast(one(0).unionByName(one(1))), "doc_id").collect()  # at most 2 x each rows of at most longest characters
+    # At most 2 x each rows of at most longest characters: one text of a doc_id and label, whatever stands in docs.
+    rows = texts.join(F.broadcast(one(0).unionByName(one(1))), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).where("text IS NOT NULL").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.text))
     return fit([r.text for r in rows], np.array([r.label for r in rows], np.int64))
 

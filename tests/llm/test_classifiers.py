@@ -80,3 +80,56 @@ def test_toxicity_edges(spark):
         rows = toxicity.classify(docs, labels).collect()
         assert len(rows) == 3 and all(0 <= r.score <= 1 for r in rows) and not any(r.held_out for r in rows if r.doc_id is None)
     assert toxicity.classify(docs.limit(0), one).count() == 0
+
+
+def test_gradient_of_the_ordinal_likelihood():
+    rng = np.random.default_rng(8)
+    n, d, k = 12, 5, 4
+    x, grades, weight = rng.normal(0, 1, (n, d)), rng.integers(0, k, n), rng.uniform(0.5, 2, n)
+    row, ids = (a.ravel() for a in np.indices((n, d)))
+    theta = rng.normal(0, 0.7, d + k - 1)
+
+    def plain(theta):
+        cuts, total = [theta[d], theta[d] + np.exp(theta[d + 1]), theta[d] + np.exp(theta[d + 1]) + np.exp(theta[d + 2])], 0.0
+        for i in range(n):
+            tails = [1.0, *(1 / (1 + np.exp(t - x[i] @ theta[:d])) for t in cuts), 0.0]
+            total -= weight[i] * np.log(tails[grades[i]] - tails[grades[i] + 1])
+        return total / n + 0.5e-5 * (theta[:d] ** 2).sum()
+
+    value, gradient = quality.loss(theta, ids, x.ravel(), row, grades, weight, k)
+    assert abs(value - plain(theta)) < 1e-9
+    for j in range(len(theta)):
+        e = np.zeros(len(theta))
+        e[j] = 1e-6
+        assert abs((plain(theta + e) - plain(theta - e)) / 2e-6 - gradient[j]) < 1e-6
+
+
+def test_scores_of_all_documents_against_a_plain_reading(spark):
+    import re
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        vectors = []
+        for word in re.findall(r"[^\W_]+", r.text.lower()):
+            marked = f"<{word}>"
+            grams = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
+            vectors.append(np.mean([model.vectors[zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in grams], axis=0))
+        k = min(8, len(vectors))
+        logits = [np.mean(vectors[i : i + k], axis=0) @ model.output + model.bias for i in range(len(vectors) - k + 1)] if k else [model.bias]
+        z = max(b - a for a, b in logits)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+    grader = quality.train(docs, labels)
+    tails = {r.doc_id: r.quality_tail for r in quality.score(docs, grader).collect()}
+    for r in docs.collect():
+        ids, values = quality.features(r.text)
+        score = sum(grader.weights[i] * v for i, v in zip(ids.tolist(), values.tolist()))
+        assert abs(tails[r.doc_id] - 1 / (1 + np.exp(grader.thresholds[0] - score))) < 1e-6
+
+
+def test_a_hot_labelled_id_is_one_row(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.rated(docs, labels, "quality", 10, 100).count() == 2
