@@ -13,6 +13,10 @@ SKIPPED_NAMES = ("run_organize.sh", "run_new_folder.sh", "reorganize_structure.s
 FILENAME_DATES = (r"(?:IMG|VID|PANO|BURST|MVIMG|PXL)_(\d{8})[_-]\d{6}", r"^(?:IMG|VID)-(\d{8})-WA\d+", r"^(\d{8})[_-]\d{6}", r"(\d{4}-\d{2}-\d{2})", r"_(\d{8})_")
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 UNKNOWN_DIRECTORY, UNKNOWN_PREFIX, DUPLICATE_DIRECTORY = "Unknown_Date", "Unknown_", "Duplicate"
+ARTIFACT_NAMES = (".organize_cache.db", ".organize_log.txt")
+ARTIFACT_PREFIXES = ("dry_run_report_", "audit_receipt_", "reorganize_audit_receipt_")
+REMEDIES = (("access", ("permission", "access", "bookmark")), ("space", ("space", "disk", "volume")), ("verification", ("hash", "verify")), ("dates", ("date", "unknown")), ("collisions", ("exist", "collision", "duplicate")))
+PHASES = ("discovery", "src_hash", "dest_hash", "classification", "copy", "revert", "reorganize")
 LAYOUTS = ("yyyy/mm/dd", "yyyy/mm", "yyyy", "yyyy/mon/event", "flat")
 
 
@@ -156,6 +160,56 @@ def month_key(bucket: Column) -> Column:
     return F.when(bucket.rlike(r"^\d{4}-\d{2}"), F.substring(bucket, 1, 7)).otherwise("Unknown")
 
 
+def is_planned_name(name: Column) -> Column:
+    """Whether a plan could have written the name, by its shape alone: a loose test that library health uses."""
+    return name.startswith(UNKNOWN_PREFIX) | ((F.length(name) >= 15) & name.rlike(r"^\d{4}-\d{2}-\d{2}_"))
+
+
+def month_of_path(path: Column) -> Column:
+    """The month key of a planned destination path by its name's digits; null for other names."""
+    name = filename(path)
+    return F.when(name.startswith(UNKNOWN_PREFIX), "Unknown").when(name.rlike(r"^\d{4}-\d{2}-\d{2}_"), F.substring(name, 1, 7))
+
+
+def is_artifact(name: Column) -> Column:
+    """Whether a file at the destination is a run's own and not a medium."""
+    return name.isin(*ARTIFACT_NAMES) | F.coalesce(F.array_max(F.array(*[name.startswith(x) for x in ARTIFACT_PREFIXES])), F.lit(False))
+
+
+def exif_date(raw: Column, offset: Column) -> Column:
+    """The instant of an image's date text: with its offset if there is one that reads, else as UTC; day parts by : or -."""
+    read = lambda text, form: F.try_to_timestamp(text, F.lit(form))
+    shifted = F.when(F.trim(offset) != "", F.concat(raw, F.lit(" "), F.trim(offset)))
+    zoned = [read(shifted, "yyyy:MM:dd HH:mm:ss XXX"), read(shifted, "yyyy-MM-dd HH:mm:ss XXX")]
+    return F.coalesce(*zoned, read(raw, "yyyy:MM:dd HH:mm:ss"), read(raw, "yyyy-MM-dd HH:mm:ss"))
+
+
+def remaining_text(seconds: Column) -> Column:
+    """What a progress line says of the seconds left."""
+    n = F.greatest(F.lit(1).cast("long"), F.floor(seconds + 0.5))
+    whole = lambda k: F.floor(n / k).cast("string")
+    return F.when(n < 60, "less than 1m remaining").when(n < 3600, F.concat(whole(60), F.lit("m remaining"))).otherwise(F.concat(whole(3600), F.lit("h "), F.floor(n % 3600 / 60).cast("string"), F.lit("m remaining")))
+
+
+def pair_kind(is_live_still: Column, partner: Column) -> Column:
+    """livePhoto where the still is known as one or its partner is a movie, else rawJpeg; null without a partner."""
+    live = F.coalesce(is_live_still, F.lit(False)) | extension(partner).isin(".mov", ".m4v")
+    return F.when(F.coalesce(is_live_still, F.lit(False)), "livePhoto").when(partner.isNotNull(), F.when(live, "livePhoto").otherwise("rawJpeg"))
+
+
+def fixes_for(text: Column) -> Column:
+    """The kinds of remedy that a run's issue lines call for, in a fixed order."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(F.array_max(F.array(*[low.contains(w) for w in words])), kind) for kind, words in REMEDIES]))
+
+
+def phase_state(phase: Column, current: Column) -> Column:
+    """complete, current or pending, by the order of phases."""
+    order = F.array(*map(F.lit, PHASES))
+    at, now = F.array_position(order, phase), F.array_position(order, current)
+    return F.when(at < now, "complete").when(at == now, "current").otherwise("pending")
+
+
 def found_event_folder(relative: Column) -> Column:
     """The event of YYYY/Mon/Event/name or Unknown_Date/Event/name, under Duplicate/ or not; else null."""
     parts = F.split(F.regexp_replace(relative, f"^{DUPLICATE_DIRECTORY}/", ""), "/")

@@ -23,20 +23,32 @@ def reclaimable(cache: DataFrame) -> DataFrame:
     return cache.groupBy("hash").agg((F.count("*") - 1).alias("copies"), (F.sum("size") - F.max("size")).alias("bytes")).where("copies > 0")
 
 
-def health_cards(files: DataFrame, cache: DataFrame, queue: DataFrame, layout: str, root: str) -> DataFrame:
-    """card, value, severity, overall: each input is read once, and one row of each meets."""
-    unknown = F.array_contains(F.split("path", "/"), media.UNKNOWN_DIRECTORY) | media.filename(F.col("path")).startswith(media.UNKNOWN_PREFIX)
+def health_cards(files: DataFrame, cache: DataFrame, queue: DataFrame, artifacts: DataFrame, has_destination: bool = True) -> DataFrame:
+    """card, value, bytes, severity (0 good, 1 attention, 2 critical), overall: each input is read once, and one row of each meets.
+
+    Structure drift counts names that no plan writes, wherever they stand. Duplicates are the larger of what lies under
+    Duplicate/ and what the cache tells, for files and for bytes.
+    """
+    name = media.filename(F.col("path"))
+    unknown = F.array_contains(F.split("path", "/"), media.UNKNOWN_DIRECTORY) | name.startswith(media.UNKNOWN_PREFIX)
     duplicate = ~unknown & media.in_duplicates(F.col("path"))
-    tree = files.agg(F.count_if(unknown).alias("unknown"), F.count_if(duplicate).alias("in_tree"))
-    drift = layout_moves(files, root, layout).agg(F.count_if(F.col("status") == "move").alias("drift"))
-    cached = reclaimable(cache).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("in_cache"))
+    taken = lambda where: F.coalesce(F.sum(F.when(where, F.col("size"))), F.lit(0))
+    tree = files.agg(F.count_if(unknown).alias("unknown"), taken(unknown).alias("unknown_bytes"), F.count_if(duplicate).alias("in_tree"), taken(duplicate).alias("tree_bytes"), F.count_if(~media.is_planned_name(name)).alias("drift"))
+    cached = reclaimable(cache).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("in_cache"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("cache_bytes"))
     jobs = queue.agg(F.count_if(F.col("status") == "PENDING").alias("pending"), F.count_if(F.col("status") == "FAILED").alias("failed"))
-    row = tree.join(drift, F.lit(True)).join(cached, F.lit(True)).join(jobs, F.lit(True))  # one row each
-    named = {"unknown_dates": F.col("unknown"), "duplicates": F.greatest("in_tree", "in_cache"), "layout_drift": F.col("drift"), "pending": F.col("pending"), "failed": F.col("failed")}
-    worst = {"failed": 2}
-    cards = F.array(*[F.struct(F.lit(k).alias("card"), v.cast("long").alias("value"), F.when(v > 0, worst.get(k, 1)).otherwise(0).alias("severity")) for k, v in named.items()])
+    receipts = artifacts.agg(F.count_if(F.col("name").startswith("audit_receipt_") | F.col("name").startswith("dedupe_audit_receipt_")).alias("receipts"))
+    row = tree.join(cached, F.lit(True)).join(jobs, F.lit(True)).join(receipts, F.lit(True))  # one row each
+    some = lambda c: F.when(c > 0, 1).otherwise(0)
+    copies, none = F.greatest("in_tree", "in_cache"), F.lit(0)
+    cards = F.array(*[F.struct(F.lit(card).alias("card"), value.cast("long").alias("value"), bytes_.cast("long").alias("bytes"), severity.alias("severity")) for card, value, bytes_, severity in (
+        ("ready", F.lit(int(has_destination)), none, F.lit(int(not has_destination))),
+        ("unknown-dates", F.col("unknown"), F.col("unknown_bytes"), some(F.col("unknown"))),
+        ("duplicates", copies, F.greatest("tree_bytes", "cache_bytes"), some(copies)),
+        ("interrupted-work", F.col("pending") + F.col("failed"), none, F.when(F.col("failed") > 0, 2).otherwise(some(F.col("pending")))),
+        ("history", F.col("receipts"), none, 1 - some(F.col("receipts"))),
+        ("structure-drift", F.col("drift"), none, some(F.col("drift"))))])
     overall = F.array_max(F.transform("cards", lambda c: c.severity))
-    return row.select(cards.alias("cards")).select(F.explode("cards").alias("c"), overall.alias("overall")).select("c.card", "c.value", "c.severity", "overall")
+    return row.select(cards.alias("cards")).select(F.explode("cards").alias("c"), overall.alias("overall")).select("c.*", "overall")
 
 
 def upserted(table: DataFrame, changes: DataFrame, key: list[str], order: str, keep: str | None = None) -> DataFrame:

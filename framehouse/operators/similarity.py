@@ -58,6 +58,40 @@ def clusters(edges: DataFrame) -> DataFrame:
     return graph.components(edges.select("a", "b")).select(F.col("node").alias("path"), F.col("label").alias("cluster"))
 
 
+def primaries(candidates: DataFrame) -> DataFrame:
+    """The candidates that stand for their pair: those without a partner, and of two the one whose path sorts first."""
+    return candidates.where("paired_path IS NULL OR path < paired_path")
+
+
+def with_partners(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """members (path, cluster) as whole candidates, and the partner of each that is a candidate itself."""
+    whole = candidates.join(members, "path")
+    partner = whole.where("paired_path IS NOT NULL").select(F.col("paired_path").alias("path"), "cluster")
+    return whole.unionByName(candidates.join(partner, "path"))
+
+
+def all_clusters(near: DataFrame, exact: DataFrame) -> DataFrame:
+    """path, cluster, kind of exact clusters and of near ones (path, cluster, kind) that aren't wholly within exact ones."""
+    kept = without_superseded(near, exact)
+    return exact.select("path", F.concat(F.lit("exact:"), "cluster").alias("cluster"), F.lit("exactDuplicate").alias("kind")).unionByName(kept.select("path", F.concat(F.lit("near:"), "cluster").alias("cluster"), "kind"))
+
+
+def cluster_order(members: DataFrame) -> DataFrame:
+    """members (cluster, kind, path, t) with cluster_no and member_no: exact clusters first, by path; others by their first
+    date, members by date, undated first."""
+    first = members.groupBy("cluster").agg(F.min((F.col("kind") != "exactDuplicate").cast("int")).alias("later"), F.min(F.coalesce("t", F.lit(-(1 << 62)).cast("long"))).alias("t0"), F.min("path").alias("p0"))
+    place = F.when(F.col("later") == 0, F.lit(0).cast("long")).otherwise(F.col("t0"))
+    numbered = first.select("cluster", F.row_number().over(Window.orderBy("later", place, "p0", "cluster")).alias("cluster_no"))  # a row for a cluster
+    time = F.when(F.col("kind") == "exactDuplicate", F.lit(None)).otherwise(F.col("t"))
+    return members.withColumn("member_no", F.row_number().over(Window.partitionBy("cluster").orderBy(time.asc_nulls_first(), "path"))).join(numbered, "cluster")
+
+
+def confidence(kind: Column, n_warnings: Column, distance: Column, span: Column) -> Column:
+    """low with any warning, high for exact copies, then by mean distance (1 if unknown) and seconds between the members."""
+    far = F.coalesce(distance, F.lit(1.0))
+    return F.when((n_warnings > 0) & (kind != "exactDuplicate"), "low").when(kind == "exactDuplicate", "high").when((far < 0.10) & (span < 5), "high").when((kind == "editedVariant") | (far > 0.30), "low").otherwise("medium")
+
+
 def exact_clusters(files: DataFrame) -> DataFrame:
     """path, cluster, n of the files whose identity others share."""
     groups = files.where("identity IS NOT NULL").groupBy("identity").agg(F.count("*").alias("n"), F.min("path").alias("cluster")).where("n > 1")
@@ -95,14 +129,15 @@ def runners_up(members: DataFrame) -> DataFrame:
 def annotated(members: DataFrame, edges: DataFrame) -> DataFrame:
     """cluster, n, kind, span, avg_distance, min_distance, avg_hamming, warnings, confidence, prunable_bytes.
 
-    Two members differ in framing if the largest ratio of their aspects is above 1.1, which the extremes tell.
+    Two members differ in framing if the largest ratio of their aspects is above 1.1, which the extremes tell; where fewer
+    than two aspects are known, areas aren't compared either.
     """
     w, h = F.col("pixel_width"), F.col("pixel_height")
     aspect, area = F.when((w > 0) & (h > 0), w / h), F.when(w.isNotNull() & h.isNotNull(), w.cast("long") * h)
     faces = F.when(F.col("face") > 0.8, 2).when(F.col("face") > 0.3, 1).when(F.col("face").isNotNull(), 0)
     spread = lambda c, name: [F.min(c).alias(f"{name}0"), F.max(c).alias(f"{name}1")]
     kept = keepers(members)
-    whole = members.join(kept, "cluster").groupBy("cluster").agg(F.count("*").alias("n"), *spread("t", "t"), *spread(aspect, "aspect"), *spread(area, "area"), *spread(faces, "faces"), *spread("sharpness", "sharp"), F.sum(F.when(F.col("path") != F.col("keeper"), F.col("size")).otherwise(0)).alias("prunable_bytes"))
+    whole = members.join(kept, "cluster").groupBy("cluster").agg(F.count("*").alias("n"), *spread("t", "t"), *spread(aspect, "aspect"), F.count(aspect).alias("aspects"), *spread(area, "area"), *spread(faces, "faces"), *spread("sharpness", "sharp"), F.sum(F.when(F.col("path") != F.col("keeper"), F.col("size")).otherwise(0)).alias("prunable_bytes"))
     owner = members.select(F.col("path").alias("a"), "cluster")
     reason = edges.join(owner, "a").groupBy("cluster").agg(F.avg("distance").alias("avg_distance"), F.min("distance").alias("min_distance"), F.expr("sum(hamming) div count(hamming)").alias("avg_hamming"), F.max("t_delta").alias("most_delta"))
     joined = whole.join(reason, "cluster", "left").withColumn("span", F.coalesce(F.col("t1") - F.col("t0"), F.col("most_delta")))
@@ -110,13 +145,11 @@ def annotated(members: DataFrame, edges: DataFrame) -> DataFrame:
     told = joined.withColumn("kind", kind)
     warnings = F.array_compact(F.array(
         F.when(F.col("faces1") - F.col("faces0") >= 1, "differentPeople"),
-        F.when((F.col("aspect1") / F.greatest("aspect0", F.lit(0.001)) > 1.10) | ((F.col("area0") > 0) & (F.col("area1") / F.col("area0") > 2.0)), "differentFraming"),
+        F.when((F.col("aspects") >= 2) & ((F.col("aspect1") / F.greatest("aspect0", F.lit(0.001)) > 1.10) | ((F.col("area0") > 0) & (F.col("area1") / F.col("area0") > 2.0))), "differentFraming"),
         F.when((F.col("kind") == "nearDuplicate") & (F.col("t1") - F.col("t0") > 300), "largeTimeGap"),
         F.when((F.col("sharp0") > 0.01) & (F.col("sharp1") / F.col("sharp0") > 2.5), "exposure"),
     ))
-    distance = F.coalesce("avg_distance", F.lit(1.0))
-    confidence = F.when(F.size("warnings") > 0, "low").when((distance < 0.10) & (F.col("span") < 5), "high").when(distance > 0.30, "low").otherwise("medium")
-    return told.withColumn("warnings", warnings).withColumn("confidence", confidence).select("cluster", "n", "kind", "span", "avg_distance", "min_distance", "avg_hamming", "warnings", "confidence", "prunable_bytes")
+    return told.withColumn("warnings", warnings).withColumn("confidence", confidence(F.col("kind"), F.size("warnings"), F.col("avg_distance"), F.col("span"))).select("cluster", "n", "kind", "span", "avg_distance", "min_distance", "avg_hamming", "warnings", "confidence", "prunable_bytes")
 
 
 def without_superseded(near: DataFrame, exact: DataFrame) -> DataFrame:

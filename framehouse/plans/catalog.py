@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framehouse.functions import media
 from framehouse.operators import decisions, events, library, planning, similarity
 from framehouse.plans import views
+from framehouse.plans.lineage import written
 from framehouse.plans.views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,9 +151,10 @@ def similarity_edges_undated(spark, sf_dir):
 
 
 def _members(spark, sf_dir):
+    """The near clusters with their partners, and the edges: written once, for several passes read them."""
     photos = views.photo_candidates(spark, sf_dir)
-    edges = similarity.pairs(photos)
-    return photos.join(similarity.clusters(edges), "path"), edges
+    edges = written(similarity.pairs(similarity.primaries(photos)), "photo-edges")
+    return written(similarity.with_partners(similarity.clusters(edges), photos), "photo-members"), edges
 
 
 @query(with_views(*CLUSTERS) + "SELECT path, cluster FROM members")
@@ -173,7 +175,7 @@ def runner_up(spark, sf_dir):
     return similarity.runners_up(_members(spark, sf_dir)[0]).withColumn("factors", F.array_join("factors", "|"))
 
 
-ANNOTATED = """, reason AS (SELECT m.cluster, avg(distance) AS avg_distance, min(distance) AS min_distance, (sum(hamming) // count(*))::BIGINT AS avg_hamming FROM near n JOIN members m ON m.path = n.a GROUP BY 1),
+ANNOTATED = """, reason AS (SELECT m.cluster, avg(distance) AS avg_distance, min(distance) AS min_distance, (sum(hamming) // count(*))::BIGINT AS avg_hamming FROM pnear n JOIN members m ON m.path = n.a GROUP BY 1),
 facts AS (SELECT cluster, count(*) AS n, max(t) - min(t) AS span, CASE WHEN max(t) - min(t) <= 10 THEN 'burst' ELSE 'nearDuplicate' END AS kind,
   max(CASE WHEN face > 0.8 THEN 2 WHEN face > 0.3 THEN 1 WHEN face IS NOT NULL THEN 0 END) - min(CASE WHEN face > 0.8 THEN 2 WHEN face > 0.3 THEN 1 WHEN face IS NOT NULL THEN 0 END) AS faces,
   max(pixel_width::DOUBLE / pixel_height) / min(pixel_width::DOUBLE / pixel_height) AS framing, min(sharpness) AS s0, max(sharpness) AS s1, sum(size) FILTER (rank > 1)::BIGINT AS prunable_bytes FROM ranked GROUP BY 1),
@@ -248,16 +250,18 @@ def layout_moves(spark, sf_dir):
     return library.layout_moves(_library(spark, sf_dir), views.ROOT, "yyyy/mm")
 
 
-@query(with_views("media", "dest", "jobs") + LIBRARY.replace("LAYOUT", "replace(bucket, '-', '/') || '/'") + """, cards AS (
-  SELECT 'unknown_dates' AS card, (SELECT count(*) FROM lib WHERE path LIKE '%/Unknown!_%' ESCAPE '!') AS value UNION ALL
-  SELECT 'duplicates', greatest((SELECT count(*) FROM lib WHERE path LIKE '/lib/Duplicate/%' AND path NOT LIKE '%/Unknown!_%' ESCAPE '!'), (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM media GROUP BY identity))::BIGINT) UNION ALL
-  SELECT 'layout_drift', (SELECT count(*) FROM target WHERE dest <> path) UNION ALL
-  SELECT 'pending', (SELECT count(*) FROM jobs WHERE status = 'PENDING') UNION ALL SELECT 'failed', (SELECT count(*) FROM jobs WHERE status = 'FAILED')),
-rated AS (SELECT card, value, CASE WHEN value = 0 THEN 0 WHEN card = 'failed' THEN 2 ELSE 1 END AS severity FROM cards)
-SELECT *, (SELECT max(severity) FROM rated) AS overall FROM rated""")
+@query(with_views("media", "dest", "jobs", "artifacts") + LIBRARY.replace("LAYOUT", "''") + """, tree AS (SELECT *, path LIKE '%/Unknown!_Date/%' ESCAPE '!' OR regexp_extract(path, '[^/]*$') LIKE 'Unknown!_%' ESCAPE '!' AS unknown, regexp_extract(path, '[^/]*$') AS name FROM lib),
+copies AS (SELECT count(*) - 1 AS n, sum(size) - max(size) AS b FROM media GROUP BY identity), q AS (SELECT count(*) FILTER (status = 'PENDING') AS p, count(*) FILTER (status = 'FAILED') AS f FROM jobs),
+cards AS (SELECT 'ready' AS card, 1::BIGINT AS value, 0::BIGINT AS bytes, 0 AS severity UNION ALL
+  SELECT 'unknown-dates', count(*), coalesce(sum(size), 0)::BIGINT, (count(*) > 0)::INT FROM tree WHERE unknown UNION ALL
+  SELECT 'duplicates', greatest(n, (SELECT sum(n) FROM copies))::BIGINT, greatest(b, (SELECT sum(b) FROM copies))::BIGINT, (greatest(n, (SELECT sum(n) FROM copies)) > 0)::INT FROM (SELECT count(*) AS n, coalesce(sum(size), 0) AS b FROM tree WHERE NOT unknown AND path LIKE '%/Duplicate/%') UNION ALL
+  SELECT 'interrupted-work', p + f, 0, CASE WHEN f > 0 THEN 2 WHEN p > 0 THEN 1 ELSE 0 END FROM q UNION ALL
+  SELECT 'history', count(*), 0, (count(*) = 0)::INT FROM artifacts WHERE starts_with(name, 'audit_receipt_') OR starts_with(name, 'dedupe_audit_receipt_') UNION ALL
+  SELECT 'structure-drift', count(*), 0, (count(*) > 0)::INT FROM tree WHERE NOT (starts_with(name, 'Unknown_') OR (length(name) >= 15 AND regexp_matches(name, '^[0-9]{4}-[0-9]{2}-[0-9]{2}_'))))
+SELECT *, (SELECT max(severity) FROM cards) AS overall FROM cards""")
 def health_cards(spark, sf_dir):
     cache = views.media_files(spark, sf_dir).withColumnRenamed("identity", "hash")
-    return library.health_cards(_library(spark, sf_dir), cache, views.copy_jobs(spark, sf_dir), "yyyy/mm/dd", views.ROOT)
+    return library.health_cards(_library(spark, sf_dir), cache, views.copy_jobs(spark, sf_dir), views.artifacts(spark, sf_dir))
 
 
 @query(with_views("jobs") + "SELECT status, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM jobs GROUP BY 1")

@@ -65,6 +65,18 @@ def photo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"dhash": scores.sign_bits(F.col("print")), "quality": F.round(quality, 9)})
 
 
+def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files as a table of cached identities in two namespaces, some of which don't parse."""
+    hash_ = F.when(F.col("ordinal") % 13 == 0, "broken").otherwise(F.col("identity"))
+    return media_files(spark, sf_dir).select(F.when(F.col("ordinal") % 3 == 0, 2).otherwise(1).alias("namespace"), "path", hash_.alias("hash"), "size", (F.col("ordinal") + F.lit(0.25)).alias("mtime"))
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    names = [("dry_run_report_", ".csv"), ("audit_receipt_", ".json"), ("dedupe_audit_receipt_", ".json"), ("reorganize_audit_receipt_", ".json"), ("list_", ".csv"), ("extra_", ".json"), ("IMG_", ".jpg"), ("notes_", ".txt")]
+    return table(spark, sf_dir, "documents").select(i.alias("ordinal"), F.element_at(F.array(*[F.concat(F.lit(a), n, F.lit(b)) for a, b in names]), (i % 8 + 1).cast("int")).alias("name"), F.length("text").cast("long").alias("size"))
+
+
 def copy_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "P", "PENDING").when(F.col("o_orderstatus") == "O", "COPIED").otherwise("FAILED")
@@ -104,9 +116,15 @@ photos AS (SELECT *, round(0.5 * sharpness + 0.15 * least(1.0, log2(pixel_width:
   sqrt(list_sum(list_transform(list_zip(x.print, y.print), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS distance
   FROM photos x JOIN photos y ON x.path < y.path AND abs(x.t - y.t) <= 30 AND bit_count(xor(x.dhash, y.dhash)) <= 10),
 near AS (SELECT * FROM edges WHERE distance <= 0.35)""",
-    "members": """reach AS (SELECT a AS path, b AS other FROM near UNION SELECT b, a FROM near UNION SELECT r.path, CASE WHEN n.a = r.other THEN n.b ELSE n.a END FROM reach r JOIN near n ON n.a = r.other OR n.b = r.other),
-members AS (SELECT p.*, m.cluster FROM (SELECT path, least(path, min(other)) AS cluster FROM reach GROUP BY path) m JOIN photos p USING (path)),
+    "members": """prim AS (SELECT path FROM photos WHERE paired_path IS NULL OR path < paired_path),
+pnear AS (SELECT * FROM near WHERE a IN (SELECT path FROM prim) AND b IN (SELECT path FROM prim)),
+reach AS (SELECT a AS path, b AS other FROM pnear UNION SELECT b, a FROM pnear UNION SELECT r.path, CASE WHEN n.a = r.other THEN n.b ELSE n.a END FROM reach r JOIN pnear n ON n.a = r.other OR n.b = r.other),
+heads AS (SELECT path, least(path, min(other)) AS cluster FROM reach GROUP BY path),
+members AS (SELECT p.*, m.cluster FROM heads m JOIN photos p USING (path) UNION ALL SELECT q.*, m.cluster FROM heads m JOIN photos p USING (path) JOIN photos q ON q.path = p.paired_path),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY quality DESC, sharpness DESC, size DESC, pixel_width * pixel_height DESC, coalesce(face, 0) DESC, coalesce(eyes, 0) DESC, coalesce(smile, 0) DESC, is_raw DESC, path) AS rank FROM members)""",
+    "cache": """cache AS (SELECT CASE WHEN ordinal % 3 = 0 THEN 2 ELSE 1 END AS namespace, path, CASE WHEN ordinal % 13 = 0 THEN 'broken' ELSE identity END AS hash, size, ordinal + 0.25::DOUBLE AS mtime FROM media)""",
+    "artifacts": """artifacts AS (SELECT doc_id AS ordinal, CASE doc_id % 8 WHEN 0 THEN 'dry_run_report_' || doc_id || '.csv' WHEN 1 THEN 'audit_receipt_' || doc_id || '.json' WHEN 2 THEN 'dedupe_audit_receipt_' || doc_id || '.json'
+  WHEN 3 THEN 'reorganize_audit_receipt_' || doc_id || '.json' WHEN 4 THEN 'list_' || doc_id || '.csv' WHEN 5 THEN 'extra_' || doc_id || '.json' WHEN 6 THEN 'IMG_' || doc_id || '.jpg' ELSE 'notes_' || doc_id || '.txt' END AS name, length(text)::BIGINT AS size FROM documents)""",
     "jobs": """jobs AS (SELECT o_orderkey AS ordinal, '/src/' || o_orderkey AS src_path, o_custkey % 50 AS run, CASE o_orderstatus WHEN 'P' THEN 'PENDING' WHEN 'O' THEN 'COPIED' ELSE 'FAILED' END AS status,
   trunc(o_totalprice)::BIGINT AS bytes, o_orderdate AS done FROM orders)""",
 }

@@ -116,22 +116,17 @@ def read_transfers(spark: SparkSession, path: str, newest: int = 2) -> DataFrame
 
 
 def read_moves(spark: SparkSession, path: str) -> DataFrame:
-    """source, dest of the completed moves of a layout receipt, the last first."""
-    schema = "moves array<struct<source string, dest string, status string>>"
-    moves = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("moves").alias("at", "m"))
-    return moves.where("m.status = 'completed'").orderBy(F.desc("at")).select("m.source", "m.dest")
+    """source, dest, hash of the completed moves of layout receipts, each receipt's last first."""
+    schema = "items array<struct<sourcePath string, destinationPath string, hash string, completed boolean>>"
+    moves = spark.read.schema(schema).option("multiLine", True).json(path).select(F.input_file_name().alias("file"), F.posexplode("items").alias("at", "m"))
+    return moves.where("m.completed").orderBy("file", F.desc("at")).select(F.col("m.sourcePath").alias("source"), F.col("m.destinationPath").alias("dest"), "m.hash")
 
 
 def artifact_kind(name):
-    """The kind of a run's artifact by its file name, as a column; null for other files."""
-    return (
-        F.when(name.startswith("dry_run_report_") & name.endswith(".csv"), "report")
-        .when(name.startswith("audit_receipt_") & name.endswith(".json"), "transfer_receipt")
-        .when(name.startswith("dedupe_audit_receipt_") & name.endswith(".json"), "dedupe_receipt")
-        .when(name.startswith("reorganize_audit_receipt_") & name.endswith(".json"), "layout_receipt")
-        .when(name.endswith(".jsonl"), "review")
-        .when(name.endswith(".txt") | name.endswith(".log"), "run_log")
-    )
+    """The kind of a run's artifact by its file name, as a column, the first that fits; null for other files."""
+    both = lambda prefix, suffix, kind: (name.startswith(prefix) & name.endswith(suffix), kind)
+    rules = [both("dry_run_report_", ".csv", "dryRunReport"), both("dedupe_audit_receipt_", ".json", "dedupeAuditReceipt"), both("reorganize_audit_receipt_", ".json", "reorganizeAuditReceipt"), both("audit_receipt_", ".json", "auditReceipt"), both("", ".csv", "csvArtifact"), both("", ".json", "jsonArtifact")]
+    return F.coalesce(*[F.when(fits, kind) for fits, kind in rules])
 
 
 def read_profiles(spark: SparkSession, text: str) -> DataFrame:
