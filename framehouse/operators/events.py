@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framehouse.operators import runs
+
 GAP_SECONDS = 8 * 3600
 # Folder names that say nothing of an event.
 GENERIC = ("dcim", "camera", "photos", "photo", "imports", "import", "downloads", "download", "100apple", "101apple", "102apple", "100media")
@@ -12,10 +14,8 @@ GENERIC = ("dcim", "camera", "photos", "photo", "imports", "import", "downloads"
 
 def sessions(captures: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     """captures (bucket, t in seconds, path, ..) with session: within a bucket a longer gap than ``gap`` begins the next."""
-    order = Window.partitionBy("bucket").orderBy("t", "path")
-    new = F.coalesce((F.col("t") - F.lag("t").over(order) > gap).cast("int"), F.lit(1))
-    number = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return captures.withColumn("__new", new).withColumn("session", F.concat("bucket", F.lit("-"), number.cast("string"))).drop("__new")
+    found = runs.breaks(captures, "bucket", "t", ["path"], gap)
+    return found.withColumn("session", F.concat("bucket", F.lit("-"), F.col("__n").cast("string"))).drop("__n")
 
 
 def named(sessions_: DataFrame) -> DataFrame:

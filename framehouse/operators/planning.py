@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framehouse.functions import media
+from framehouse.operators import runs
 
 TOLERANCE = 0.001
 
@@ -53,12 +54,11 @@ def classified(files: DataFrame, index: DataFrame) -> DataFrame:
 def copy_plan(files: DataFrame, index: DataFrame, root: str, layout: str = "yyyy/mm/dd", least_width: int = 3) -> DataFrame:
     """ordinal, source, dest, identity, bucket, is_duplicate, sequence, width of each file that is to be copied.
 
-    Numbers go on from the destination's highest of the bucket, in the order of discovery; duplicates have their own.
+    Numbers go on from the destination's highest of the bucket, in the order of discovery; duplicates have their own. A
+    bucket may be a third of all files: its numbers come from ranges.
     """
     todo = classified(files, index).where(F.col("status").isin("new", "duplicate")).withColumn("is_duplicate", F.col("status") == "duplicate")
-    bucket = Window.partitionBy("bucket", "is_duplicate")
-    numbered = todo.withColumn("__n", F.row_number().over(bucket.orderBy("ordinal"))).withColumn("__all", F.count("*").over(bucket))
-    counted = numbered.join(sequence_maxima(index), ["bucket", "is_duplicate"], "left").withColumn("existing", F.coalesce("max_seq", F.lit(0)))
+    counted = runs.numbered(todo, ["bucket", "is_duplicate"], ["ordinal"]).join(sequence_maxima(index), ["bucket", "is_duplicate"], "left").withColumn("existing", F.coalesce("max_seq", F.lit(0)))
     sized = counted.withColumns({"sequence": F.col("existing") + F.col("__n"), "width": media.sequence_width(F.col("existing"), F.col("__all"), least_width)})
     event = F.col("event_name") if "event_name" in files.columns else None
     dest = media.planned_path(F.col("path"), root, F.col("bucket"), F.col("sequence"), F.col("width"), F.col("is_duplicate"), layout, event)
