@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def is_automatic(confidence: Column) -> Column:
+    """Whether a cluster may be decided without a person."""
+    return confidence == "high"
+
+
 def effective(members: DataFrame, decisions: DataFrame) -> DataFrame:
     """members (cluster, path, keeper, confidence, paired_path, ..) with decision: the explicit one; else, with high
     confidence, keep the keeper and delete the others; else keep."""
-    auto = F.when((F.col("confidence") == "high") & (F.col("path") != F.col("keeper")), "delete").otherwise("keep")
+    auto = F.when(is_automatic(F.col("confidence")) & (F.col("path") != F.col("keeper")), "delete").otherwise("keep")
     joined = members.join(decisions.select("path", F.col("decision").alias("__d")), "path", "left")
     return joined.withColumn("decision", F.coalesce("__d", auto)).drop("__d")
 

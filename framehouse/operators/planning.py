@@ -86,6 +86,11 @@ def month_histogram(plan: DataFrame, samples: int = 4) -> DataFrame:
     return counts.join(first, "month").select("month", "n", F.col("s.source").alias("samples"))
 
 
+def histogram_of_paths(paths: DataFrame) -> DataFrame:
+    """month, n of planned destination paths, by their names alone; other names are left out."""
+    return paths.select(media.month_of_path(F.col("path")).alias("month")).where("month IS NOT NULL").groupBy("month").agg(F.count("*").alias("n"))
+
+
 def review_items(files: DataFrame, index: DataFrame) -> DataFrame:
     """path, status, confidence, issues, needs_attention; date issues stand before that of the status."""
     judged = classified(files, index)
