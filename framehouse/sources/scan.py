@@ -9,13 +9,17 @@ import re
 import stat
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from framehouse.functions import media
+from framehouse.operators import runs
+from framehouse.plans.lineage import written
 
 FILES = StructType([StructField("ordinal", LongType()), StructField("path", StringType()), StructField("size", LongType()), StructField("mtime", DoubleType()), StructField("is_directory", BooleanType())])
 PACKAGES = (".app", ".bundle", ".framework", ".photoslibrary", ".photolibrary")  # fixed values: directories shown as one file
@@ -28,39 +32,72 @@ def natural_key(name: str) -> list:
     return [(0, int(x), "") if x.isdecimal() else (1, 0, x) for x in re.split(r"(\d+)", folded) if x] + [(2, 0, name)]
 
 
-def _walk(root: str, issues: list[str]) -> Iterator[tuple[str, bool]]:
-    try:
-        found = sorted(os.scandir(root), key=lambda e: natural_key(e.name))
-    except OSError as e:
-        issues.append(f"{root}: {e.strerror}")
-        return
-    shown = [e for e in found if not e.name.startswith(".") and not e.is_symlink() and not e.name.lower().endswith(PACKAGES)]
-    for entry in shown:
-        if entry.is_file():
-            yield entry.path, False
-    for entry in shown:
-        if entry.is_dir():
-            yield entry.path, True
-            yield from _walk(entry.path, issues)
-
-
-def scan_tree(spark: SparkSession, root: str, media_only: bool = True) -> tuple[DataFrame, list[str]]:
-    """Files (and, unless media_only, directories) below root, files of a directory before its subdirectories, and what
-    could not be read. A listing is driver work by nature: names and sizes, no contents."""
-    issues: list[str] = []
-    rows = []
-    for path, is_directory in _walk(root, issues):
-        try:
-            s = os.lstat(path)
-        except OSError as e:
-            issues.append(f"{path}: {e.strerror}")
-            continue
-        if is_directory or stat.S_ISREG(s.st_mode):
-            rows.append((len(rows), path, s.st_size, s.st_mtime_ns / 1e9, is_directory))
-    df = spark.createDataFrame(rows, FILES)
+def sort_text(name: str, directory: bool, directories_first: bool) -> str:
+    """natural_key() as one text that sorts alike, after a sign that keeps files and directories apart."""
+    parts = [f"0{len(str(n)):03d}{n}" if kind == 0 else f"{kind}{text}\x02" for kind, n, text in natural_key(name)]
+    return f"{int(directory != directories_first)}" + "".join(parts) + "\x01"
+
+
+LISTED = StructType([*FILES.fields[1:], StructField("place", StringType()), StructField("issue", StringType())])
+
+
+def listed(directories: DataFrame, directories_first: bool = False) -> DataFrame:
+    """What the directories (path, place) hold: a row for each file and directory shown, or one that says what couldn't be read.
+
+    place sorts entries in the order of discovery: below their directory's place, by kind and natural order. Names that
+    begin with a dot, links and packages aren't shown; only regular files are files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows: list[tuple] = []
+                try:
+                    with os.scandir(top) as entries:
+                        for e in entries:
+                            if e.name.startswith(".") or e.is_symlink() or e.name.lower().endswith(PACKAGES):
+                                continue
+                            try:
+                                s = e.stat(follow_symlinks=False)
+                            except OSError as error:
+                                rows.append((e.path, None, None, None, None, f"{e.path}: {error.strerror}"))
+                                continue
+                            directory = stat.S_ISDIR(s.st_mode)
+                            if directory or stat.S_ISREG(s.st_mode):
+                                rows.append((e.path, s.st_size, s.st_mtime_ns / 1e9, directory, place + sort_text(e.name, directory, directories_first), None))
+                except OSError as error:
+                    rows.append((top, None, None, None, None, f"{top}: {error.strerror}"))
+                for k in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 10_000]), (pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.string()))], LISTED.fieldNames())
+
+    return directories.mapInArrow(run, LISTED)
+
+
+def scan_entries(spark: SparkSession, root: str, directories_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """ordinal, path, size, mtime, is_directory of all below root, and path, issue of what couldn't be read.
+
+    The directories of a level are listed in one job, spread over tasks, so a scan takes as many jobs as the tree is deep.
+    All executors must see the tree. A directory's files come before its subdirectories, or after them.
+    """
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    level, found = spark.createDataFrame([(root, "")], "path string, place string"), []
+    while True:
+        found.append(written(listed(level.repartition(tasks, "path"), directories_first), "tree-level"))
+        level = found[-1].where("is_directory").select("path", "place")
+        if not level.head(1):
+            break
+    whole = reduce(DataFrame.unionByName, found)
+    numbered = runs.numbered(whole.where("issue IS NULL").withColumn("__tree", F.lit(0)), ["__tree"], ["place"])
+    files = numbered.select((F.col("__n") - 1).alias("ordinal"), "path", "size", "mtime", "is_directory")
+    return files, whole.where("issue IS NOT NULL").select("path", "issue")
+
+
+def scan_tree(spark: SparkSession, root: str, media_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The media files below root (all files and directories, unless media_only), with issues; a directory's files first."""
+    files, issues = scan_entries(spark, root)
     if media_only:
-        df = df.where(~F.col("is_directory") & media.is_media(F.col("path")) & ~media.is_skipped(media.filename(F.col("path"))))
-    return df, issues
+        files = files.where(~F.col("is_directory") & media.is_media(F.col("path")) & ~media.is_skipped(media.filename(F.col("path"))))
+    return files, issues
 
 
 def scan_roots(scans: list[DataFrame]) -> DataFrame:
@@ -72,12 +109,25 @@ def scan_roots(scans: list[DataFrame]) -> DataFrame:
     return both.groupBy("path").agg(F.min_by(F.struct(*both.columns), F.struct("root_no", "ordinal")).alias("r")).select("r.*")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """ordinal, path, is_directory of a JSON manifest's items, each path at its first place; a manifest that isn't JSON fails."""
-    schema = "items array<struct<path string, isDirectory boolean>>"
-    items = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    rows = items.select(F.posexplode("items").alias("ordinal", "i")).select(F.col("ordinal").cast("long"), "i.path", F.col("i.isDirectory").alias("is_directory"))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("ordinal"))).where("r = 1").drop("r")
+def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """ordinal, path, is_directory of a JSON manifest's items, each path at its first place, and issues (path, issue).
+
+    A manifest that isn't such JSON, or isn't there, gives an issue and no items; packages are left out with an issue.
+    """
+    schema = "items array<struct<path string, isDirectory boolean>>, __bad string"
+    try:
+        text = spark.read.text(path, wholetext=True).select(F.from_json("value", schema, {"columnNameOfCorruptRecord": "__bad"}).alias("m"))
+        sound = text.count() > 0
+    except AnalysisException:
+        text, sound = spark.createDataFrame([], "m struct<items: array<struct<path: string, isDirectory: boolean>>, __bad: string>"), False
+    rows = text.where("m.__bad IS NULL").select(F.posexplode("m.items").alias("ordinal", "i")).select(F.col("ordinal").cast("long").alias("ordinal"), "i.path", F.col("i.isDirectory").alias("is_directory"))
+    package = F.coalesce(F.array_max(F.array(*[F.lower("path").endswith(p) for p in PACKAGES])), F.lit(False))
+    first = rows.where("path IS NOT NULL").groupBy("path").agg(F.min("ordinal").alias("ordinal"), F.min_by("is_directory", "ordinal").alias("is_directory")).withColumn("__package", package)
+    issues = first.where("__package").select("path", F.lit("a package").alias("issue"))
+    broken = text.where("m IS NULL OR m.__bad IS NOT NULL OR m.items IS NULL").select(F.lit(path).alias("path"), F.lit("not a manifest").alias("issue"))
+    if not sound:
+        broken = spark.createDataFrame([(path, "not readable")], "path string, issue string")
+    return first.where("NOT __package").select("ordinal", "path", "is_directory"), issues.unionByName(broken)
 
 
 def with_content_identity(files: DataFrame) -> DataFrame:

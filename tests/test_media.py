@@ -89,12 +89,24 @@ def test_scan_and_identity(spark, tmp_path):
     (tmp_path / "link.jpg").symlink_to(tmp_path / "a.png")
     files, issues = scan.scan_tree(spark, str(tmp_path))
     rows = scan.with_content_identity(files).orderBy("ordinal").collect()
-    assert [r.path.removeprefix(f"{tmp_path}/") for r in rows] == ["a.png", "b/img2.JPG", "b/img10.jpg"] and not issues
+    assert [r.path.removeprefix(f"{tmp_path}/") for r in rows] == ["a.png", "b/img2.JPG", "b/img10.jpg"] and issues.count() == 0
     assert rows[0].identity == "5_" + hashlib.blake2b(b"5a.png").hexdigest()
     assert scan.scan_roots([files, files]).count() == 3
     manifest = tmp_path / "m.json"
     manifest.write_text(json.dumps({"items": [{"path": "/x", "isDirectory": True}, {"path": "/y", "isDirectory": False}, {"path": "/x", "isDirectory": False}]}))
-    assert sorted(map(tuple, scan.read_manifest(spark, str(manifest)).collect())) == [(0, "/x", True), (1, "/y", False)]
+    items, problems = scan.read_manifest(spark, str(manifest))
+    assert sorted((r.ordinal, r.path, r.is_directory) for r in items.collect()) == [(0, "/x", True), (1, "/y", False)] and problems.count() == 0
+    manifest.write_text('{"items": 5')
+    items, problems = scan.read_manifest(spark, str(manifest))
+    assert items.count() == 0 and problems.count() == 1
+    items, problems = scan.read_manifest(spark, str(tmp_path / "none.json"))
+    assert items.count() == 0 and problems.first().issue == "not readable"
+    entries, _ = scan.scan_entries(spark, str(tmp_path), directories_first=True)
+    kinds = [r.is_directory for r in entries.orderBy("ordinal").collect()]
+    assert kinds[0] and not kinds[-1] and [r.ordinal for r in entries.orderBy("ordinal").collect()] == list(range(len(kinds)))
+    layout = tmp_path / "reorganize_audit_receipt_1.json"
+    layout.write_text(json.dumps({"items": [{"sourcePath": f"/s{k}", "destinationPath": f"/d{k}", "hash": "h", "completed": k != 1} for k in range(3)]}))
+    assert [(r.source, r.dest) for r in scan.read_moves(spark, str(layout)).collect()] == [("/s2", "/d2"), ("/s0", "/d0")]
     receipt = tmp_path / "audit_receipt_1.json"
     receipt.write_text(json.dumps({"transfers": [{"source": "s", "dest": "d", "hash": "h"}]}))
     assert scan.read_transfers(spark, str(receipt)).first().dest == "d"

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from framehouse.plans import catalog
+from framehouse.plans import catalog, ledger
 
 DIR = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
@@ -17,6 +17,15 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def members_once():
+    """Many queries begin with the same clusters: here they are made once."""
+    made, plain = {}, catalog._members
+    catalog._members = ledger._members = lambda spark, sf_dir: made.setdefault(sf_dir, None) or made.__setitem__(sf_dir, plain(spark, sf_dir)) or made[sf_dir]
+    yield
+    catalog._members = ledger._members = plain
+
+
 def normal(x):
     return round(x, 6) if isinstance(x, float) else x
 
