@@ -1,0 +1,29 @@
+"""Every training-data query that has SQL gives its rows."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from framehouse.llm import queries
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for path in glob.glob(f"{DIR}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(path).removesuffix('.parquet')} AS SELECT * FROM '{path}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, db, name):
+    got, want = queries.QUERIES[name](spark, DIR), db.sql(queries.ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    rows = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr)
+    assert rows == sorted((tuple(r[k] for k in at) for r in want.fetchall()), key=repr) and rows
