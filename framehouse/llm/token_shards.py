@@ -142,7 +142,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, lengt
             files.put(path, f"shard-{shard:08d}.bin", f"{task.stageId()}-{task.attemptNumber()}", (r for _, r in kept))
 
         for batch in batches:
-            for s, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            slots, docs_ = batch.column(0), batch.column(2)
+            items = docs_.flatten()
+            named = [pa.array(np.repeat(slots.to_numpy(), docs_.value_lengths().to_numpy())), *(items.field(k) for k in ("offset", "doc_id", "start", "n"))]
+            yield pa.RecordBatch.from_arrays(named, ["slot", "offset", "doc_id", "start", "n"])
+            for s, ids in zip(slots.to_pylist(), batch.column(1).to_pylist()):
                 if shard is not None and s // each != shard:
                     close()
                     kept = []
@@ -150,18 +154,18 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, lengt
                 kept.append((s, (len(ids) // 2).to_bytes(2, "little") + ids.ljust(2 * length, b"\0")))
         if kept:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32())], ["done"])
 
     shard_of = F.floor(F.col("slot") / F.lit(each)).cast("int")
-    ranges = placed.select("slot", "ids").repartitionById(n_shards, shard_of).sortWithinPartitions("slot")
-    ranges.mapInArrow(write, "done int").agg(F.count("*")).collect()
-    return placed.select("slot", F.explode("docs").alias("d")).select("slot", "d.offset", "d.doc_id", "d.start", "d.n"), total, each
+    ranges = placed.select("slot", "ids", "docs").repartitionById(n_shards, shard_of).sortWithinPartitions("slot")
+    # A task that writes shards gives their part of the table of documents, in the order of the slots.
+    return written(ranges.mapInArrow(write, "slot long, offset int, doc_id long, start long, n int"), "token-index"), total, each
 
 
-def read_shards(index: DataFrame, path: str, total: int, each: int, length: int = LENGTH) -> DataFrame:
+def read_shards(index: DataFrame, path: str, each: int, length: int = LENGTH) -> DataFrame:
     """slot, shard, byte_offset, doc_id, start, n_tokens, ids_crc32 of every part of a document, the last from the shards' bytes.
 
-    The table of documents goes to its shards as the sequences did; a task opens each shard once, and no shard's bytes move.
+    The table of documents stands in the order of the slots, so a task that reads a part of it opens each shard once, and
+    neither the table nor the shards move.
     """
     size, schema = stride(length), "slot long, shard long, byte_offset long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -178,8 +182,7 @@ def read_shards(index: DataFrame, path: str, total: int, each: int, length: int
             cols = [batch.column(0), pa.array(shard), pa.array(place), batch.column(2), batch.column(3), pa.array(n.astype(np.int64)), pa.array(crcs, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["slot", "shard", "byte_offset", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    shard_of = F.floor(F.col("slot") / F.lit(each)).cast("int")
-    return index.repartitionById(max(1, -(-total // each)), shard_of).sortWithinPartitions("slot", "offset").mapInArrow(read, schema)
+    return index.mapInArrow(read, schema)
 
 
 def resume(path: str, slot: int, each: int, total: int, length: int = LENGTH) -> Iterator[np.ndarray]:
@@ -196,5 +199,5 @@ def resume(path: str, slot: int, each: int, total: int, length: int = LENGTH) ->
 def materialise(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """slot, shard, byte_offset, doc_id, start, n_tokens, ids_crc32 of every part of a document; ids as read back from the shards."""
     path = path or fresh_path(docs.sparkSession, "token-shards")
-    index, total, each = write_shards(docs, path, tokenizer, length, key, shard_bytes)
-    return read_shards(index, path, total, each, length)
+    index, _, each = write_shards(docs, path, tokenizer, length, key, shard_bytes)
+    return read_shards(index, path, each, length)
