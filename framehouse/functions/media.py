@@ -224,3 +224,10 @@ def severity(line: Column) -> Column:
 
 def below(path: Column, root: str) -> Column:
     return (path == root) | path.startswith(f"{root.rstrip('/')}/")
+
+
+def is_trusted_root(path: Column, destination: str, home: str) -> Column:
+    """Whether a receipt's source root (resolved, and known to be a directory) lies below the home, the destination's parent or a volume."""
+    clean = F.rtrim(F.trim(path), F.lit("/"))
+    parents = [p for p in {home.rstrip("/"), destination.rstrip("/").rpartition("/")[0]} if p]
+    return F.coalesce(F.array_max(F.array(*[clean.startswith(f"{p}/") for p in parents], clean.rlike(r"^/Volumes/[^/]"))), F.lit(False))

@@ -29,6 +29,39 @@ def face_score(faces: Column) -> Column:
     return F.when(F.size(faces) > 0, total / F.size(faces))
 
 
+def _extent(points: Column, axis: str) -> Column:
+    values = F.transform(points, lambda p: p[axis])
+    return F.array_max(values) - F.array_min(values)
+
+
+def eye_openness(points: Column) -> Column:
+    """Height over width of an eye's outline (array<struct<x, y>>), 1 at a half or more; 0.5 of fewer than six points."""
+    width = _extent(points, "x")
+    ratio = F.least(F.lit(1.0), F.greatest(F.lit(0.0), _extent(points, "y") / width / 0.5))
+    return F.when((F.size(points) >= 6) & (width > 0.001), ratio).otherwise(0.5)
+
+
+def eyes_open(left: Column, right: Column) -> Column:
+    return (eye_openness(left) + eye_openness(right)) / 2
+
+
+def smile(points: Column) -> Column:
+    """How much wider than high the lips' outline is, from 1.5 (0) to 4.5 (1); 0 of fewer than six points."""
+    height = _extent(points, "y")
+    ratio = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (_extent(points, "x") / height - 1.5) / 3.0))
+    return F.when((F.size(points) >= 6) & (height > 0.001), ratio).otherwise(0.0)
+
+
+def motion_blur(subject: Column, whole: Column) -> Column:
+    """Half of what the subject lacks of the whole image's sharpness."""
+    return F.when(whole > 0.01, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - subject / whole) * 0.5)).otherwise(0.0)
+
+
+def gray_sharpness(variance: Column) -> Column:
+    """A Laplacian's variance on a logarithmic scale, 1 at a variance of 1."""
+    return F.log10(1 + 20 * variance) / F.log10(F.lit(21.0))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -78,6 +78,12 @@ def source_log(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source").agg(F.min("at").alias("first_run"), F.max("at").alias("last_run"), F.count("*").alias("n_runs"), F.max_by("copied", F.struct("at", "copied")).alias("last_copied"), F.sum("copied").alias("total_copied"))
 
 
+def transfer_totals(outcomes: DataFrame) -> DataFrame:
+    """copied_bytes and how many were copied, failed and skipped."""
+    of = lambda status: F.count_if(F.col("status") == status)
+    return outcomes.agg(F.coalesce(F.sum(F.when(F.col("status") == "COPIED", F.col("bytes"))), F.lit(0)).alias("copied_bytes"), of("COPIED").alias("copied"), of("FAILED").alias("failed"), of("SKIPPED").alias("skipped"))
+
+
 def by_day(history: DataFrame, at: Column) -> DataFrame:
     return history.groupBy(F.date_format(at, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 

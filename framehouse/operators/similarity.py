@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,33 +24,56 @@ class Thresholds:
 PRESETS = {"strict": Thresholds(0.20, 6), "balanced": Thresholds(), "loose": Thresholds(0.55, 16)}
 
 
-def pairs(candidates: DataFrame, th: Thresholds = PRESETS["balanced"]) -> DataFrame:
+#: Photos in a stretch of time and the one before, above which dhash blocks part them too.
+CROWD = 1000
+
+
+def dhash_blocks(dhash: Column, hamming: int) -> list[Column]:
+    """hamming + 1 blocks of bits: two hashes within that many bits agree in one of them."""
+    edges = [64 * k // (hamming + 1) for k in range(hamming + 2)]
+    return [F.shiftrightunsigned(dhash, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+
+
+def blocked(rows: DataFrame, hamming: int) -> DataFrame:
+    """rows with block, a row for each block of the dhash; a row that isn't crowded has but one, which all such share."""
+    each = F.array(*[F.struct(F.lit(k).alias("k"), bits.alias("bits")) for k, bits in enumerate(dhash_blocks(F.col("dhash"), hamming))])
+    one = F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("bits")))
+    return rows.withColumn("block", F.explode(F.when(F.col("crowded"), each).otherwise(one))).drop("crowded")
+
+
+def pairs(candidates: DataFrame, th: Thresholds = PRESETS["balanced"], distance: Callable[[Column, Column], Column] = scores.distance) -> DataFrame:
     """a, b, t_delta, hamming, distance of all pairs of (path, t, dhash, print) within the thresholds, a before b.
 
     With a window, a pair's times are in the same stretch of that length or in neighbours, so stretches are joined with
-    themselves and the next. Without one, dhashes within k bits agree in one of k + 1 blocks, and blocks are joined.
-    Vectors follow by path only after the cheap tests, so they aren't shuffled for pairs that fail them.
+    themselves and the next; a stretch that a burst or an import crowds is joined by the blocks of dhashes as well. Without
+    one, dhashes within k bits agree in one of k + 1 blocks, and blocks are joined. Vectors follow by path only after the
+    cheap tests, so they aren't shuffled for pairs that fail them. ``distance`` may be another expression on two vectors.
     """
     light = candidates.where("dhash IS NOT NULL AND print IS NOT NULL").select("path", "t", "dhash")
     side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in ("path", "t", "dhash")], *[c for c in df.columns if c not in ("path", "t", "dhash")])
     if th.window is not None:
         at = F.floor(F.col("t") / th.window)
         dated = light.where("t IS NOT NULL")
-        left = side(dated.withColumn("stretch", F.explode(F.array(at, at + 1))), "x")
-        met = left.join(side(dated.withColumn("stretch", at), "y"), "stretch")
+        left, right = dated.withColumn("stretch", F.explode(F.array(at, at + 1))), dated.withColumn("stretch", at)
+        crowds = left.groupBy("stretch").agg(F.count("*").alias("__n")).where(F.col("__n") > CROWD).select("stretch", F.lit(True).alias("crowded"))
+        if crowds.head(1):
+            left, right = (df.join(crowds, "stretch", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))) for df in (left, right))
+            met = side(blocked(left, th.hamming), "x").join(side(blocked(right, th.hamming), "y"), ["stretch", "block"])
+            same_bits = zip(dhash_blocks(F.col("dhash_x"), th.hamming), dhash_blocks(F.col("dhash_y"), th.hamming))
+            first = F.coalesce(*[F.when(x == y, k) for k, (x, y) in enumerate(same_bits)])  # a pair counts in the first block it shares
+            met = met.where((F.col("block.k") == -1) | (F.col("block.k") == first)).drop("block")
+        else:
+            met = side(left, "x").join(side(right, "y"), "stretch")
         # Of two in the same stretch each meets the other; of neighbours only the earlier meets the later.
         same = F.floor(F.col("t_x") / th.window) == F.col("stretch")
         met = met.where((~same | (F.struct("t_x", "path_x") < F.struct("t_y", "path_y"))) & (F.abs(F.col("t_x") - F.col("t_y")) <= th.window))
     else:
-        n = th.hamming + 1
-        edges = [64 * k // n for k in range(n + 1)]
-        block = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("dhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:]))]))
-        blocked = light.withColumn("block", block)
-        met = side(blocked, "x").join(side(blocked, "y"), "block").where("path_x < path_y").drop("block").distinct()
+        all_blocked = blocked(light.withColumn("crowded", F.lit(True)), th.hamming)
+        met = side(all_blocked, "x").join(side(all_blocked, "y"), "block").where("path_x < path_y").drop("block").distinct()
     near = met.withColumn("hamming", scores.hamming(F.col("dhash_x"), F.col("dhash_y"))).where(F.col("hamming") <= th.hamming)
     prints = candidates.select("path", "print")
     whole = near.join(prints.select(F.col("path").alias("path_x"), F.col("print").alias("print_x")), "path_x").join(prints.select(F.col("path").alias("path_y"), F.col("print").alias("print_y")), "path_y")
-    far = whole.withColumn("distance", scores.distance(F.col("print_x"), F.col("print_y"))).where(F.col("distance") <= th.distance)
+    far = whole.withColumn("distance", distance(F.col("print_x"), F.col("print_y"))).where(F.col("distance") <= th.distance)
     return far.select(F.least("path_x", "path_y").alias("a"), F.greatest("path_x", "path_y").alias("b"), F.abs(F.col("t_x") - F.col("t_y")).alias("t_delta"), "hamming", "distance")
 
 

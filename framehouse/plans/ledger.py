@@ -280,6 +280,46 @@ def face_scores(spark, sf_dir):
     return views.photo_candidates(spark, sf_dir).select("path", F.round(scores.face_score(faces), 9).alias("score")).where("score IS NOT NULL")
 
 
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS xs, list_transform(embedding[9:16], lambda x: x::DOUBLE) AS ys FROM embeddings),
+e AS (SELECT vec_id, list_max(xs) - list_min(xs) AS w, list_max(ys) - list_min(ys) AS h FROM p)
+SELECT vec_id, round(CASE WHEN w > 0.001 THEN least(1.0, h / w / 0.5) ELSE 0.5 END, 9) AS eyes, round(CASE WHEN h > 0.001 THEN least(1.0, greatest(0.0, (w / h - 1.5) / 3.0)) ELSE 0.0 END, 9) AS smile, round(CASE WHEN w > 0.01 THEN greatest(0.0, 1 - h / w) * 0.5 ELSE 0 END, 9) AS blur, round(log10(1 + 20 * h) / log10(21), 9) AS sharp FROM e""")
+def face_geometry(spark, sf_dir):
+    v = lambda a: F.transform(F.slice("embedding", a, 8), lambda x: x.cast("double"))
+    points = F.zip_with(v(1), v(9), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    extent = lambda a: F.array_max(v(a)) - F.array_min(v(a))
+    told = {"eyes": scores.eyes_open(points, points), "smile": scores.smile(points), "blur": scores.motion_blur(extent(9), extent(1)), "sharp": scores.gray_sharpness(extent(9))}
+    return views.table(spark, sf_dir, "embeddings").select("vec_id", *[F.round(c, 9).alias(k) for k, c in told.items()])
+
+
+@query("SELECT doc_id, doc_id % 5 IN (0, 1, 3) AS trusted FROM documents")
+def trusted_roots(spark, sf_dir):
+    roots = F.element_at(F.array(*map(F.lit, ("/home/me/pics", "/data/photos/src/ ", "/data", "/Volumes/card", "/Volumes/"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", media.is_trusted_root(roots, "/data/photos/lib", "/home/me").alias("trusted"))
+
+
+@query(with_views("media", "dest") + LIBRARY.replace("LAYOUT", "bucket[1:4] || '/'") + "SELECT path, dest, row_number() OVER (ORDER BY path, ordinal) AS place FROM target JOIN lib USING (path) WHERE dest <> path")
+def move_order(spark, sf_dir):
+    moves = library.layout_moves(_library(spark, sf_dir), views.ROOT, "yyyy").where("status = 'move'").withColumn("g", F.lit(0))
+    return runs.numbered(moves, ["g"], ["path"]).select("path", "dest", F.col("__n").alias("place"))
+
+
+@query(with_views("artifacts") + "SELECT name, row_number() OVER (ORDER BY ordinal // 10 DESC, name) AS place FROM artifacts WHERE ordinal % 8 < 6")
+def history_order(spark, sf_dir):
+    found = views.artifacts(spark, sf_dir).withColumns({"kind": artifact_kind(F.col("name")), "newest": -F.floor(F.col("ordinal") / 10), "g": F.lit(0)}).where("kind IS NOT NULL")
+    return runs.numbered(found, ["g"], ["newest", "name"]).select("name", F.col("__n").alias("place"))
+
+
+@query(with_views("jobs") + "SELECT count(DISTINCT run) AS sources, sum(bytes)::BIGINT AS archived FROM jobs")
+def archived_total(spark, sf_dir):
+    log = library.source_log(views.copy_jobs(spark, sf_dir).select(F.col("run").cast("string").alias("source"), "at", F.col("bytes").alias("copied")))
+    return log.agg(F.count("*").alias("sources"), F.sum("total_copied").alias("archived"))
+
+
+@query(with_views("jobs") + "SELECT coalesce(sum(bytes) FILTER (status = 'COPIED'), 0)::BIGINT AS copied_bytes, count(*) FILTER (status = 'COPIED') AS copied, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'SKIPPED') AS skipped FROM jobs")
+def transfer_totals(spark, sf_dir):
+    return library.transfer_totals(views.copy_jobs(spark, sf_dir))
+
+
 # Reviews.
 
 

@@ -136,3 +136,24 @@ def test_change_feed(spark, tmp_path):
     query.awaitTermination(120)
     rows = sorted((r.path, r.change) for r in spark.table("feed").collect())
     assert rows == [("a", "created"), ("a", "modified"), ("b", "created"), ("b", "removed")]
+
+
+def test_crowded_stretches_give_the_same_pairs(spark, monkeypatch):
+    from framehouse.operators import similarity
+    from framehouse.plans import views
+
+    photos = views.photo_candidates(spark, "/root/testdata/sf0.001").withColumn("t", F.col("t") % 200)
+    plain = {tuple(r) for r in similarity.pairs(photos).collect()}
+    monkeypatch.setattr(similarity, "CROWD", 30)
+    assert {tuple(r) for r in similarity.pairs(photos).collect()} == plain and plain
+
+
+def test_numbers_and_breaks_of_a_hot_group(spark):
+    from framehouse.operators import runs
+
+    rows = [("hot", i * 7 % 500, f"p{i}") for i in range(500)] + [("cold", i, f"q{i}") for i in range(3)]
+    frame = spark.createDataFrame(rows, "g string, t long, path string").repartition(5)
+    got = {(r.g, r.t): (r["__n"], r["__all"]) for r in runs.numbered(frame, ["g"], ["t"]).collect()}
+    assert all(got["hot", i] == (i + 1, 500) for i in range(500)) and got["cold", 2] == (3, 3)
+    gaps = spark.createDataFrame([("a", t, str(t)) for t in (0, 5, 6, 30, 31, 70)] + [("b", 31, "x")], "g string, t long, path string")
+    assert {(r.g, r.t): r["__n"] for r in runs.breaks(gaps, "g", "t", ["path"], 10).collect()} == {("a", 0): 1, ("a", 5): 1, ("a", 6): 1, ("a", 30): 2, ("a", 31): 2, ("a", 70): 3, ("b", 31): 1}
