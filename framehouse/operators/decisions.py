@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framehouse.plans.lineage import written
+
 
 def is_automatic(confidence: Column) -> Column:
     """Whether a cluster may be decided without a person."""
@@ -34,7 +36,8 @@ def never_empty(decided: DataFrame) -> DataFrame:
 
 def deletion_plan(members: DataFrame, decisions: DataFrame, files: DataFrame, pair_overrides: DataFrame | None = None) -> DataFrame:
     """path, size, cluster, origin (null, or the deleted member whose partner this is), each path once."""
-    decided = never_empty(keep_wins(effective(members, decisions)))
+    # Written once: what is decided directly, what is kept and what a partner follows all read it.
+    decided = written(never_empty(keep_wins(effective(members, decisions))).select("path", "size", "cluster", "paired_path", "decision"), "decided")
     direct = decided.where("decision = 'delete'").groupBy("path").agg(F.max("size").alias("size"), F.min("cluster").alias("cluster"), F.max("paired_path").alias("paired_path"))
     kept = decided.where("decision = 'keep'").select("path").distinct()
     partners = direct.where("paired_path IS NOT NULL").groupBy(F.col("paired_path").alias("path")).agg(F.min(F.struct(F.col("path").alias("origin"), "cluster")).alias("o"))
