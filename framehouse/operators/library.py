@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framehouse.functions import media
+from framehouse.operators import runs
 
 
 def layout_moves(files: DataFrame, root: str, layout: str) -> DataFrame:
@@ -73,9 +74,9 @@ def pruned(table: DataFrame, current: DataFrame) -> DataFrame:
     return table.join(current.select("path").distinct(), "path", "left_semi")
 
 
-def source_log(runs: DataFrame) -> DataFrame:
+def source_log(history: DataFrame) -> DataFrame:
     """source, first_run, last_run, n_runs, last_copied, total_copied over (source, at, copied)."""
-    return runs.groupBy("source").agg(F.min("at").alias("first_run"), F.max("at").alias("last_run"), F.count("*").alias("n_runs"), F.max_by("copied", F.struct("at", "copied")).alias("last_copied"), F.sum("copied").alias("total_copied"))
+    return history.groupBy("source").agg(F.min("at").alias("first_run"), F.max("at").alias("last_run"), F.count("*").alias("n_runs"), F.max_by("copied", F.struct("at", "copied")).alias("last_copied"), F.sum("copied").alias("total_copied"))
 
 
 def transfer_totals(outcomes: DataFrame) -> DataFrame:
@@ -105,14 +106,26 @@ def year_marks(months: DataFrame) -> DataFrame:
 
 
 def abort_points(outcomes: DataFrame, run: str, most_in_a_row: int = 5, most: int = 20) -> DataFrame:
-    """run, aborted_at, reason: where a run's failures reach the limit. Success ends a row of them, skipping doesn't."""
-    order = Window.partitionBy(run).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    failed = (F.col("status") == "FAILED").cast("int")
-    counted = outcomes.withColumn("island", F.sum((F.col("status") == "COPIED").cast("int")).over(order)).withColumn("total", F.sum(failed).over(order))
-    row = F.sum(failed).over(Window.partitionBy(run, "island").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0))
-    reason = F.when(F.col("in_row") >= most_in_a_row, "consecutive").when(F.col("total") >= most, "total")
-    hits = counted.withColumn("in_row", row).withColumn("reason", reason).where(F.col("reason").isNotNull() & (failed == 1))
-    return hits.groupBy(run).agg(F.min("ordinal").alias("aborted_at"), F.min_by("reason", "ordinal").alias("reason"))
+    """run, aborted_at, reason: where a run's failures reach the limit. Success ends a row of them, skipping doesn't.
+
+    Outcomes are dealt by ranges of (run, ordinal) and counted where they are; a row for each run and range carries on what
+    its earlier ranges failed in all and since their last success. A null run is a run; a null status neither fails nor succeeds.
+    """
+    is_ = lambda status: F.coalesce((F.col("status") == status).cast("int"), F.lit(0))
+    dealt = runs.spread(outcomes.select(F.col(run).alias("run"), "ordinal", is_("FAILED").alias("failed"), is_("COPIED").alias("copied")), ["run"], ["ordinal"])
+    here = Window.partitionBy("run", "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    island = Window.partitionBy("run", "__part", "island").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumns({"island": F.sum("copied").over(here), "total": F.sum("failed").over(here)}).withColumn("in_row", F.sum("failed").over(island))
+    parts = local.groupBy("run", "__part").agg(F.sum("failed").alias("failed"), F.max("island").alias("succeeded"), F.max_by("in_row", "__at").alias("tail"))
+    ranges = Window.partitionBy("run").orderBy("__part")
+    since = parts.withColumn("stretch", F.count_if(F.col("succeeded") > 0).over(ranges.rowsBetween(Window.unboundedPreceding, 0)))
+    tails = since.withColumn("tails", F.sum("tail").over(Window.partitionBy("run", "stretch").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)))
+    before = tails.select(F.col("run").alias("__run"), F.col("__part").alias("__in"), runs.earlier(["run"], F.col("failed")).alias("failed_before"), F.coalesce(F.lag("tails").over(ranges), F.lit(0)).alias("row_before"))
+    met = local.where("failed = 1").join(before, F.col("run").eqNullSafe(F.col("__run")) & (F.col("__part") == F.col("__in")))
+    in_row = F.col("in_row") + F.when(F.col("island") == 0, F.col("row_before")).otherwise(0)
+    reason = F.when(in_row >= most_in_a_row, "consecutive").when(F.col("total") + F.col("failed_before") >= most, "total")
+    hits = met.withColumn("reason", reason).where("reason IS NOT NULL")
+    return hits.groupBy(F.col("run").alias(run)).agg(F.min("ordinal").alias("aborted_at"), F.min_by("reason", "ordinal").alias("reason"))
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:

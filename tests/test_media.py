@@ -157,3 +157,21 @@ def test_numbers_and_breaks_of_a_hot_group(spark):
     assert all(got["hot", i] == (i + 1, 500) for i in range(500)) and got["cold", 2] == (3, 3)
     gaps = spark.createDataFrame([("a", t, str(t)) for t in (0, 5, 6, 30, 31, 70)] + [("b", 31, "x")], "g string, t long, path string")
     assert {(r.g, r.t): r["__n"] for r in runs.breaks(gaps, "g", "t", ["path"], 10).collect()} == {("a", 0): 1, ("a", 5): 1, ("a", 6): 1, ("a", 30): 2, ("a", 31): 2, ("a", 70): 3, ("b", 31): 1}
+
+
+def test_abort_points_across_ranges(spark):
+    said = ["FAILED" if n % 7 in (1, 2, 4) else "SKIPPED" if n % 7 == 3 else "COPIED" for n in range(300)]
+    long_row = ["COPIED"] * 199 + ["FAILED", "SKIPPED"] * 40 + ["COPIED"] * 21
+    given = {"hot": said, "late": long_row, "few": ["FAILED"] * 4 + [None], None: ["FAILED"] * 6}
+    want = {}
+    for run, outcomes in given.items():
+        in_row = total = 0
+        for n, status in enumerate(outcomes):
+            in_row, total = (0 if status == "COPIED" else in_row + (status == "FAILED")), total + (status == "FAILED")
+            if status == "FAILED" and (in_row >= 5 or total >= 20):
+                want[run] = (n, "consecutive" if in_row >= 5 else "total")
+                break
+    rows = spark.createDataFrame([(run, n, s) for run, o in given.items() for n, s in enumerate(o)], "r string, ordinal int, status string")
+    got = {r.r: (r.aborted_at, r.reason) for r in library.abort_points(rows, "r").collect()}
+    assert got == want and len(want) == 3
+    assert library.abort_points(rows.limit(0), "r").count() == 0
