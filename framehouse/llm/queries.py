@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framehouse.llm import decontaminate, near_copies, nearest, packing, quality, repeats, token_shards, toxicity, url_filter, warc
+from framehouse.llm import codes, compression_rules, decontaminate, near_copies, nearest, packing, quality, repeats, token_shards, toxicity, url_filter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_history(_table(spark, sf_dir, "pages")).select(columns)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_repeats": op2_repeats,
@@ -65,8 +77,22 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_nearest": op9_nearest,
     "op10_warc_index": op10_warc_index,
+    "op11_whitening": op11_whitening,
+    "op12_compression_rules": op12_compression_rules,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+
+def _code_rounds(rounds: int = 4) -> str:
+    """The rounds of op13 as SQL: near<k> has each part's nearest entry of book<k>, book<k + 1> the floored means of its parts."""
+    near = """near{k} AS MATERIALIZED (SELECT rid, p, arg_min(e, ROW(gap, e)) AS e, min(gap) AS gap FROM (
+  SELECT a.rid, a.p, b.e, list_inner_product(a.x, a.x) - 2 * list_inner_product(a.x, b.x) + list_inner_product(b.x, b.x) AS gap FROM part a JOIN book{k} b USING (p)) GROUP BY rid, p)"""
+    book = """sums{n} AS (SELECT p, e, i, floor(sum(c) / count(*)) AS c FROM (SELECT p, e, unnest(range(len(x))) AS i, unnest(x) AS c FROM near{k} JOIN part USING (rid, p)) GROUP BY p, e, i),
+book{n} AS MATERIALIZED (SELECT p, e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS x FROM sums{n} GROUP BY p, e) m USING (p, e))"""
+    return ",\n".join([near.format(k=0), *(part for k in range(rounds) for part in (book.format(k=k, n=k + 1), near.format(k=k + 1)))])
+
+
 ORACLE_SQL = {
     "op1_url_filter": r"""
 WITH cut AS (
@@ -143,4 +169,13 @@ links AS (SELECT a AS k, sum(m.copies) AS links FROM pairs JOIN kinds m ON m.k =
 known AS (SELECT s, class_id, copy_id, (coalesce(links, 0) + copies - 1)::BIGINT AS n_links FROM kinds JOIN class USING (k) LEFT JOIN links USING (k))
 SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(n_links, 0) AS n_links
 FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN known USING (s)""",
+    "op13_vector_codes": f"""
+WITH good AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+part AS MATERIALIZED (SELECT rid, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM good, (SELECT unnest(range(4)) AS p)),
+book0 AS (SELECT p, rid - 1 AS e, x FROM part WHERE rid <= 256),
+{_code_rounds()},
+final AS (SELECT rid, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(gap)::BIGINT AS error FROM near4 GROUP BY rid),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda c: c::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM good JOIN final USING (rid), books""",
 }
