@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framehouse.functions import media
+from framehouse.operators import runs
 from framehouse.operators.library import upserted
 
-FOLDERS_KEPT = 12
-
 
 def cached(cache: DataFrame, namespace: int) -> DataFrame:
     """The raw rows of a namespace, by path."""
@@ -81,13 +80,6 @@ def without_root(index: DataFrame, root: str) -> DataFrame:
     return index.where(~F.col("folder_root").eqNullSafe(F.lit(root)))
 
 
-def folder_history(runs: DataFrame, keep: int = FOLDERS_KEPT) -> DataFrame:
-    """folder, n_runs, last_deleted, total_deleted, total_bytes over (folder, at, deleted, bytes): the last used folders."""
-    named = runs.withColumn("folder", F.trim("folder")).where("folder <> ''")
-    found = named.groupBy("folder").agg(F.max("at").alias("last_at"), F.count("*").alias("n_runs"), F.max_by("deleted", F.struct("at", "deleted")).alias("last_deleted"), F.sum("deleted").alias("total_deleted"), F.sum("bytes").alias("total_bytes"))
-    return found.orderBy(F.desc("last_at"), "folder").limit(keep)
-
-
 def outcomes_applied(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The queue after the outcomes (src_path, at, status) of a run: the last of each pending job; others stay."""
     last = outcomes.groupBy("src_path").agg(F.max_by("status", "at").alias("__new"))
@@ -105,29 +97,31 @@ def log_tail(lines: DataFrame, most_lines: int, most_bytes: int) -> DataFrame:
     return newest.withColumn("__held", held).where(F.col("__held") <= most_bytes).drop("__held")
 
 
-def speeds(samples: DataFrame, least_seconds: float = 0.5) -> DataFrame:
-    """run, at, bytes_per_second, left_seconds over (run, at, done, total): a sample counts if least_seconds passed since the
-    run's sample before it, as a progress bar takes them."""
-    order = Window.partitionBy("run").orderBy("at", "done")
-    before = samples.withColumns({"__at": F.lag("at").over(order), "__done": F.lag("done").over(order)}).where(F.col("at") - F.col("__at") >= least_seconds)
-    speed = (F.col("done") - F.col("__done")) / (F.col("at") - F.col("__at"))
-    return before.select("run", "at", speed.alias("bytes_per_second"), F.when(speed > 0, (F.col("total") - F.col("done")) / speed).alias("left_seconds"))
-
-
 def collision_names(wanted: DataFrame, taken: DataFrame, prefix: str = "_collision_", most: int = 9999) -> DataFrame:
-    """path, free: the path, or the first of its _collision_N names that isn't taken; null where none of ``most`` is free.
+    """ordinal, path, free over requests (ordinal, path): the path itself, or one of its _collision_N names; each is given once.
 
-    Taken numbers are found by the name that they belong to, and the first gap is where a number isn't its own rank.
+    The r-th request of a path takes the r-th name that is free, the path itself before its numbers; null where none of
+    ``most`` is left. A name is taken if a file has it, or if another request asks for just that name. Of the sorted taken
+    numbers, the i-th has (number - i) free ones below it, so the r-th free number is r plus how many of these are below r.
     """
-    known = taken.select("path").distinct()
-    busy = wanted.select("path").distinct().join(known, "path", "left_semi")
-    name = media.stem(F.col("path"))
-    numbered = known.select(F.concat(F.regexp_replace(name, rf"{prefix}\d+$", ""), media.suffix(F.col("path"))).alias("path"), F.regexp_extract(name, rf"{prefix}([1-9]\d*)$", 1).try_cast("int").alias("k")).where(F.col("k").between(1, most))
-    order = Window.partitionBy("path").orderBy("k")
-    gap = numbered.distinct().withColumn("r", F.row_number().over(order)).groupBy("path").agg(F.min(F.when(F.col("k") != F.col("r"), F.col("r"))).alias("gap"), F.max("r").alias("last"))
-    first = busy.join(gap, "path", "left").select("path", F.coalesce("gap", F.col("last") + 1, F.lit(1)).alias("k"))
-    free = F.when(F.col("k") <= most, F.concat(name, F.lit(prefix), F.col("k").cast("string"), media.suffix(F.col("path"))))
-    return wanted.select("path").distinct().join(first, "path", "left").select("path", F.when(F.col("k").isNull(), F.col("path")).otherwise(free).alias("free"))
+    numbered = runs.numbered(wanted.select("ordinal", "path").where("path IS NOT NULL"), ["path"], ["ordinal"]).drop("__all")
+    asked = numbered.where("__n = 1").select("path")
+    there = taken.select("path").where("path IS NOT NULL").distinct()
+    busy = there.withColumn("__busy", F.lit(1))
+    ranked = numbered.join(busy, "path", "left").withColumn("r", F.col("__n") - F.when(F.col("__busy").isNull(), 1).otherwise(0)).select("ordinal", "path", "r")
+    # A number belongs to the name in front of it, which may end in another number.
+    stem = media.stem(F.col("path"))
+    parts = F.regexp_extract(stem, rf"^(.*){prefix}([1-9]\d*)$", 2), F.concat(F.regexp_extract(stem, rf"^(.*){prefix}([1-9]\d*)$", 1), media.suffix(F.col("path")))
+    numbers = there.unionByName(asked).distinct().select(parts[1].alias("path"), parts[0].try_cast("int").alias("k")).where(F.col("k").between(1, most))
+    # No more than ``most`` numbers and requests of a path meet.
+    below = numbers.withColumn("v", F.col("k") - F.row_number().over(Window.partitionBy("path").orderBy("k"))).select("path", F.lit(None).cast("long").alias("ordinal"), F.col("v").cast("long").alias("v"))
+    both = below.unionByName(ranked.where((F.col("r") > 0) & (F.col("r") <= most)).select("path", "ordinal", F.col("r").cast("long").alias("v")))
+    passed = F.count_if(F.col("ordinal").isNull()).over(Window.partitionBy("path").orderBy("v", F.col("ordinal").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    k = F.col("v") + F.col("passed")
+    named = F.when(k <= most, F.concat(stem, F.lit(prefix), k.cast("string"), media.suffix(F.col("path"))))
+    given = both.withColumn("passed", passed).where("ordinal IS NOT NULL").select("ordinal", "path", named.alias("free"))
+    plain = ranked.where("r = 0").select("ordinal", "path", F.col("path").alias("free"))
+    return given.unionByName(plain).unionByName(ranked.where(F.col("r") > most).select("ordinal", "path", F.lit(None).cast("string").alias("free")))
 
 
 def hit_rate(hits: Column, misses: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framehouse.functions import media, scores
-from framehouse.operators import decisions, library, planning, receipts, review, runs, similarity, tables
+from framehouse.operators import decisions, library, planning, progress, receipts, recency, review, runs, similarity, tables
 from framehouse.plans import views
 from framehouse.plans.catalog import ANNOTATED, CLUSTERS, LIBRARY, PLAN, _library, _members, _plan, query
 from framehouse.plans.views import with_views
@@ -144,10 +144,15 @@ def fingerprint_upsert(spark, sf_dir):
     return tables.without_root(after, "/root1").select("path", "digest")
 
 
-@query(with_views("jobs") + "SELECT '/r' || run AS folder, count(*) AS n_runs, arg_max(ordinal % 10, (ordinal, ordinal % 10)) AS last_deleted, sum(ordinal % 10)::BIGINT AS total_deleted, sum(bytes)::BIGINT AS total_bytes FROM jobs GROUP BY 1 ORDER BY max(ordinal) DESC, 1 LIMIT 12")
+@query(with_views("jobs") + """, h AS (SELECT '/r' || run AS folder, ordinal AS "at", ordinal % 10 AS deleted, ordinal % 3 AS failed, bytes, row_number() OVER (ORDER BY ordinal) AS i FROM jobs),
+p AS (SELECT *, lag(i) OVER (PARTITION BY folder ORDER BY i) AS before FROM h),
+met AS (SELECT a.i, count(DISTINCT b.folder) AS others FROM p a LEFT JOIN p b ON b.i > a.before AND b.i < a.i GROUP BY a.i),
+new AS (SELECT folder, max(i) AS began FROM p JOIN met USING (i) WHERE before IS NULL OR others >= 12 GROUP BY folder),
+told AS (SELECT folder, max(i) AS used, count(*) AS n_runs, arg_max(deleted, i) AS last_deleted, arg_max(failed, i) AS last_failed, arg_max(bytes, i) AS last_bytes, sum(deleted)::BIGINT AS total_deleted, sum(failed)::BIGINT AS total_failed, sum(bytes)::BIGINT AS total_bytes FROM p JOIN new USING (folder) WHERE i >= began GROUP BY folder)
+SELECT * EXCLUDE (used), (row_number() OVER (ORDER BY used DESC))::INT AS place FROM told ORDER BY used DESC LIMIT 12""")
 def dedupe_folder_history(spark, sf_dir):
-    runs = views.copy_jobs(spark, sf_dir).select(F.concat(F.lit(" /r"), F.col("run").cast("string"), F.lit(" ")).alias("folder"), F.col("ordinal").alias("at"), (F.col("ordinal") % 10).alias("deleted"), "bytes")
-    return tables.folder_history(runs).drop("last_at")
+    history = views.copy_jobs(spark, sf_dir).select(F.concat(F.lit(" /r"), F.col("run").cast("string"), F.lit(" ")).alias("folder"), F.col("ordinal").alias("at"), (F.col("ordinal") % 10).alias("deleted"), (F.col("ordinal") % 3).alias("failed"), "bytes")
+    return recency.folder_history(history)
 
 
 @query(with_views("jobs") + "SELECT ordinal, CASE WHEN status = 'PENDING' AND ordinal % 3 = 0 THEN 'COPIED' WHEN status = 'PENDING' AND ordinal % 3 = 1 THEN 'FAILED' ELSE status END AS status FROM jobs")
@@ -171,16 +176,17 @@ def histogram_of_destination(spark, sf_dir):
     return planning.histogram_of_paths(_library(spark, sf_dir))
 
 
-@query(with_views("media") + """, t AS (SELECT ordinal, '/d/p' || (ordinal // 4) || CASE ordinal % 4 WHEN 0 THEN '' WHEN 1 THEN '_collision_1' WHEN 2 THEN CASE WHEN ordinal % 3 = 0 THEN '_collision_3' ELSE '_collision_2' END ELSE '_collision_4' END || '.jpg' AS path FROM media WHERE ordinal % 5 <> 0),
-w AS (SELECT DISTINCT '/d/p' || (ordinal // 4) AS base FROM media),
-c AS (SELECT base, n, CASE WHEN n = 0 THEN base || '.jpg' ELSE base || '_collision_' || n || '.jpg' END AS name FROM w, range(0, 6) r(n))
-SELECT base || '.jpg' AS path, arg_min(name, n) AS free FROM c WHERE name NOT IN (SELECT path FROM t) GROUP BY base""")
+@query(with_views("media") + """, t AS (SELECT DISTINCT '/d/p' || (ordinal // 4) || CASE ordinal % 4 WHEN 0 THEN '' WHEN 1 THEN '_collision_1' WHEN 2 THEN CASE WHEN ordinal % 3 = 0 THEN '_collision_3' ELSE '_collision_2' END ELSE '_collision_4' END || '.jpg' AS path FROM media WHERE ordinal % 5 <> 0),
+w AS (SELECT ordinal, '/d/p' || (ordinal // 4) AS base, row_number() OVER (PARTITION BY ordinal // 4 ORDER BY ordinal) AS r FROM media),
+c AS (SELECT DISTINCT base, n, CASE WHEN n = 0 THEN base || '.jpg' ELSE base || '_collision_' || n || '.jpg' END AS name FROM w, range(0, 12) x(n)),
+f AS (SELECT base, name, row_number() OVER (PARTITION BY base ORDER BY n) AS r FROM c WHERE name NOT IN (SELECT path FROM t))
+SELECT ordinal, base || '.jpg' AS path, name AS free FROM w JOIN f USING (base, r)""")
 def collision_names(spark, sf_dir):
     files, base = views.media_files(spark, sf_dir), F.concat(F.lit("/d/p"), F.floor(F.col("ordinal") / 4).cast("string"))
     i = F.col("ordinal") % 4
     tail = F.when(i == 0, "").when(i == 1, "_collision_1").when(i == 2, F.when(F.col("ordinal") % 3 == 0, "_collision_3").otherwise("_collision_2")).otherwise("_collision_4")
     taken = files.where("ordinal % 5 <> 0").select(F.concat(base, tail, F.lit(".jpg")).alias("path"))
-    return tables.collision_names(files.select(F.concat(base, F.lit(".jpg")).alias("path")), taken)
+    return tables.collision_names(files.select("ordinal", F.concat(base, F.lit(".jpg")).alias("path")), taken)
 
 
 @query(with_views("jobs") + "SELECT ordinal, bytes FROM (SELECT *, sum(strlen(src_path)) OVER (ORDER BY ordinal DESC) AS held FROM (SELECT * FROM jobs ORDER BY ordinal DESC LIMIT 400)) WHERE held <= 3000")
@@ -189,11 +195,14 @@ def log_tail(spark, sf_dir):
     return tables.log_tail(lines, 400, 3000).select("ordinal", "bytes")
 
 
-@query(with_views("jobs") + """, s AS (SELECT run, ordinal / 4.0::DOUBLE AS "at", (bytes * 3)::DOUBLE AS done, 2000000.0::DOUBLE AS total FROM jobs), l AS (SELECT *, "at" - lag("at") OVER w AS dt, done - lag(done) OVER w AS dd FROM s WINDOW w AS (PARTITION BY run ORDER BY "at", done))
-SELECT run, "at", round(dd / dt, 6) AS bytes_per_second, CASE WHEN dd / dt > 0 THEN round((total - done) / (dd / dt), 6) END AS left_seconds FROM l WHERE dt >= 0.5""")
+@query(with_views("jobs") + """, s AS (SELECT run % 7 AS run, (ordinal * 5 % 9973) / 16.0::DOUBLE AS "at", (bytes * 3)::DOUBLE AS done, row_number() OVER (PARTITION BY run % 7 ORDER BY ordinal * 5 % 9973, bytes) AS i FROM jobs),
+next AS (SELECT a.run, a.i, min(b.i) AS j FROM s a JOIN s b ON b.run = a.run AND b."at" >= a."at" + 0.5 AND b."at" < a."at" + 60 GROUP BY a.run, a.i),
+chain AS (SELECT run, 1::BIGINT AS i, NULL::BIGINT AS before FROM (SELECT DISTINCT run FROM s) UNION ALL SELECT c.run, n.j, c.i FROM chain c JOIN next n USING (run, i)),
+d AS (SELECT y.run, y."at", (y.done - x.done) / (y."at" - x."at") AS speed, 2000000.0::DOUBLE - y.done AS missing FROM chain c JOIN s y USING (run, i) JOIN s x ON x.run = c.run AND x.i = c.before)
+SELECT run, "at", round(speed, 6) AS bytes_per_second, CASE WHEN speed > 0 THEN round(missing / speed, 6) END AS left_seconds FROM d""")
 def transfer_speed(spark, sf_dir):
-    samples = views.copy_jobs(spark, sf_dir).select("run", (F.col("ordinal") / 4.0).alias("at"), (F.col("bytes") * 3).cast("double").alias("done"), F.lit(2_000_000.0).alias("total"))
-    return tables.speeds(samples).withColumns({c: F.round(c, 6) for c in ("bytes_per_second", "left_seconds")})
+    samples = views.copy_jobs(spark, sf_dir).select((F.col("run") % 7).alias("run"), (F.col("ordinal") * 5 % 9973 / 16.0).alias("at"), (F.col("bytes") * 3).cast("double").alias("done"), F.lit(2_000_000.0).alias("total"))
+    return progress.speeds(samples).withColumns({c: F.round(c, 6) for c in ("bytes_per_second", "left_seconds")})
 
 
 @query(with_views("media") + "SELECT ordinal, CASE WHEN size < 60 THEN 'less than 1m remaining' WHEN size < 3600 THEN (size // 60) || 'm remaining' ELSE (size // 3600) || 'h ' || (size % 3600 // 60) || 'm remaining' END AS text FROM media")
