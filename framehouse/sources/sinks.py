@@ -1,14 +1,10 @@
-"""Reports, reviews, events and versioned tables as files."""
+"""Reports, reviews and events as files."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framehouse.plans.lineage import delete_path
-
 
 def write_report(plan: DataFrame, path: str) -> None:
     """CSV of source, destination, hash and status, every field quoted, in the order of the plan."""
@@ -24,34 +20,3 @@ def event_lines(events: DataFrame, version: int = 1) -> DataFrame:
     """value: one JSON object of each row, keys in order and without nulls, for any text sink."""
     columns = sorted([*events.columns, "event_version"])
     return events.withColumn("event_version", F.lit(version)).select(F.to_json(F.struct(*columns)).alias("value"))
-
-
-class VersionedTable:
-    """A Parquet table replaced whole: a new version is written beside the old one, then the pointer names it.
-
-    Plain Parquet can't be changed in place. A reader sees the old version or the new, never a part of one.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _current(self) -> str | None:
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        pointer = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointer")
-        if not pointer.getFileSystem(hadoop).exists(pointer):
-            return None
-        named = self.spark.read.text(f"{self.path}/pointer").first()
-        return named.value if named else None
-
-    def read(self) -> DataFrame:
-        version = self._current()
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
-
-    def replace(self, df: DataFrame) -> None:
-        old, new = self._current(), f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{new}")
-        self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/pointer")
-        if old is not None:
-            delete_path(self.spark, f"{self.path}/{old}")

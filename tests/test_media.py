@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framehouse.functions import media, scores
 from framehouse.operators import events, graph, library, planning, similarity
-from framehouse.sources import scan, sinks
+from framehouse.sources import scan
 from framehouse.streaming import changes
 
 
@@ -117,14 +117,6 @@ def test_scan_and_identity(spark, tmp_path):
     assert [tuple(r) for r in scan.read_profiles(spark, text).collect()] == [("default", "/x", "/y"), ("b", "/s", "/d")]
 
 
-def test_versioned_table(spark, tmp_path):
-    table = sinks.VersionedTable(spark, str(tmp_path / "t"), "a int")
-    assert table.read().count() == 0
-    table.replace(spark.range(3).select(F.col("id").cast("int").alias("a")))
-    table.replace(table.read().where("a > 0"))
-    assert sorted(r.a for r in table.read().collect()) == [1, 2]
-
-
 def test_change_feed(spark, tmp_path):
     src = str(tmp_path / "in")
     batch = lambda rows: spark.createDataFrame(rows, "path string, at timestamp, stamp double").coalesce(1).write.mode("append").parquet(src)
