@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from framehouse.functions import media, scores
-from framehouse.operators import decisions, library, planning, progress, receipts, recency, review, runs, similarity, tables
+from framehouse.functions import media, pixels, scores
+from framehouse.operators import decisions, library, links, planning, progress, receipts, recency, review, runs, similarity, tables
 from framehouse.plans import views
 from framehouse.plans.catalog import ANNOTATED, CLUSTERS, LIBRARY, PLAN, _library, _members, _plan, query
 from framehouse.plans.views import with_views
@@ -300,6 +300,36 @@ def face_geometry(spark, sf_dir):
     return views.table(spark, sf_dir, "embeddings").select("vec_id", *[F.round(c, 9).alias(k) for k, c in told.items()])
 
 
+@query("""WITH g AS (SELECT vec_id, list_transform(range(72), lambda i: floor(128 + 255 * embedding[i % 64 + 1]::DOUBLE)::INT) AS p FROM embeddings),
+l AS (SELECT vec_id, p, list_transform(range(42), lambda i: p[(i // 7) * 9 + i % 7 + 2] + p[(i // 7 + 2) * 9 + i % 7 + 2] + p[(i // 7 + 1) * 9 + i % 7 + 1] + p[(i // 7 + 1) * 9 + i % 7 + 3] - 4 * p[(i // 7 + 1) * 9 + i % 7 + 2]) AS v FROM g),
+m AS (SELECT vec_id, p, list_sum(list_transform(v, lambda x: x::DOUBLE * x)) / 42 AS q, list_sum(v)::DOUBLE / 42 AS s,
+  list_sum(list_transform(range(64), lambda i: CASE WHEN p[i + i // 8 + 1] < p[i + i // 8 + 2] THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END)) AS bits FROM l)
+SELECT vec_id, (CASE WHEN bits >= 9223372036854775808 THEN bits - 18446744073709551616 ELSE bits END)::BIGINT AS dhash, round(q - s * s, 6) AS variance, round(log10(1 + 20 * least(1, q / 65025)) / log10(21), 9) AS sharpness FROM m""")
+def pixel_features(spark, sf_dir):
+    gray = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.floor(128 + 255 * F.get("embedding", i % 64).cast("double")).cast("int"))
+    images = views.table(spark, sf_dir, "embeddings").select("vec_id", gray.alias("p"), F.lit(9).alias("w"), F.lit(8).alias("h"))
+    image = F.col("p"), F.col("w"), F.col("h")
+    return images.select("vec_id", pixels.dhash(F.col("p")).alias("dhash"), F.round(pixels.laplacian_variance(*image), 6).alias("variance"), F.round(pixels.sharpness(*image), 9).alias("sharpness"))
+
+
+@query(r"""WITH RECURSIVE s AS (SELECT DISTINCT source, regexp_extract(source, '[0-9]+$')::INT AS k FROM documents WHERE source IS NOT NULL),
+links AS (SELECT '/lib/' || source AS link, CASE k % 4 WHEN 0 THEN '../real/' || source WHEN 1 THEN '/lib/src' || (k - 1) WHEN 2 THEN 'src' || (k + 1) || '/deep' END AS target FROM s WHERE k % 4 < 3 UNION ALL SELECT '/real/src8', '/real/src9' UNION ALL SELECT '/real/src9', './src8'),
+p AS (SELECT doc_id, '/lib/' || coalesce(source, 'none') || '/./' || lang || '/../' || doc_id || '.jpg' AS path, '/lib/' || coalesce(source, 'none') || '/' || doc_id || '.jpg' AS now FROM documents),
+r AS (SELECT doc_id, path, now, 0 AS n FROM p UNION ALL
+  SELECT doc_id, path, regexp_replace(regexp_replace(CASE WHEN starts_with(target, '/') THEN target ELSE regexp_replace(link, '/[^/]*$', '') || '/' || target END || substr(now, length(link) + 1), '/[^/]+/\.\./', '/'), '/\./', '/'), n + 1
+  FROM (SELECT r.*, link, target, row_number() OVER (PARTITION BY doc_id, r.path ORDER BY length(link)) AS o FROM r JOIN links ON starts_with(now, link || '/') WHERE n < 41) WHERE o = 1),
+e AS (SELECT DISTINCT path, arg_max(now, n) AS now, max(n) AS n FROM r GROUP BY doc_id, path)
+SELECT path, CASE WHEN n <= 40 THEN now END AS real, n <= 40 AND starts_with(now, '/lib/') AS inside FROM e""")
+def contained_paths(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents")
+    k = F.regexp_extract("source", "[0-9]+$", 0).cast("int")
+    target = F.when(k % 4 == 0, F.concat(F.lit("../real/"), "source")).when(k % 4 == 1, F.concat(F.lit("/lib/src"), (k - 1).cast("string"))).when(k % 4 == 2, F.concat(F.lit("src"), (k + 1).cast("string"), F.lit("/deep")))
+    known = docs.where("source IS NOT NULL").select("source").distinct().select(F.concat(F.lit("/lib/"), "source").alias("path"), target.alias("target")).where("target IS NOT NULL")
+    known = known.unionByName(spark.createDataFrame([("/real/src8", "/real/src9"), ("/real/src9", "./src8")], "path string, target string"))
+    paths = docs.select(F.concat(F.lit("/lib/"), F.coalesce("source", F.lit("none")), F.lit("/./"), "lang", F.lit("/../"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"))
+    return links.contained(paths, "/lib", known)
+
+
 @query("SELECT doc_id, doc_id % 5 IN (0, 1, 3) AS trusted FROM documents")
 def trusted_roots(spark, sf_dir):
     roots = F.element_at(F.array(*map(F.lit, ("/home/me/pics", "/data/photos/src/ ", "/data", "/Volumes/card", "/Volumes/"))), (F.col("doc_id") % 5 + 1).cast("int"))
