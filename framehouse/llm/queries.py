@@ -124,16 +124,17 @@ WITH words AS (
   UNION ALL SELECT 'b', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
 sh AS (SELECT kind, id, len(w) - 4 AS total, unnest(range(0, len(w) - 4)) AS i, w FROM words WHERE len(w) >= 5),
 pos AS (SELECT kind, id, total, i, array_to_string(w[i + 1:i + 5], ' ') AS s FROM sh),
-starts AS (
-  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.total, b.total AS n, greatest(d.i - b.i, 0) AS f, least(d.i - b.i + b.total, d.total) AS t
-  FROM pos d JOIN pos b ON d.s = b.s WHERE d.kind = 'd' AND b.kind = 'b'),
-have AS (SELECT doc_id, item_id, n, f, t, s, count(*) AS c FROM starts JOIN pos ON kind = 'd' AND id = doc_id AND i >= f AND i < t GROUP BY ALL),
+met AS (SELECT d.id AS doc_id, b.id AS item_id, d.total, b.total AS n, d.i AS spot, d.i - b.i AS same FROM pos d JOIN pos b ON d.s = b.s WHERE d.kind = 'd' AND b.kind = 'b'),
+near AS (SELECT doc_id, item_id, total, n FROM (SELECT DISTINCT doc_id, item_id, total, n, spot FROM met) GROUP BY ALL HAVING count(*) >= 0.8 * n),
+each_start AS (SELECT DISTINCT doc_id, item_id, total, n, unnest(range(spot - n + 1, spot + 1)) AS f0 FROM (SELECT DISTINCT doc_id, item_id, total, n, spot FROM met SEMI JOIN near USING (doc_id, item_id))),
+starts AS (SELECT e.doc_id, e.item_id, n, f0, greatest(f0, 0) AS f, least(f0 + n, total) AS t, o.same IS NOT NULL AS aligned FROM each_start e LEFT JOIN (SELECT DISTINCT doc_id, item_id, same FROM met) o ON o.doc_id = e.doc_id AND o.item_id = e.item_id AND o.same = f0),
+have AS (SELECT doc_id, item_id, n, f0, f, t, aligned, s, count(*) AS c FROM starts JOIN pos ON kind = 'd' AND id = doc_id AND i >= f AND i < t GROUP BY ALL),
 item AS (SELECT id AS item_id, s, count(*) AS ic FROM pos WHERE kind = 'b' GROUP BY ALL),
 sim AS (
-  SELECT doc_id, item_id, f, t, sum(least(c, ic)) AS common, any_value(n) AS n FROM have JOIN item USING (item_id, s) GROUP BY doc_id, item_id, f, t),
-ok AS (SELECT doc_id, item_id, f, t, common / (t - f + n - common) AS similarity FROM sim)
+  SELECT doc_id, item_id, f, t, aligned, sum(least(c, ic)) AS common, any_value(n) AS n FROM have JOIN item USING (item_id, s) GROUP BY doc_id, item_id, f0, f, t, aligned),
+ok AS (SELECT doc_id, item_id, f, t, aligned, common / (t - f + n - common) AS similarity FROM sim)
 SELECT doc_id, item_id, f AS start, t - f + 4 AS n_words, similarity FROM ok WHERE similarity >= 0.8
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, f) = 1""",
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, aligned DESC, f, t) = 1""",
     "op10_warc_index": r"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
 h AS (SELECT *, sha1(html) AS hex, count(*) OVER (PARTITION BY html) AS n, max(page_id) OVER (PARTITION BY html) AS latest FROM p),
