@@ -8,9 +8,11 @@ dropped when, from a uniform prior, the posterior probability that its similarit
 ``TOLERANCE``; values of 16 bits agree by chance once in 65,536, at any length of the texts, and the posterior counts that
 in. What is left is verified on the sets of 64-bit hashes, without estimates.
 
-Pairs never become rows. A band's members are cut into blocks of about ``BLOCK`` members, or fewer where their sets are
-large (``BLOCK_BYTES``), and each pair of blocks meets in a task; a member's row carries the list of its partners there. Verification gives each member the number of its links and
-the root of its part of the graph, and components come of these by rounds of large and small stars.
+Pairs never become rows. A band's members are cut into blocks, and each pair of blocks meets in a task, so a member is sent
+as often as there are blocks: up to ``BLOCKS`` however many members there are, until their sets fill ``BLOCK_BYTES`` a block
+(or their signatures do). A member's row carries its partners there, as bits where they are many. Verification gives each
+member the number of its links and the root of its part of the graph, and components come of these by rounds of large and
+small stars. All pairs of a clique are compared: that work, and a bit for each pair, is quadratic in the clique.
 
 Defined results: null and empty texts and those without letters or digits have no words: no links, each row a class of
 its own. Repeated rows are copies: they link with each other. A row with a null doc_id is judged alike; a class has the
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framehouse.llm.decontaminate import words_of
-from framehouse.plans.lineage import delete_path, fresh_path, written
+from framehouse.operators import graph
+from framehouse.plans.lineage import written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, AT_ONCE, TOLERANCE = 40, 5, 20, 1e-9
-BLOCK, BLOCK_BYTES = 256, 32 << 20
+BLOCK, BLOCKS, BLOCK_BYTES = 256, 8, 32 << 20
+LEFT, RIGHT = 256, 4096
 HASHES = BANDS * ROWS
 RNG = np.random.default_rng(4)
 FACTORS = RNG.integers(1, 1 << 64, (2, HASHES), np.uint64) | np.uint64(1)
@@ -141,11 +145,11 @@ def band_hashes(sigs: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def surviving(sigs: np.ndarray, bands: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, similarity: float, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the members ``left`` and ``right`` whose first shared band is this one and that outlive every comparison."""
+def surviving(sigs: np.ndarray, bands: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, similarity: float, need: list[int], ordered: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the members ``left`` and ``right`` (each pair once, if ordered) whose first shared band is this one and that outlive every comparison."""
     fits = np.minimum(sizes[left, None], sizes[None, right]) >= similarity * np.maximum(sizes[left, None], sizes[None, right])
-    if left is right:
-        fits &= np.arange(len(left))[:, None] < np.arange(len(left))[None, :]
+    if ordered:
+        fits &= left[:, None] < right[None, :]
     for k in range(band):
         fits &= bands[left, k, None] != bands[None, right, k]
     a, b = np.nonzero(fits)
@@ -160,42 +164,67 @@ def surviving(sigs: np.ndarray, bands: np.ndarray, sizes: np.ndarray, left: np.n
     return a, b
 
 
-def common_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many hashes each pair has in common; by products of incidence blocks where most pairs are asked for."""
-    if len(a) <= 4 * len(sets):
-        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist())], np.int64)
+def packed(places: np.ndarray, n: int) -> bytes:
+    """Ascending places below n, as a list or as bits, whichever is shorter."""
+    if 32 * len(places) <= n:
+        return b"\0" + places.astype("<u4").tobytes()
+    flags = np.zeros(n, bool)
+    flags[places] = True
+    return b"\1" + np.packbits(flags).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    if data[0] == 0:
+        return np.frombuffer(data, "<u4", offset=1).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)))
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many hashes left[a] and right[b] have in common; by products of incidence blocks where many pairs are asked for."""
+    if len(a) <= 2 * (len(left) + len(right)):
+        return np.array([len(np.intersect1d(left[i], right[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist())], np.int64)
+    sets = [*left, *right]
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(ids, kind="stable")
     ids, row = ids[order], row[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2**24 a block, summed exactly while sets are smaller
+    total = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2**24 a block, summed exactly while sets are smaller
     exact = np.zeros(len(a), np.int64)
     for c in range(0, int(ids[-1]) + 1, 4096):
         lo, hi = np.searchsorted(ids, [c, c + 4096])
         block = np.zeros((len(sets), 4096), np.float32)
         block[row[lo:hi], ids[lo:hi] - c] = 1
-        total += block @ block.T
+        total += block[: len(left)] @ block[len(left) :].T
         if c // 4096 % 2048 == 2047:
             exact += total[a, b].astype(np.int64)
             total[:] = 0
     return exact + total[a, b].astype(np.int64)
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of each member's component."""
-    parent = list(range(n))
+class Roots:
+    """The smallest member of each member's component, by rows of links: a row of links that are all of one component costs a look."""
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def __init__(self, n: int):
+        self.of = np.arange(n)
 
-    for i, j in zip(a.tolist(), b.tolist()):
-        i, j = find(i), find(j)
-        if i != j:
-            parent[max(i, j)] = min(i, j)
-    return np.array([find(x) for x in range(n)], np.int64)
+    def link(self, member: int, others: np.ndarray) -> None:
+        found = np.unique(np.append(self.of[others], self.of[member]))
+        if len(found) > 1:
+            self.of[np.isin(self.of, found[1:])] = found[0]
+
+
+def meetings(banded: DataFrame) -> DataFrame:
+    """band, value, i, j (a pair of blocks, i <= j), own (the member's block), cid: where each member of a band meets others.
+
+    banded has band, value, cid, n. A member has a row for each block, its own and each other one once.
+    """
+    shared = banded.groupBy("band", "value").agg(F.count("*").alias("m"), F.sum("n").alias("hashes")).where("m > 1")
+    by_bytes = F.greatest(F.ceil(F.col("hashes") * 8 / BLOCK_BYTES), F.ceil(F.col("m") * (HASHES * 2) / BLOCK_BYTES))
+    blocks = F.least(F.col("m"), F.greatest(F.least(F.ceil(F.col("m") / BLOCK), F.lit(BLOCKS)), by_bytes)).cast("int")
+    members = banded.drop("n").join(shared, ["band", "value"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    return members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid")
 
 
 def linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -213,12 +242,7 @@ def linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["band", "value", "cid", "n"])
 
     banded = written(reps.select("cid", "n", "sig").mapInArrow(band, "band int, value long, cid long, n int"), "near-bands")
-    shared = banded.groupBy("band", "value").agg(F.count("*").alias("m"), F.sum("n").alias("hashes")).where("m > 1")
-    blocks = F.least(F.col("m"), F.ceil(F.greatest(F.col("m") / BLOCK, F.col("hashes") * 8 / BLOCK_BYTES))).cast("int")
-    banded = banded.drop("n")
-    members = banded.join(shared, ["band", "value"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    # A member meets its own block and each other one once: (i, j) with i <= j.
-    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid")
+    met = meetings(banded)
     key = ["band", "value", "i", "j"]
 
     def prune(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -226,25 +250,28 @@ def linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
         cols = {k: table.column(k).to_numpy() for k in names if k != "sig"}
         data = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
         values = band_hashes(data)
-        at, partners = [], []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
             own, i, j = cols["own"][lo:hi], cols["i"][lo], cols["j"][lo]
             left = lo + np.flatnonzero(own == i)
             right = left if i == j else lo + np.flatnonzero(own == j)
-            a, b = surviving(data, values, cols["n"], left, right, int(cols["band"][lo]), similarity, need)
-            if len(a):
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], b[order]
+            if not len(left) or not len(right):
+                continue
+            lists, known = {}, np.zeros(hi - lo, bool)
+            for x in range(0, len(left), LEFT):
+                found = [surviving(data, values, cols["n"], left[x : x + LEFT], right[y : y + RIGHT], int(cols["band"][lo]), similarity, need, i == j) for y in range(0, len(right), RIGHT)]
+                a, b = (np.concatenate(parts) for parts in zip(*found))
+                order = np.lexsort((b, a))
+                a, b = a[order] - lo, b[order] - lo
                 who, first = np.unique(a, return_index=True)
-                lists = dict(zip(who.tolist(), np.split(cols["cid"][b].astype("<i8"), first[1:])))
-                for k in np.union1d(a, b).tolist():
-                    at.append(k)
-                    partners.append(lists[k].tobytes() if k in lists else b"")
-        if at:
-            picked = [pa.array(cols[k][at]) for k in [*key, "cid", "n", "copies"]]
-            yield pa.RecordBatch.from_arrays([*picked, pa.array(partners, pa.binary())], [*key, "cid", "n", "copies", "partners"])
-
-    schema = "band int, value long, i int, j int, cid long, n int, copies long, partners binary"
+                lists.update((k, packed(places, hi - lo)) for k, places in zip(who.tolist(), np.split(b, first[1:])))
+                known[a] = known[b] = True
+            at = np.flatnonzero(known)
+            for c in range(0, len(at), 2048):
+                some = at[c : c + 2048]
+                picked = [pa.array(cols[k][lo + some]) for k in [*key, "cid", "n", "copies"]]
+                yield pa.RecordBatch.from_arrays([*picked, pa.array(some.astype(np.int32)), pa.array([lists.get(k, b"") for k in some.tolist()], pa.binary())], [*key, "cid", "n", "copies", "place", "partners"])
+
+    schema = "band int, value long, i int, j int, cid long, n int, copies long, place int, partners binary"
     signed_members = met.join(reps.select("cid", "n", "copies", "sig"), "cid")
     pruned = written(by_group(key, prune, schema)(signed_members, parts), "near-pruned")
 
@@ -260,55 +287,38 @@ def linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     sets = shingled(texts).select("cid", "words").mapInArrow(sets_of, "cid long, shingles binary")
 
     def verify(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cid, n, copies = (table.column(k).to_numpy() for k in ("cid", "n", "copies"))
-        partners, data = table.column("partners").to_pylist(), table.column("shingles").to_pylist()
-        found = [[], [], []]
+        cid, n, copies, place = (table.column(k).to_numpy() for k in ("cid", "n", "copies", "place"))
+        partners, data = table.column("partners"), table.column("shingles")
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            own = cid[lo:hi]  # ascending
-            lists = [np.frombuffer(p, "<i8") for p in partners[lo:hi]]
-            a = np.repeat(np.arange(hi - lo), [len(x) for x in lists])
-            b = np.searchsorted(own, np.concatenate(lists))
-            common = common_counts([np.frombuffer(d, "<u8") for d in data[lo:hi]], a, b)
-            union = n[lo:hi][a].astype(np.int64) + n[lo:hi][b] - common
-            yes = common >= similarity * union
-            a, b = a[yes], b[yes]
-            if len(a):
-                links = np.zeros(hi - lo, np.int64)
-                np.add.at(links, a, copies[lo:hi][b])
-                np.add.at(links, b, copies[lo:hi][a])
-                has = np.flatnonzero(links)
-                for own_list, x in zip(found, (own[has], links[has], own[roots(hi - lo, a, b)[has]])):
-                    own_list.append(x)
-        if found[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], ["cid", "n_links", "root"])
+            links, roots = np.zeros(hi - lo, np.int64), Roots(hi - lo)
+            sets = [np.frombuffer(d.as_buffer(), "<u8") for d in data.slice(lo, hi - lo)]
+            sizes, count = n[lo:hi].astype(np.int64), copies[lo:hi]
+            for x in range(0, hi - lo, LEFT):
+                lists = [np.searchsorted(place[lo:hi], unpacked(p.as_py())) for p in partners.slice(lo + x, min(LEFT, hi - lo - x))]
+                a = x + np.repeat(np.arange(len(lists)), [len(k) for k in lists])
+                b = np.concatenate(lists).astype(np.int64)
+                yes = np.zeros(len(a), bool)
+                for y in range(0, hi - lo, RIGHT):
+                    here = np.flatnonzero((b >= y) & (b < y + RIGHT))
+                    if len(here):
+                        who, from_ = np.unique(a[here], return_inverse=True)
+                        whom, to = np.unique(b[here], return_inverse=True)
+                        common = common_counts([sets[k] for k in who], [sets[k] for k in whom], from_, to)
+                        yes[here] = common >= similarity * (sizes[a[here]] + sizes[b[here]] - common)
+                a, b = a[yes], b[yes]
+                np.add.at(links, a, count[b])
+                np.add.at(links, b, count[a])
+                who, first = np.unique(a, return_index=True)
+                for member, others in zip(who.tolist(), np.split(b, first[1:])):
+                    roots.link(member, others)
+            has = np.flatnonzero(links)
+            if len(has):
+                own = cid[lo:hi]
+                yield pa.RecordBatch.from_arrays([pa.array(own[has]), pa.array(links[has]), pa.array(own[roots.of[has]])], ["cid", "n_links", "root"])
 
     return by_group(key, verify, "cid long, n_links long, root long")(pruned.join(sets, "cid"), parts)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """cid, label (its component's smallest cid) of every node of the edges (cid, root), by rounds of large and small stars."""
-    spark = edges.sparkSession
-    edges = edges.where("cid <> root").select(F.greatest("cid", "root").alias("u"), F.least("cid", "root").alias("v")).distinct()
-    state, before = None, None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        path = fresh_path(spark, "near-stars")
-        small.write.parquet(path)
-        edges = spark.read.schema("u long, v long").parquet(path)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state is not None:
-            delete_path(spark, state)
-        state = path
-        if now == before:
-            break
-        before = now
-    return edges.groupBy(F.col("u").alias("cid")).agg(F.min("v").alias("label"))
-
-
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, class_no (null without words), class_id, copy_id, n_links of every row."""
     rows = written(signed(docs), "near-signed")
@@ -316,7 +326,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     reps = written(kinds.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
     found = written(linked(docs, reps, similarity), "near-links")
     links = found.groupBy("cid").agg(F.sum("n_links").alias("links"))
-    labelled = components(found.select("cid", "root"))
+    labelled = graph.components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "label")
     named = reps.select("set_key", "cid", "copy_id", "copies").join(links, "cid", "left").join(labelled, "cid", "left").withColumn("class_no", F.coalesce("label", "cid"))
     ids = named.groupBy("class_no").agg(F.min("copy_id").alias("class_id"))
     known = written(named.join(ids, "class_no").select("set_key", "class_no", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "near-known")

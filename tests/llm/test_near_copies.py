@@ -93,4 +93,43 @@ def test_incidence_counts_equal_intersections():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 9000, 700, np.uint64)) for _ in range(12)]
     a, b = np.triu_indices(12, 1)
-    assert near_copies.common_counts(sets, a, b).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    assert near_copies.common_counts(sets, sets, a, b).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
+
+
+def test_a_clique_is_sent_as_often_as_it_has_blocks_and_no_more(spark, monkeypatch):
+    """Near copies all of one another: what is shuffled grows with the members, and every pair is linked all the same."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(200)]
+
+    def copies(n):
+        out = []
+        for k in range(n):
+            w = list(base)
+            w[rng.randrange(len(w))] = f"x{k}"
+            out.append((k, " ".join(w)))
+        return spark.createDataFrame(out, "doc_id long, text string")
+
+    from pyspark.sql import functions as F
+
+    sent = {}
+    for n in (10_000, 20_000):
+        one_band = spark.range(n).select(F.lit(0).alias("band"), F.lit(7).cast("long").alias("value"), F.col("id").alias("cid"), F.lit(200).alias("n"))
+        sent[n] = near_copies.meetings(one_band).count()
+    assert sent[20_000] == 2 * sent[10_000] == 20_000 * near_copies.BLOCKS
+    got = near_copies.join(copies(1200)).collect()
+    assert len(got) == 1200 and {(r.class_id, r.n_links) for r in got} == {(0, 1199)}
+
+
+def test_partner_lists_and_roots():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for n, k in ((1000, 3), (1000, 900), (9, 9), (70, 0)):
+        places = np.sort(rng.choice(n, k, replace=False))
+        assert near_copies.unpacked(near_copies.packed(places, n)).tolist() == places.tolist()
+    assert near_copies.unpacked(b"").tolist() == []
+    roots = near_copies.Roots(8)
+    for a, b in ((6, [7]), (1, [2, 3]), (5, [3]), (0, [4])):
+        roots.link(a, np.array(b))
+    assert roots.of.tolist() == [0, 1, 1, 1, 0, 1, 6, 6]
