@@ -1,12 +1,14 @@
-"""Toxicity by subword bags: words are averages of character n-gram vectors, texts averages of words, under a linear softmax.
+"""Toxicity by subword bags: words are averages of character n-gram vectors, texts averages of their distinct words, under a linear softmax.
 
-Vectors and softmax are trained jointly in numpy. A text is read in windows of a few words and takes the window that
-looks most toxic, in training as in scoring, so that a long text does not hide what a short one would show. A
-misspelled word that was never seen shares most n-grams, so most of its vector, with words that were. A run of more than
-LONG letters and digits is read as several words of LONG, which overlap so that no n-gram is lost.
+Vectors and softmax are trained jointly in numpy, on the averages of whole texts. A misspelled word that was never seen
+shares most n-grams, so most of its vector, with words that were. A run of more than LONG letters and digits is read as
+several words of LONG, which overlap so that no n-gram is lost.
 
 The model is fitted on the driver on at most ``each`` rows of either label (those with the smallest hash of doc_id,
-of texts of at most ``longest`` characters, never rows held out); every document is scored whole.
+of texts of at most ``longest`` characters, never rows held out); every document is scored whole. These rows are cut in
+PARTS; a model is fitted on all but each of them, and the mean of their logits is one wider model of the same kind. Each
+part is judged by the model that hasn't seen it, and the bias moved to where these logits part the labels best (by F1, with
+the labels as frequent as they are among all labelled rows): balanced training alone would call too much toxic.
 
 Defined results: a null or empty text has the score of the bias alone. Null labels are not used, and of several texts of a
 labelled doc_id the smallest is fitted. Without rows of both
@@ -15,6 +17,7 @@ labels the score is the known label (0 without any). Repeated rows are scored al
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, WIDTH, WINDOW, GRAMS = 1 << 16, 8, 8, (3, 4, 5)
+BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (3, 4, 5)
 EACH, LONGEST, EPOCHS, STEPS, BATCH, RATE, SEED = 2500, 20_000, 12, 200, 64, 0.5, 11
-FOLDS = 5
+FOLDS, PARTS = 5, 4
 WORD = re.compile(r"[^\W_]+")
 LONG = 60
 MOST = 1_000_000
@@ -51,20 +54,23 @@ def subwords(word: str) -> list[int]:
 
 @dataclass(frozen=True)
 class SubwordModel:
-    vectors: np.ndarray  # BUCKETS x WIDTH
-    output: np.ndarray  # WIDTH x 2
+    vectors: np.ndarray  # BUCKETS x width
+    output: np.ndarray  # width x 2
     bias: np.ndarray  # 2
 
     def bucket_logits(self) -> list[float]:
         """What a subword adds to the difference of the two logits, before averaging."""
         return (self.vectors @ (self.output[:, 1] - self.output[:, 0])).tolist()
 
+    def flat(self) -> SubwordModel:
+        """A model of one dimension with the same difference of logits: all that scoring needs."""
+        return SubwordModel(np.array(self.bucket_logits())[:, None], np.array([[0.0, 1.0]]), self.bias)
 
-def window_means(values: np.ndarray) -> np.ndarray:
-    """Means of all runs of WINDOW words; of all words, if there are fewer."""
-    k = min(WINDOW, len(values))
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    return (total[k:] - total[:-k]) / k
+
+def mean_of(models: list[SubwordModel], shift: float) -> SubwordModel:
+    """One model whose logits are the means of theirs, less shift for the second label."""
+    bias = np.mean([m.bias for m in models], 0) - np.array([0.0, shift])
+    return SubwordModel(np.hstack([m.vectors for m in models]), np.vstack([m.output for m in models]) / len(models), bias)
 
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> SubwordModel:
@@ -73,7 +79,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     labels = np.asarray(labels, np.int64)
     if len(set(labels.tolist())) < 2:
         return SubwordModel(vectors * 0, output, np.array([0.0, 500.0 if len(labels) and labels[0] else -500.0]))
-    docs = [words_of(t) for t in texts]
+    docs = [dict.fromkeys(words_of(t)) for t in texts]
     vocab: dict[str, int] = {}
     coded = [np.array([vocab.setdefault(w, len(vocab)) for w in d], np.int64) for d in docs]
     lists = [np.array(subwords(w), np.int32) for w in vocab]
@@ -93,22 +99,11 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             chosen = [i for i in order[at : at + BATCH] if len(coded[i])]
             if not chosen:
                 continue
-            distinct, place = np.unique(np.concatenate([coded[i] for i in chosen]), return_inverse=True)
-            subs, owner = bag(distinct)
-            direction = output[:, 1] - output[:, 0]
-            logit = np.bincount(owner, vectors[subs] @ direction, len(distinct)) / sizes[distinct]
-            picked, counts, row, p = [], [], [], 0
-            for j, i in enumerate(chosen):
-                mine = place[p : p + len(coded[i])]
-                p += len(coded[i])
-                first = int(np.argmax(window_means(logit[mine])))
-                window = mine[first : first + WINDOW]
-                picked.append(window), counts.append(len(window)), row.append(j)
-            words, counts = np.concatenate(picked), np.array(counts)
-            doc = np.repeat(np.array(row), counts)
-            used, word_at = np.unique(words, return_inverse=True)
-            subs, owner = bag(distinct[used])
-            word_vec = np.column_stack([np.bincount(owner, vectors[subs, c], len(used)) for c in range(WIDTH)]) / sizes[distinct[used]][:, None]
+            used, word_at = np.unique(np.concatenate([coded[i] for i in chosen]), return_inverse=True)
+            counts = np.array([len(coded[i]) for i in chosen])
+            doc = np.repeat(np.arange(len(chosen)), counts)
+            subs, owner = bag(used)
+            word_vec = np.column_stack([np.bincount(owner, vectors[subs, c], len(used)) for c in range(WIDTH)]) / sizes[used][:, None]
             text_vec = np.column_stack([np.bincount(doc, word_vec[word_at, c], len(chosen)) for c in range(WIDTH)]) / counts[:, None]
             z = text_vec @ output + bias
             z -= z.max(1, keepdims=True)
@@ -116,7 +111,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             err = prob
             err[np.arange(len(chosen)), labels[chosen]] -= 1
             d_out, d_bias, d_text = text_vec.T @ err, err.sum(0), err @ output.T
-            d_word = np.column_stack([np.bincount(word_at, (d_text[:, c] / counts)[doc], len(used)) for c in range(WIDTH)]) / sizes[distinct[used]][:, None]
+            d_word = np.column_stack([np.bincount(word_at, (d_text[:, c] / counts)[doc], len(used)) for c in range(WIDTH)]) / sizes[used][:, None]
             touched, sub_at = np.unique(subs, return_inverse=True)
             d_vec = np.column_stack([np.bincount(sub_at, d_word[owner, c], len(touched)) for c in range(WIDTH)])
             g_vec[touched] += (d_vec**2).mean(1)
@@ -138,14 +133,39 @@ class WordLogits(dict):
         self[word] = s = sum(map(self.buckets.__getitem__, parts)) / len(parts)
         return s
 
-    def score(self, text: str | None) -> float:
-        words = words_of(text or "")
+    def logit(self, text: str | None) -> float:
+        words = set(words_of(text or ""))
         if len(self) > MOST:
             self.clear()
-        z = self.bias
-        if words:
-            z += window_means(np.fromiter(map(self.__getitem__, words), float, len(words))).max()
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return self.bias + (math.fsum(map(self.__getitem__, words)) / len(words) if words else 0.0)
+
+    def score(self, text: str | None) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -500, 500))))
+
+
+def best_shift(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """What to take off logits so that 0 parts them with the largest F1; between the two logits on either side."""
+    order = np.argsort(-logits, kind="stable")
+    z, y, w = logits[order], labels[order], weights[order]
+    hits, called = np.cumsum(w * y), np.cumsum(w)
+    f1 = 2 * hits / (called + (w * y).sum())
+    f1[:-1][z[1:] == z[:-1]] = 0  # equal logits are called alike
+    k = int(f1.argmax())
+    return float((z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k])
+
+
+def fit_with_threshold(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS) -> SubwordModel:
+    """The mean of models that leave one part out each, its bias moved to the threshold that they give for what they haven't seen."""
+    part = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % PARTS for t in texts])
+    if any(len(set(labels[part != k].tolist())) < 2 for k in range(PARTS)):
+        return fit(texts, labels, epochs)
+    models, logits = [], np.zeros(len(texts))
+    for k in range(PARTS):
+        models.append(fit([t for t, p in zip(texts, part) if p != k], labels[part != k], epochs))
+        scored = WordLogits(models[-1])
+        for i in np.flatnonzero(part == k).tolist():
+            logits[i] = scored.logit(texts[i])
+    return mean_of(models, best_shift(logits, labels, weights))
 
 
 def held_out(doc_id) -> object:
@@ -159,12 +179,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int =
     # At most 2 x each rows of at most longest characters: one text of a doc_id and label, whatever stands in docs.
     rows = texts.join(F.broadcast(one(0).unionByName(one(1))), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).where("text IS NOT NULL").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.text))
-    return fit([r.text for r in rows], np.array([r.label for r in rows], np.int64))
+    y = np.array([r.label for r in rows], np.int64)
+    often = {r.label: r["count"] for r in known.groupBy("label").count().collect() if r.label in (0, 1)}
+    weight = {k: often[k] / max(1, int((y == k).sum())) for k in often}
+    return fit_with_threshold([r.text for r in rows], y, np.array([weight.get(k, 1.0) for k in y.tolist()]))
 
 
 def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
     """doc_id and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.flat())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logits = WordLogits(shared.value)
