@@ -32,6 +32,17 @@ def parent_name(path: Column) -> Column:
     return filename(parent(path))
 
 
+def natural_key(name: Column) -> Column:
+    """A text that sorts names without case and digits by their number, as file managers list them; then by their spelling.
+
+    A number is its count of digits and the digits; other stretches keep their letters. Accents aren't folded.
+    """
+    number = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    part = lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(number(x)).cast("string"), 4, "0"), number(x))).otherwise(F.concat(F.lit("1"), x))
+    parts = F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)")), part)
+    return F.concat(F.array_join(parts, "\u0001"), F.lit("\u0000"), name)
+
+
 def suffix(path: Column) -> Column:
     """The extension with its dot and as it is written, or an empty string."""
     return F.regexp_extract(filename(path), r"^.+(\.[^.]+)$", 1)

@@ -100,8 +100,11 @@ def bytes_by_cluster(plan: DataFrame) -> DataFrame:
 
 
 def scan_summary(clusters: DataFrame, plan: DataFrame, scanned: DataFrame) -> DataFrame:
-    """kind, n of clusters, with the bytes of the plan and the number of files scanned on every row."""
-    totals = plan.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("recoverable_bytes")).join(scanned.agg(F.count("*").alias("scanned")), F.lit(True))  # one row each
+    """kind, n of clusters (exact and near), with the bytes of the plan, the number of files scanned and, if scanned has
+    ``from_cache``, how many were known before and how many not, on every row."""
+    cached = F.coalesce(F.count_if("from_cache"), F.lit(0)) if "from_cache" in scanned.columns else F.lit(None).cast("long")
+    files = scanned.agg(F.count("*").alias("scanned"), cached.alias("cache_hits")).withColumn("cache_misses", F.col("scanned") - F.col("cache_hits"))
+    totals = plan.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("recoverable_bytes")).join(files, F.lit(True))  # one row each
     return clusters.groupBy("kind").agg(F.countDistinct("cluster").alias("n")).join(F.broadcast(totals), F.lit(True))
 
 

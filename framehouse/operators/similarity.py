@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framehouse.functions import media, scores
-from framehouse.operators import graph
+from framehouse.operators import graph, runs
+from framehouse.plans.lineage import written
 
 BURST_SECONDS = 10
 
@@ -77,9 +78,38 @@ def pairs(candidates: DataFrame, th: Thresholds = PRESETS["balanced"], distance:
     return far.select(F.least("path_x", "path_y").alias("a"), F.greatest("path_x", "path_y").alias("b"), F.abs(F.col("t_x") - F.col("t_y")).alias("t_delta"), "hamming", "distance")
 
 
-def clusters(edges: DataFrame) -> DataFrame:
-    """path, cluster (its smallest path) of all paths with an edge."""
-    return graph.components(edges.select("a", "b")).select(F.col("node").alias("path"), F.col("label").alias("cluster"))
+def without_copies(candidates: DataFrame, th: Thresholds = PRESETS["balanced"]) -> tuple[DataFrame, DataFrame]:
+    """Of photos of one time, dhash and print the one with the smallest path, with copies (their number); and path, of (that one).
+
+    Equal photos are near the same others, so pairs of the ones that stay tell all. Those that can't be paired are left out.
+    """
+    known = candidates.where("dhash IS NOT NULL AND print IS NOT NULL" + (" AND t IS NOT NULL" if th.window is not None else ""))
+    each = known.withColumn("__same", F.xxhash64("print")).groupBy("t", "dhash", "__same", "print").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
+    one = each.select("path", "t", "dhash", "print", "copies")
+    several = each.where("copies > 1").select(F.col("path").alias("of"), F.col("t").alias("__t"), F.col("dhash").alias("__d"), F.col("print").alias("__p"))
+    same = F.col("t").eqNullSafe(F.col("__t")) & (F.col("dhash") == F.col("__d")) & (F.col("print") == F.col("__p"))
+    return one, known.select("path", "t", "dhash", "print").join(several, same).select("path", "of")
+
+
+def class_pairs(candidates: DataFrame, th: Thresholds = PRESETS["balanced"], distance: Callable[[Column, Column], Column] = scores.distance) -> tuple[DataFrame, DataFrame]:
+    """pairs() between photos that differ, and within equal ones (a = b), with weight: how many pairs of photos each stands for;
+    and path, of of the photos that have equals. n equal photos make a row, not n x n / 2."""
+    one, copies = without_copies(candidates, th)
+    one, copies = written(one, "photo-classes"), written(copies, "photo-copies")
+    n = one.select("path", "copies")
+    between = pairs(one, th, distance).join(n.select(F.col("path").alias("a"), F.col("copies").alias("na")), "a").join(n.select(F.col("path").alias("b"), F.col("copies").alias("nb")), "b")
+    # Of equal ones any two count as in order; a and b name the smallest of each class.
+    within = one.where("copies > 1").select(F.col("path").alias("a"), F.col("path").alias("b"), F.when(F.col("t").isNotNull(), F.lit(0).cast("long")).alias("t_delta"), F.lit(0).alias("hamming"), F.lit(0.0).alias("distance"), F.expr("copies * (copies - 1) div 2").alias("weight"))
+    columns = ["a", "b", "t_delta", "hamming", "distance", "weight"]
+    return between.withColumn("weight", F.col("na") * F.col("nb")).select(columns).unionByName(within.select(columns)), copies
+
+
+def clusters(edges: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """path, cluster (its smallest path) of all paths with an edge, or equal to one (copies: path, of)."""
+    links = edges.select("a", "b")
+    if copies is not None:
+        links = links.unionByName(copies.select(F.col("path").alias("a"), F.col("of").alias("b")))
+    return graph.components(links).select(F.col("node").alias("path"), F.col("label").alias("cluster"))
 
 
 def primaries(candidates: DataFrame) -> DataFrame:
@@ -102,12 +132,13 @@ def all_clusters(near: DataFrame, exact: DataFrame) -> DataFrame:
 
 def cluster_order(members: DataFrame) -> DataFrame:
     """members (cluster, kind, path, t) with cluster_no and member_no: exact clusters first, by path; others by their first
-    date, members by date, undated first."""
+    date, members by date, undated first. Both are numbered by ranges, so that neither all clusters nor a large one meet in a task."""
     first = members.groupBy("cluster").agg(F.min((F.col("kind") != "exactDuplicate").cast("int")).alias("later"), F.min(F.coalesce("t", F.lit(-(1 << 62)).cast("long"))).alias("t0"), F.min("path").alias("p0"))
-    place = F.when(F.col("later") == 0, F.lit(0).cast("long")).otherwise(F.col("t0"))
-    numbered = first.select("cluster", F.row_number().over(Window.orderBy("later", place, "p0", "cluster")).alias("cluster_no"))  # a row for a cluster
+    placed = first.select("cluster", "later", F.when(F.col("later") == 0, F.lit(0).cast("long")).otherwise(F.col("t0")).alias("place"), "p0", F.lit(0).alias("g"))
+    numbers = runs.numbered(placed, ["g"], ["later", "place", "p0", "cluster"]).select("cluster", F.col("__n").alias("cluster_no"))
     time = F.when(F.col("kind") == "exactDuplicate", F.lit(None)).otherwise(F.col("t"))
-    return members.withColumn("member_no", F.row_number().over(Window.partitionBy("cluster").orderBy(time.asc_nulls_first(), "path"))).join(numbered, "cluster")
+    keyed = members.withColumns({"__dated": time.isNotNull(), "__time": F.coalesce(time, F.lit(0).cast("long"))})
+    return runs.numbered(keyed, ["cluster"], ["__dated", "__time", "path"]).withColumnRenamed("__n", "member_no").drop("__dated", "__time", "__all").join(numbers, "cluster")
 
 
 def confidence(kind: Column, n_warnings: Column, distance: Column, span: Column) -> Column:
@@ -163,7 +194,8 @@ def annotated(members: DataFrame, edges: DataFrame) -> DataFrame:
     kept = keepers(members)
     whole = members.join(kept, "cluster").groupBy("cluster").agg(F.count("*").alias("n"), *spread("t", "t"), *spread(aspect, "aspect"), F.count(aspect).alias("aspects"), *spread(area, "area"), *spread(faces, "faces"), *spread("sharpness", "sharp"), F.sum(F.when(F.col("path") != F.col("keeper"), F.col("size")).otherwise(0)).alias("prunable_bytes"))
     owner = members.select(F.col("path").alias("a"), "cluster")
-    reason = edges.join(owner, "a").groupBy("cluster").agg(F.avg("distance").alias("avg_distance"), F.min("distance").alias("min_distance"), F.expr("sum(hamming) div count(hamming)").alias("avg_hamming"), F.max("t_delta").alias("most_delta"))
+    weighted = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1).cast("long"))
+    reason = weighted.join(owner, "a").groupBy("cluster").agg((F.sum(F.col("distance") * F.col("weight")) / F.sum("weight")).alias("avg_distance"), F.min("distance").alias("min_distance"), F.expr("sum(hamming * weight) div sum(weight)").alias("avg_hamming"), F.max("t_delta").alias("most_delta"))
     joined = whole.join(reason, "cluster", "left").withColumn("span", F.coalesce(F.col("t1") - F.col("t0"), F.col("most_delta")))
     kind = F.when(F.col("t1") - F.col("t0") <= BURST_SECONDS, "burst").otherwise("nearDuplicate")
     told = joined.withColumn("kind", kind)
@@ -193,7 +225,19 @@ def raw_pairs(files: DataFrame) -> DataFrame:
 
 
 def live_pairs(files: DataFrame) -> DataFrame:
-    """photo, movie of one directory and content identifier; of several movies the last."""
-    known = files.where("content_id IS NOT NULL").withColumn("dir", media.parent(F.col("path")))
-    movies = known.where(media.extension(F.col("path")) == ".mov").groupBy("dir", "content_id").agg(F.max_by("path", "ordinal").alias("movie"))
-    return known.where(media.is_photo(F.col("path"))).join(movies, ["dir", "content_id"]).select(F.col("path").alias("photo"), "movie")
+    """photo, movie of one directory and content identifier: a HEIC and a movie; of several movies the last."""
+    known = files.where("content_id IS NOT NULL").withColumns({"dir": media.parent(F.col("path")), "ext": media.extension(F.col("path"))})
+    movies = known.where(F.col("ext").isin(".mov", ".m4v")).groupBy("dir", "content_id").agg(F.max_by("path", "ordinal").alias("movie"))
+    return known.where(F.col("ext") == ".heic").join(movies, ["dir", "content_id"]).select(F.col("path").alias("photo"), "movie")
+
+
+def pair_table(files: DataFrame) -> DataFrame:
+    """path, partner, kind (livePhoto or rawJpeg) over (ordinal, path, content_id): a path has one pair, as a live photo if it is one.
+
+    Of several photos with one movie the last is the movie's partner. A RAW whose photo is the half of a live one still
+    names that photo.
+    """
+    both = lambda df, a, b, kind, rank: df.select(F.explode(F.array(F.struct(F.col(a).alias("path"), F.col(b).alias("partner")), F.struct(F.col(b).alias("path"), F.col(a).alias("partner")))).alias("p")).select("p.*", F.lit(kind).alias("kind"), F.lit(rank).alias("rank"))
+    every = both(live_pairs(files), "photo", "movie", "livePhoto", 1).unionByName(both(raw_pairs(files), "raw", "photo", "rawJpeg", 0))
+    told = every.join(files.select(F.col("path").alias("partner"), "ordinal"), "partner")
+    return told.groupBy("path").agg(F.max_by(F.struct("partner", "kind"), F.struct("rank", "ordinal")).alias("p")).select("path", "p.partner", "p.kind")

@@ -53,6 +53,17 @@ def prints_of(table: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     return known if paths is None else known.join(paths.select("path").distinct(), "path", "left_semi")
 
 
+def preview_sample(files: DataFrame, each: int = 4) -> DataFrame:
+    """folder, path, place of the first media of every folder, in natural order; hidden files don't count.
+
+    A folder's rows meet only after each task has kept its first ones.
+    """
+    name = media.filename(F.col("path"))
+    shown = files.where(media.is_media(F.col("path")) & ~name.startswith(".")).select(media.parent(F.col("path")).alias("folder"), "path", media.natural_key(name).alias("__key"))
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("__key", "path"))
+    return shown.withColumn("place", place).where(F.col("place") <= each).drop("__key")
+
+
 def same_content(index: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (digest, size) with each path of the fingerprint index that has them."""
     return asked.select("digest", "size").distinct().join(index.select("digest", "size", "path"), ["digest", "size"])

@@ -153,8 +153,9 @@ def similarity_edges_undated(spark, sf_dir):
 def _members(spark, sf_dir):
     """The near clusters with their partners, and the edges: written once, for several passes read them."""
     photos = views.photo_candidates(spark, sf_dir)
-    edges = written(similarity.pairs(similarity.primaries(photos)), "photo-edges")
-    return written(similarity.with_partners(similarity.clusters(edges), photos), "photo-members"), edges
+    edges, copies = similarity.class_pairs(similarity.primaries(photos))
+    edges = written(edges, "photo-edges")
+    return written(similarity.with_partners(similarity.clusters(edges, copies), photos), "photo-members"), edges
 
 
 @query(with_views(*CLUSTERS) + "SELECT path, cluster FROM members")
@@ -339,9 +340,34 @@ def raw_pairs(spark, sf_dir):
     return similarity.raw_pairs(listed)
 
 
-@query(with_views("media") + """SELECT '/l/' || ordinal || '.HEIC' AS photo, '/l/' || ordinal || '.MOV' AS movie FROM media WHERE ordinal % 4 = 0""")
+#: A photo's names by its ordinal: some are RAW with JPEG, some HEIC with one or two movies, some both, some only look like it.
+PAIRED = """, each AS (SELECT ordinal, identity || ordinal // 2 AS content_id, '/l/' || split_part(path, '/', 3) || '/' || (ordinal // 2) || '/' || ordinal AS base FROM media),
+names AS (SELECT base || '.HEIC' AS path, ordinal * 8 AS ordinal, content_id FROM each WHERE ordinal % 3 < 2 UNION ALL SELECT base || CASE WHEN ordinal % 2 = 0 THEN '.MOV' ELSE '.m4v' END, ordinal * 8 + 1, content_id FROM each WHERE ordinal % 4 < 3
+  UNION ALL SELECT base || '.dng', ordinal * 8 + 2, NULL FROM each WHERE ordinal % 5 < 2 UNION ALL SELECT base || '.jpg', ordinal * 8 + 3, content_id FROM each WHERE ordinal % 7 < 3 UNION ALL SELECT base || '.png', ordinal * 8 + 4, content_id FROM each),
+live AS (SELECT h.path AS photo, m.path AS movie, h.ordinal AS ph, m.ordinal AS mo FROM names h JOIN names m ON h.content_id = m.content_id AND regexp_extract(h.path, '^(.*)/', 1) = regexp_extract(m.path, '^(.*)/', 1)
+  WHERE h.path LIKE '%.HEIC' AND (m.path LIKE '%.MOV' OR m.path LIKE '%.m4v') QUALIFY row_number() OVER (PARTITION BY h.path ORDER BY m.ordinal DESC) = 1)
+"""
+
+
+def _paired_names(spark, sf_dir):
+    files, i = views.media_files(spark, sf_dir), F.col("ordinal")
+    half = F.floor(i / 2).cast("string")
+    base = F.concat(F.lit("/l/"), media.parent_name(F.col("path")), F.lit("/"), half, F.lit("/"), i.cast("string"))
+    name = lambda k, tail, when, known=True: F.when(when, F.struct(F.concat("base", tail).alias("path"), (i * 8 + k).alias("ordinal"), (F.col("content_id") if known else F.lit(None).cast("string")).alias("content_id")))
+    each = files.select("ordinal", F.concat("identity", half).alias("content_id"), base.alias("base"))
+    movie = F.when(i % 2 == 0, ".MOV").otherwise(".m4v")
+    names = F.array_compact(F.array(name(0, F.lit(".HEIC"), i % 3 < 2), name(1, movie, i % 4 < 3), name(2, F.lit(".dng"), i % 5 < 2, False), name(3, F.lit(".jpg"), i % 7 < 3), name(4, F.lit(".png"), F.lit(True))))
+    return each.select(F.explode(names).alias("n")).select("n.*")
+
+
+@query(with_views("media") + PAIRED + "SELECT photo, movie FROM live")
 def live_pairs(spark, sf_dir):
-    files = views.media_files(spark, sf_dir)
-    base = F.concat(F.lit("/l/"), F.col("ordinal").cast("string"))
-    names = F.array_compact(F.array(F.concat(base, F.lit(".HEIC")), F.when(F.col("ordinal") % 4 == 0, F.concat(base, F.lit(".MOV")))))
-    return similarity.live_pairs(files.select("ordinal", F.col("identity").alias("content_id"), F.explode(names).alias("path")).withColumn("content_id", F.concat("content_id", F.col("ordinal").cast("string"))))
+    return similarity.live_pairs(_paired_names(spark, sf_dir))
+
+
+@query(with_views("media") + PAIRED + """, raws AS (SELECT regexp_replace(path, '\\.[^.]*$', '') AS base, max_by(path, ordinal) FILTER (path LIKE '%.dng') AS raw, max_by(path, ordinal) FILTER (path LIKE '%.jpg' OR path LIKE '%.HEIC') AS photo FROM names GROUP BY 1),
+every AS (SELECT photo AS path, movie AS partner, 'livePhoto' AS kind, 1 AS r, mo AS o FROM live UNION ALL SELECT movie, photo, 'livePhoto', 1, ph FROM live
+  UNION ALL SELECT raw, photo, 'rawJpeg', 0, 0 FROM raws WHERE raw IS NOT NULL AND photo IS NOT NULL UNION ALL SELECT photo, raw, 'rawJpeg', 0, 0 FROM raws WHERE raw IS NOT NULL AND photo IS NOT NULL)
+SELECT path, partner, kind FROM every QUALIFY row_number() OVER (PARTITION BY path ORDER BY r DESC, o DESC) = 1""")
+def pair_table(spark, sf_dir):
+    return similarity.pair_table(_paired_names(spark, sf_dir))

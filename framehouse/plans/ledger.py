@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framehouse.functions import media, pixels, scores
 from framehouse.operators import decisions, library, links, planning, progress, receipts, recency, review, runs, similarity, tables
 from framehouse.plans import views
 from framehouse.plans.catalog import ANNOTATED, CLUSTERS, LIBRARY, PLAN, _library, _members, _plan, query
+from framehouse.plans.lineage import written
 from framehouse.plans.views import with_views
 from framehouse.sources.scan import artifact_kind
 
@@ -76,9 +76,9 @@ def override_lookup(spark, sf_dir):
     return tables.override_of(edits, key.identity, key.source_path).select("source_path", F.date_format("capture_date", "yyyy-MM-dd").alias("day"), "event_name")
 
 
-@query(with_views("photos") + "SELECT path, t, dhash::BIGINT AS dhash, round(list_sum(print), 6) AS total FROM photos WHERE dhash <= 9223372036854775807")
+@query(with_views("photos") + "SELECT path, t, (CASE WHEN dhash > 9223372036854775807 THEN dhash::HUGEINT - 18446744073709551616 ELSE dhash END)::BIGINT AS dhash, round(list_sum(print), 6) AS total FROM photos")
 def feature_scan(spark, sf_dir):
-    rows = tables.features(views.photo_candidates(spark, sf_dir), prints=True).where("dhash >= 0")
+    rows = tables.features(views.photo_candidates(spark, sf_dir), prints=True)
     return rows.select("path", "t", "dhash", F.round(F.aggregate("print", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
@@ -107,9 +107,10 @@ def fingerprint_lookup(spark, sf_dir):
     return tables.same_content(index, index.where("ordinal % 25 = 0")).select("path", "digest")
 
 
-@query(with_views("media") + "SELECT path FROM media WHERE ordinal <= 40 ORDER BY path LIMIT 6")
+@query(with_views("media") + "SELECT folder, path, place::INT AS place FROM (SELECT '/p/' || split_part(path, '/', 3) AS folder, '/p/' || split_part(path, '/', 3) || '/Doc ' || ordinal || '.jpg' AS path, row_number() OVER (PARTITION BY split_part(path, '/', 3) ORDER BY ordinal) AS place FROM media) WHERE place <= 4")
 def preview_sample(spark, sf_dir):
-    return views.media_files(spark, sf_dir).where(media.is_media(F.col("path")) & (F.col("ordinal") <= 40)).select("path").orderBy("path").limit(6)
+    names = views.media_files(spark, sf_dir).select(F.explode(F.array(F.concat(F.lit("/p/"), media.parent_name(F.col("path")), F.lit("/Doc "), F.col("ordinal").cast("string"), F.lit(".jpg")), F.concat(F.lit("/p/"), media.parent_name(F.col("path")), F.lit("/."), F.col("ordinal").cast("string"), F.lit(".jpg")))).alias("path"))
+    return tables.preview_sample(names)
 
 
 # Mutations.
@@ -342,10 +343,10 @@ def move_order(spark, sf_dir):
     return runs.numbered(moves, ["g"], ["path"]).select("path", "dest", F.col("__n").alias("place"))
 
 
-@query(with_views("artifacts") + "SELECT name, row_number() OVER (ORDER BY ordinal // 10 DESC, name) AS place FROM artifacts WHERE ordinal % 8 < 6")
+@query(with_views("artifacts") + "SELECT name, row_number() OVER (ORDER BY ordinal // 10 DESC, regexp_extract(name, '^[^0-9]*'), regexp_extract(name, '[0-9]+')::BIGINT, name) AS place FROM artifacts WHERE ordinal % 8 < 6")
 def history_order(spark, sf_dir):
-    found = views.artifacts(spark, sf_dir).withColumns({"kind": artifact_kind(F.col("name")), "newest": -F.floor(F.col("ordinal") / 10), "g": F.lit(0)}).where("kind IS NOT NULL")
-    return runs.numbered(found, ["g"], ["newest", "name"]).select("name", F.col("__n").alias("place"))
+    found = views.artifacts(spark, sf_dir).withColumns({"kind": artifact_kind(F.col("name")), "newest": -F.floor(F.col("ordinal") / 10), "natural": media.natural_key(F.col("name")), "g": F.lit(0)}).where("kind IS NOT NULL")
+    return runs.numbered(found, ["g"], ["newest", "natural"]).select("name", F.col("__n").alias("place"))
 
 
 @query(with_views("jobs") + "SELECT count(DISTINCT run) AS sources, sum(bytes)::BIGINT AS archived FROM jobs")
@@ -482,12 +483,12 @@ acted AS (SELECT r.path, r.cluster, CASE action WHEN 'keepAll' THEN 'keep' WHEN
 
 def _acted(spark, sf_dir):
     members, edges = _members(spark, sf_dir)
-    kept = similarity.keepers(members)
-    k = F.row_number().over(Window.orderBy("cluster")) % 3
+    kept = runs.numbered(similarity.keepers(members).withColumn("g", F.lit(0)), ["g"], ["cluster"]).select("cluster", "keeper", F.col("__n").alias("n"))
+    k = F.col("n") % 3
     row = lambda at, action: F.struct(F.lit(at).alias("at"), action.alias("action"))
     last = F.when(k == 0, "accept").when(k == 1, "keepAll").otherwise("deleteAll")
     actions = kept.select("cluster", F.array(row(1, F.lit("deleteAll")), row(2, last)).alias("a")).select("cluster", F.explode("a").alias("a")).select("cluster", "a.*")
-    return members.join(kept, "cluster"), actions, edges
+    return members.join(kept.drop("n"), "cluster"), actions, edges
 
 
 @query(with_views(*CLUSTERS) + ACTED + "SELECT path, decision FROM acted")
@@ -518,14 +519,28 @@ def reviewed_clusters(spark, sf_dir):
     return review.reviewed(told, high.unionByName(high)).select("cluster", "confidence")
 
 
-BYTES = ANNOTATED + ", gone AS (SELECT r.cluster, r.path, r.size FROM ranked r JOIN annotated USING (cluster) WHERE confidence = 'high' AND rank > 1)\n"
+BYTES = ANNOTATED + """, exact0 AS (SELECT path, min(path) OVER w AS c, count(*) OVER w AS n FROM photos WINDOW w AS (PARTITION BY size % 400)), exact AS (SELECT path, c FROM exact0 WHERE n > 1),
+whole AS (SELECT p.*, 'exact:' || c AS cluster, 'exactDuplicate' AS kind, 'high' AS confidence, 0 AS later FROM exact JOIN photos p USING (path) UNION ALL
+  SELECT p.*, 'near:' || m.cluster, a.kind, a.confidence, 1 FROM members m JOIN photos p USING (path) JOIN annotated a USING (cluster) WHERE m.cluster NOT IN (SELECT cluster FROM members GROUP BY 1 HAVING bool_and(path IN (SELECT path FROM exact)))),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY quality DESC, sharpness DESC, size DESC, pixel_width * pixel_height DESC, coalesce(face, 0) DESC, coalesce(eyes, 0) DESC, coalesce(smile, 0) DESC, is_raw DESC, path) AS place FROM whole),
+auto AS (SELECT *, CASE WHEN confidence = 'high' AND place > 1 THEN 'delete' ELSE 'keep' END AS own FROM ordered),
+first AS (SELECT a.*, l.d0 FROM auto a JOIN (SELECT path, arg_max(own, (later, cluster)) AS d0 FROM auto GROUP BY path) l USING (path)),
+wins AS (SELECT f.*, CASE WHEN d0 = 'delete' AND (f.paired_path IN (SELECT path FROM first WHERE d0 = 'keep') OR f.path IN (SELECT paired_path FROM first WHERE d0 = 'keep' AND paired_path IS NOT NULL)) THEN 'keep' ELSE d0 END AS d1 FROM first f),
+safe AS (SELECT * FROM wins WHERE cluster IN (SELECT cluster FROM wins WHERE d1 = 'keep')),
+direct AS (SELECT path, any_value(size) AS size, arg_max(cluster, (later, cluster)) AS cluster, any_value(paired_path) AS paired_path FROM safe WHERE d1 = 'delete' GROUP BY path),
+gone AS (SELECT path, size, cluster FROM direct UNION ALL SELECT p.path, p.size, d.cluster FROM direct d JOIN photos p ON p.path = d.paired_path WHERE p.path NOT IN (SELECT path FROM safe WHERE d1 = 'keep') AND p.path NOT IN (SELECT path FROM direct))
+"""
 
 
 def _automatic(spark, sf_dir):
-    members, edges = _members(spark, sf_dir)
-    told = similarity.annotated(members, edges)
-    whole = members.join(told.select("cluster", "confidence"), "cluster").join(similarity.keepers(members), "cluster").withColumn("paired_path", F.lit(None).cast("string"))
-    return decisions.deletion_plan(whole, spark.createDataFrame([], "path string, decision string"), views.photo_candidates(spark, sf_dir)), told
+    """The plan of no explicit decision over exact and near clusters, and the clusters' members with their kinds."""
+    united, told = _united(spark, sf_dir)
+    photos = views.photo_candidates(spark, sf_dir)
+    known = told.select(F.concat(F.lit("near:"), "cluster").alias("cluster"), "confidence")
+    whole = united.join(photos, "path").join(known, "cluster", "left").withColumns({"confidence": F.coalesce("confidence", F.lit("high")), "later": (F.col("kind") != "exactDuplicate").cast("int")})
+    whole = written(whole, "all-members")
+    members = whole.join(similarity.keepers(whole), "cluster")
+    return decisions.deletion_plan(members, spark.createDataFrame([], "path string, decision string"), photos), united
 
 
 @query(with_views(*CLUSTERS) + BYTES + "SELECT cluster, sum(size)::BIGINT AS bytes, count(*) AS n FROM gone GROUP BY 1")
@@ -533,10 +548,11 @@ def bytes_by_cluster(spark, sf_dir):
     return review.bytes_by_cluster(_automatic(spark, sf_dir)[0])
 
 
-@query(with_views(*CLUSTERS) + BYTES + "SELECT kind, count(*) AS n, (SELECT sum(size) FROM gone)::BIGINT AS recoverable_bytes, (SELECT count(*) FROM photos) AS scanned FROM annotated GROUP BY kind")
+@query(with_views(*CLUSTERS) + BYTES + "SELECT kind, count(DISTINCT cluster) AS n, (SELECT sum(size) FROM gone)::BIGINT AS recoverable_bytes, (SELECT count(*) FROM photos) AS scanned, (SELECT count(*) FROM photos WHERE size % 3 = 0) AS cache_hits, (SELECT count(*) FROM photos WHERE size % 3 > 0) AS cache_misses FROM whole GROUP BY kind")
 def scan_summary(spark, sf_dir):
-    plan, told = _automatic(spark, sf_dir)
-    return review.scan_summary(told.select("cluster", "kind"), plan, views.photo_candidates(spark, sf_dir))
+    plan, united = _automatic(spark, sf_dir)
+    scanned = views.photo_candidates(spark, sf_dir).withColumn("from_cache", F.col("size") % 3 == 0)
+    return review.scan_summary(united.select("cluster", "kind"), plan, scanned)
 
 
 @query(with_views(*CLUSTERS) + BYTES + "SELECT path, size::BIGINT AS size, row_number() OVER (ORDER BY path) AS place FROM gone")
