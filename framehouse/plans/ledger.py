@@ -246,10 +246,18 @@ def layout_counts(spark, sf_dir):
     return library.layout_moves(_library(spark, sf_dir), views.ROOT, "flat").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Beach' WHEN 1 THEN 'Beach' END AS event FROM documents""")
+MONTH_NAMES = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+
+
+@query(f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Duplicate/' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN 'Unknown_Date' ELSE (9900 + doc_id % 150)::VARCHAR || '/' || CASE WHEN doc_id % 5 = 0 THEN '07' ELSE strftime(DATE '2020-01-01' + (doc_id % 400)::INT, '%b') END END
+  || '/' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(source, 'none') || '/' END || CASE WHEN doc_id % 13 = 0 THEN 'deep/' ELSE '' END || coalesce(lang, 'xx') || '.jpg' AS path FROM documents)
+SELECT doc_id, nullif(coalesce(nullif(regexp_extract(path, '^(Duplicate/)?[0-9]{{4}}/{MONTH_NAMES}/([^/]+)/[^/]+$', 3), ''), regexp_extract(path, '^(Duplicate/)?Unknown_Date/([^/]+)/[^/]+$', 2)), '') AS event FROM p""")
 def event_folders(spark, sf_dir):
-    paths = F.element_at(F.array(*map(F.lit, ("2020/Jan/Beach/a.jpg", "Duplicate/Unknown_Date/Beach/a.jpg", "2020/01/Beach/a.jpg", "2020/Jan/a.jpg"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return views.table(spark, sf_dir, "documents").select("doc_id", media.found_event_folder(paths).alias("event"))
+    i = F.col("doc_id")
+    month = F.when(i % 5 == 0, "07").otherwise(F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (i % 400).cast("int")), "MMM"))
+    dated = F.when(i % 4 == 0, "Unknown_Date").otherwise(F.concat((9900 + i % 150).cast("string"), F.lit("/"), month))
+    path = F.concat(F.when(i % 3 == 0, "Duplicate/").otherwise(""), dated, F.lit("/"), F.when(i % 7 == 0, "").otherwise(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"))), F.when(i % 13 == 0, "deep/").otherwise(""), F.coalesce("lang", F.lit("xx")), F.lit(".jpg"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", media.found_event_folder(path).alias("event"))
 
 
 @query(with_views("photos") + "SELECT path, CASE WHEN is_raw THEN 'livePhoto' WHEN paired_path IS NOT NULL THEN CASE WHEN size % 2 = 0 THEN 'livePhoto' ELSE 'rawJpeg' END END AS kind FROM photos")
@@ -258,22 +266,29 @@ def pair_kinds(spark, sf_dir):
     return views.photo_candidates(spark, sf_dir).select("path", media.pair_kind(F.col("is_raw"), partner).alias("kind"))
 
 
-PHASES = ("discovery", "src_hash", "dest_hash", "classification", "copy", "revert", "reorganize")
-
-
-@query(with_views("jobs") + "SELECT ordinal, CASE WHEN ordinal % 7 < ordinal // 7 % 7 THEN 'complete' WHEN ordinal % 7 = ordinal // 7 % 7 THEN 'current' ELSE 'pending' END AS state FROM jobs")
+@query(with_views("jobs") + """, p AS (SELECT ordinal, CASE WHEN run % 9 = 8 THEN 'other' ELSE ['discovery', 'src_hash', 'dest_hash', 'classification', 'copy', 'revert', 'reorganize'][bytes % 7 + 1] END AS phase, ['discovery', 'src_hash', 'dest_hash', 'classification', 'copy', 'revert', 'reorganize'][run % 7 + 1] AS now FROM jobs),
+o AS (SELECT ordinal, coalesce(list_position(['discovery', 'src_hash', 'dest_hash', 'classification', 'copy', 'revert', 'reorganize'], phase), 0) AS a, list_position(['discovery', 'src_hash', 'dest_hash', 'classification', 'copy', 'revert', 'reorganize'], now) AS b FROM p)
+SELECT ordinal, CASE WHEN a < b THEN 'complete' WHEN a = b THEN 'current' ELSE 'pending' END AS state FROM o""")
 def phase_states(spark, sf_dir):
-    phase = lambda at: F.element_at(F.array(*map(F.lit, PHASES)), (at % 7 + 1).cast("int"))
-    return views.copy_jobs(spark, sf_dir).select("ordinal", media.phase_state(phase(F.col("ordinal")), phase(F.floor(F.col("ordinal") / 7))).alias("state"))
+    named = lambda at: F.element_at(F.array(*map(F.lit, media.PHASES)), (at % 7 + 1).cast("int"))
+    phase = F.when(F.col("run") % 9 == 8, "other").otherwise(named(F.col("bytes")))
+    return views.copy_jobs(spark, sf_dir).select("ordinal", media.phase_state(phase, named(F.col("run"))).alias("state"))
 
 
-LINES = ("WARNING: disk full", "ERROR: hash mismatch", "copied file", "⚠ file exists: permission denied", "ERROR: unknown date")
+#: What stands in some lines beside their text.
+SAID = ("disk full", "hash mismatch", "no permission", "file exists", "unknown date", "verify again", "volume gone", "nothing")
 
 
-@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'warning' WHEN 3 THEN 'warning' ELSE 'error' END AS severity, CASE doc_id % 5 WHEN 0 THEN 'space' WHEN 1 THEN 'verification' WHEN 3 THEN 'access|collisions' ELSE 'dates' END AS fixes FROM documents WHERE doc_id % 5 <> 2""")
+@query(f"""WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'WARNING: ' WHEN 1 THEN 'ERROR: ' WHEN 2 THEN '⚠ ' WHEN 3 THEN 'note ERROR: ' ELSE '' END || left(coalesce(text, ''), 60) || ' ' || {list(SAID)}[n_chars % 8 + 1] || CASE WHEN doc_id % 6 = 0 THEN ' duplicate' ELSE '' END AS line FROM documents),
+s AS (SELECT doc_id, lower(line) AS low, CASE WHEN starts_with(line, 'ERROR:') THEN 'error' WHEN starts_with(line, 'WARNING:') OR starts_with(line, '⚠') THEN 'warning' END AS severity FROM l)
+SELECT doc_id, severity, concat_ws('|', CASE WHEN contains(low, 'permission') OR contains(low, 'access') OR contains(low, 'bookmark') THEN 'access' END, CASE WHEN contains(low, 'space') OR contains(low, 'disk') OR contains(low, 'volume') THEN 'space' END,
+  CASE WHEN contains(low, 'hash') OR contains(low, 'verify') THEN 'verification' END, CASE WHEN contains(low, 'date') OR contains(low, 'unknown') THEN 'dates' END, CASE WHEN contains(low, 'exist') OR contains(low, 'collision') OR contains(low, 'duplicate') THEN 'collisions' END) AS fixes FROM s WHERE severity IS NOT NULL""")
 def issue_lines(spark, sf_dir):
-    line = F.element_at(F.array(*map(F.lit, LINES)), (F.col("doc_id") % 5 + 1).cast("int"))
-    told = views.table(spark, sf_dir, "documents").select("doc_id", media.severity(line).alias("severity"), F.array_join(media.fixes_for(line), "|").alias("fixes"))
+    i = F.col("doc_id")
+    head = F.when(i % 5 == 0, "WARNING: ").when(i % 5 == 1, "ERROR: ").when(i % 5 == 2, "⚠ ").when(i % 5 == 3, "note ERROR: ").otherwise("")
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("n_chars") % 8 + 1).cast("int"))
+    line = F.concat(head, F.substring(F.coalesce("text", F.lit("")), 1, 60), F.lit(" "), said, F.when(i % 6 == 0, " duplicate").otherwise(""))
+    told = views.table(spark, sf_dir, "documents").select("doc_id", line.alias("line")).select("doc_id", media.severity(F.col("line")).alias("severity"), F.array_join(media.fixes_for(F.col("line")), "|").alias("fixes"))
     return told.where("severity IN ('warning', 'error')")
 
 
@@ -331,10 +346,14 @@ def contained_paths(spark, sf_dir):
     return links.contained(paths, "/lib", known)
 
 
-@query("SELECT doc_id, doc_id % 5 IN (0, 1, 3) AS trusted FROM documents")
+@query("""WITH r AS (SELECT doc_id, ['/home/me/', '/home/', '/data/photos/', '/data/photos2/', '/Volumes/', '/Volumes', '/home/me'][n_chars % 7 + 1] || CASE WHEN doc_id % 4 = 0 THEN '' ELSE coalesce(source, 'none') END || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/ ' ELSE '//' END AS root FROM documents),
+c AS (SELECT doc_id, rtrim(trim(root), '/') AS root FROM r)
+SELECT doc_id, starts_with(root, '/home/me/') OR starts_with(root, '/data/photos/') OR regexp_matches(root, '^/Volumes/[^/]') AS trusted FROM c""")
 def trusted_roots(spark, sf_dir):
-    roots = F.element_at(F.array(*map(F.lit, ("/home/me/pics", "/data/photos/src/ ", "/data", "/Volumes/card", "/Volumes/"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    return views.table(spark, sf_dir, "documents").select("doc_id", media.is_trusted_root(roots, "/data/photos/lib", "/home/me").alias("trusted"))
+    i = F.col("doc_id")
+    top = F.element_at(F.array(*map(F.lit, ("/home/me/", "/home/", "/data/photos/", "/data/photos2/", "/Volumes/", "/Volumes", "/home/me"))), (F.col("n_chars") % 7 + 1).cast("int"))
+    root = F.concat(top, F.when(i % 4 == 0, "").otherwise(F.coalesce("source", F.lit("none"))), F.when(i % 3 == 0, "").when(i % 3 == 1, "/ ").otherwise("//"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", media.is_trusted_root(root, "/data/photos/lib", "/home/me").alias("trusted"))
 
 
 @query(with_views("media", "dest") + LIBRARY.replace("LAYOUT", "bucket[1:4] || '/'") + "SELECT path, dest, row_number() OVER (ORDER BY path, ordinal) AS place FROM target JOIN lib USING (path) WHERE dest <> path")
@@ -564,39 +583,70 @@ def deletion_order(spark, sf_dir):
 # Receipts.
 
 
-def _receipts(spark, sf_dir, kind):
-    """Receipts of a few items, some of them broken, as JSON text."""
-    docs, i = views.table(spark, sf_dir, "documents"), F.col("doc_id")
-    path = lambda p: F.concat(F.lit(f"/lib/{p}/"), i.cast("string"), F.lit(".jpg"))
-    item = {
-        "transfers": F.struct(path("src").alias("source"), path("dst").alias("dest"), F.concat(i.cast("string"), F.lit("_h")).alias("hash")),
-        "dedupe": F.struct(path("src").alias("originalPath"), F.when(i % 2 == 0, i).alias("sizeBytes")),
-        "layout": F.struct(path("src").alias("sourcePath"), path("dst").alias("destinationPath"), F.lit("h").alias("hash"), (i % 3 > 0).alias("completed")),
-    }[kind]
-    head = {"transfers": F.when(i % 10 == 0, F.lit(1)).when(i % 10 == 1, F.lit(3)).alias("schemaVersion"), "dedupe": F.when(i % 4 == 0, "dedupe").when(i % 4 == 1, "other").alias("kind"), "layout": F.lit("COMPLETED").alias("status")}[kind]
-    body = F.to_json(F.struct(head, F.array(item, item).alias("transfers" if kind == "transfers" else "items")))
-    text = F.when(i % 10 == 2, F.lit('{"transfers": 7')).when(i % 10 == 3, F.lit(None)).otherwise(body)
-    return docs.select(i.alias("doc_id"), F.concat(F.lit("r"), i.cast("string")).alias("name"), text.alias("text"))
+#: Receipts as JSON texts of none to three entries, with and without a version, a status and a kind; some are cut off or missing.
+RECEIPTS = """d AS (SELECT doc_id, coalesce(n_chars, 0) AS c, coalesce(source, 'none') AS source FROM documents),
+body AS (SELECT doc_id, '{' || ['', '"schemaVersion":1,', '"schemaVersion":2,', '"schemaVersion":3,', '"schemaVersion":"two",'][c % 5 + 1] || ['"status":"COMPLETED",', '"status":"ABORTED",', '"status":"LOST",', ''][c // 5 % 4 + 1] || ['"kind":"dedupe",', '"kind":"other",', ''][c // 20 % 3 + 1]
+  || '"LIST":[' || array_to_string(list_transform(range(1, c // 60 % 4 + 1), lambda e: ENTRY), ',') || ']}' AS b FROM d),
+texts AS (SELECT doc_id, 'r' || doc_id AS name, CASE doc_id % 11 WHEN 0 THEN NULL WHEN 1 THEN left(b, length(b)::INT - 1 - (doc_id % 7)::INT) WHEN 2 THEN '{"LIST":7}' ELSE b END AS text FROM body),
+sound AS (SELECT *, CASE WHEN json_valid(text) THEN json_type(text, '$.LIST') = 'ARRAY' AND coalesce(json_type(text, '$.schemaVersion'), 'UBIGINT') <> 'VARCHAR' ELSE false END AS ok FROM texts),
+entries AS (SELECT doc_id, name, text, unnest(range(len(list))) AS i, unnest(list) AS e FROM (SELECT doc_id, name, text, CASE WHEN ok THEN json_extract(text, '$.LIST[*]') ELSE [] END AS list FROM sound WHERE ok))
+"""
+ENTRIES = {
+    "transfers": """'{"source":"/src/' || source || '/' || doc_id || '_' || e || '.jpg","dest":"' || CASE WHEN (doc_id + e) % 6 = 0 THEN '/else/' ELSE '/lib/' END || doc_id || '_' || e || '.jpg","hash":"' || doc_id || '_' || e || '"}'""",
+    "dedupe": """'{"originalPath":"/lib/' || source || '/' || doc_id || '_' || e || '.jpg"' || CASE WHEN e % 2 = 1 THEN ',"sizeBytes":' || (c * e) ELSE '' END || '}'""",
+    "layout": """'{"sourcePath":"/old/' || doc_id || '_' || e || '.jpg","destinationPath":"/new/' || source || '/' || e || '.jpg","hash":"h","completed":' || CASE WHEN (c + e) % 3 > 0 THEN 'true' ELSE 'false' END || '}'""",
+}
+
+
+def receipts_sql(kind: str) -> str:
+    return "WITH " + RECEIPTS.replace("ENTRY", ENTRIES[kind]).replace("LIST", "transfers" if kind == "transfers" else "items")
 
 
-@query("SELECT 'r' || doc_id AS name, CASE doc_id % 10 WHEN 1 THEN 'unsupported' WHEN 2 THEN 'malformed' WHEN 3 THEN 'missing' ELSE 'readable' END AS verdict, CASE WHEN doc_id % 10 NOT IN (1, 2, 3) THEN 2 END AS n FROM documents")
+def _receipts(spark, sf_dir, kind):
+    """name, text of the same receipts."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("c"), F.coalesce("source", F.lit("none")).alias("source"))
+    i, c, id_ = F.col("doc_id"), F.col("c"), F.col("doc_id").cast("string")
+    one_of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    entry = {
+        "transfers": lambda e: text('{"source":"/src/', F.col("source"), "/", id_, "_", e.cast("string"), '.jpg","dest":"', F.when((i + e) % 6 == 0, "/else/").otherwise("/lib/"), id_, "_", e.cast("string"), '.jpg","hash":"', id_, "_", e.cast("string"), '"}'),
+        "dedupe": lambda e: text('{"originalPath":"/lib/', F.col("source"), "/", id_, "_", e.cast("string"), '.jpg"', F.when(e % 2 == 1, text(',"sizeBytes":', (c * e).cast("string"))).otherwise(""), "}"),
+        "layout": lambda e: text('{"sourcePath":"/old/', id_, "_", e.cast("string"), '.jpg","destinationPath":"/new/', F.col("source"), "/", e.cast("string"), '.jpg","hash":"h","completed":', F.when((c + e) % 3 > 0, "true").otherwise("false"), "}"),
+    }[kind]
+    field = "transfers" if kind == "transfers" else "items"
+    tenth = lambda n: F.floor(c / n)
+    n = (tenth(60) % 4).cast("int")
+    entries = F.array_join(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), entry)).otherwise(F.array().cast("array<string>")), ",")
+    body = text("{", one_of(["", '"schemaVersion":1,', '"schemaVersion":2,', '"schemaVersion":3,', '"schemaVersion":"two",'], c), one_of(['"status":"COMPLETED",', '"status":"ABORTED",', '"status":"LOST",', ""], tenth(5)), one_of(['"kind":"dedupe",', '"kind":"other",', ""], tenth(20)), f'"{field}":[', entries, "]}")
+    whole = docs.withColumn("b", body)
+    cut = F.substring(F.col("b"), F.lit(1), (F.length("b") - 1 - i % 7).cast("int"))
+    return whole.select(text("r", id_).alias("name"), F.when(i % 11 == 0, F.lit(None)).when(i % 11 == 1, cut).when(i % 11 == 2, f'{{"{field}":7}}').otherwise(F.col("b")).alias("text"))
+
+
+@query(receipts_sql("transfers") + """SELECT name, CASE WHEN text IS NULL THEN 'missing' WHEN NOT ok THEN 'malformed' WHEN coalesce((text->>'$.schemaVersion')::INT, 1) > 2 THEN 'unsupported' ELSE 'readable' END AS verdict,
+  CASE WHEN ok AND coalesce((CASE WHEN ok THEN text->>'$.schemaVersion' END)::INT, 1) <= 2 THEN json_array_length(text, '$.transfers')::INT END AS n FROM sound""")
 def transfer_receipts(spark, sf_dir):
     return receipts.transfer_triage(_receipts(spark, sf_dir, "transfers"))
 
 
-@query("SELECT 'r' || doc_id AS name, 'COMPLETED' AS status, '/lib/src/' || doc_id || '.jpg' AS path, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END AS bytes FROM documents, range(2) WHERE doc_id % 10 NOT IN (2, 3) AND doc_id % 4 <> 1")
+@query(receipts_sql("dedupe") + """SELECT name, coalesce(text->>'$.status', 'COMPLETED') AS status, e->>'$.originalPath' AS path, coalesce((e->>'$.sizeBytes')::BIGINT, 0) AS bytes FROM entries
+WHERE coalesce(text->>'$.kind', 'dedupe') = 'dedupe' AND coalesce(text->>'$.status', 'COMPLETED') IN ('PENDING', 'COMPLETED', 'ABORTED')""")
 def dedupe_receipts(spark, sf_dir):
     return receipts.dedupe_items(_receipts(spark, sf_dir, "dedupe"))
 
 
-@query("SELECT 'r' || doc_id AS name, (2 - k)::INT AS step, '/lib/dst/' || doc_id || '.jpg' AS source, '/lib/src/' || doc_id || '.jpg' AS dest FROM documents, range(2) t(k) WHERE doc_id % 10 NOT IN (2, 3) AND doc_id % 3 > 0")
+@query(receipts_sql("layout") + "SELECT name, (json_array_length(text, '$.items') - i)::INT AS step, e->>'$.destinationPath' AS source, e->>'$.sourcePath' AS dest FROM entries WHERE (e->>'$.completed')::BOOLEAN")
 def layout_undo(spark, sf_dir):
     return receipts.layout_undo(_receipts(spark, sf_dir, "layout"))
 
 
-@query("""SELECT 'r' || doc_id AS name, k::INT AS "at", CASE doc_id % 5 WHEN 0 THEN 'missing' WHEN 4 THEN 'skip' ELSE 'revert' END AS action FROM documents, range(2) t(k) WHERE doc_id % 10 NOT IN (1, 2, 3)""")
+@query(receipts_sql("transfers") + """, moved AS (SELECT name, i, e->>'$.dest' AS dest, e->>'$.hash' AS hash FROM entries WHERE coalesce((text->>'$.schemaVersion')::INT, 1) <= 2),
+present AS (SELECT '/lib/' || doc_id || '_' || e || '.jpg' AS path, doc_id || '_' || e || CASE WHEN c % 4 = 3 THEN 'x' ELSE '' END AS identity FROM d, range(1, 4) t(e) WHERE c % 7 > 0)
+SELECT name, i::INT AS "at", CASE WHEN NOT starts_with(dest, '/lib/') THEN 'skip' WHEN p.path IS NULL THEN 'missing' WHEN identity = hash THEN 'revert' ELSE 'skip' END AS action FROM moved LEFT JOIN present p ON p.path = dest""")
 def revert_plan(spark, sf_dir):
     moved = receipts.transfers(_receipts(spark, sf_dir, "transfers"))
-    i = F.col("doc_id")
-    present = views.table(spark, sf_dir, "documents").where(i % 5 > 0).select(F.concat(F.lit("/lib/dst/"), i.cast("string"), F.lit(".jpg")).alias("path"), F.concat(i.cast("string"), F.when(i % 5 == 4, "_other").otherwise("_h")).alias("identity"))
+    c = F.coalesce("n_chars", F.lit(0))
+    each = views.table(spark, sf_dir, "documents").where(c % 7 > 0).select("doc_id", c.alias("c"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("e"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("e").cast("string"))
+    present = each.select(F.concat(F.lit("/lib/"), name, F.lit(".jpg")).alias("path"), F.concat(name, F.when(F.col("c") % 4 == 3, "x").otherwise("")).alias("identity"))
     return receipts.revert_plan(moved, present, "/lib").select("name", "at", "action")
