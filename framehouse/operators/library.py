@@ -137,7 +137,12 @@ def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     both = old.join(after.select("path", F.col("stamp").alias("__new"), F.lit(True).alias("__is")), "path", "full_outer")
     change = F.when(F.col("__was").isNull(), "created").when(F.col("__is").isNull(), "removed").when(~F.col("__old").eqNullSafe(F.col("__new")), "modified")
     changes = both.withColumn("change", change).where("change IS NOT NULL").select("path", "change")
-    removed = changes.where("change = 'removed'")
+    return collapsed(changes)
+
+
+def collapsed(changes: DataFrame) -> DataFrame:
+    """changes (path, change, ..) without removals of what lay under a path that is removed with it."""
+    removed = changes.where("change = 'removed'").select("path").distinct()
     parts = F.split("path", "/")
     ancestors = removed.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("up")).where("up <> path AND up <> ''")
     under = ancestors.join(removed.select(F.col("path").alias("up")), "up", "left_semi").select("path").distinct()

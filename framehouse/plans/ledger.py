@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framehouse.functions import media, pixels, scores
-from framehouse.operators import decisions, library, links, planning, progress, receipts, recency, review, runs, similarity, tables
+from framehouse.operators import decisions, library, links, planning, progress, receipts, recency, review, runs, scan_run, similarity, tables
 from framehouse.plans import views
 from framehouse.plans.catalog import ANNOTATED, CLUSTERS, LIBRARY, PLAN, _library, _members, _plan, query
 from framehouse.plans.lineage import written
@@ -574,6 +574,16 @@ def scan_summary(spark, sf_dir):
     return review.scan_summary(united.select("cluster", "kind"), plan, scanned)
 
 
+@query(with_views(*CLUSTERS) + BYTES + """SELECT * FROM (SELECT 'discovery' AS phase, 'files' AS figure, count(*)::BIGINT AS value FROM photos UNION ALL SELECT 'discovery', 'bytes', sum(size)::BIGINT FROM photos UNION ALL SELECT 'discovery', 'cache_hits', count(*) FROM photos WHERE size % 3 = 0
+  UNION ALL SELECT 'pairing', 'primaries', count(*) FROM prim UNION ALL SELECT 'pairing', 'paired', count(*) FROM photos WHERE path < paired_path UNION ALL SELECT 'exact', 'members', count(*) FROM exact UNION ALL SELECT 'exact', 'clusters', count(DISTINCT c) FROM exact
+  UNION ALL SELECT 'edges', 'pairs', count(*) FROM pnear UNION ALL SELECT 'edges', 'edges', count(*) FROM pnear UNION ALL SELECT 'near', 'members', count(*) FROM members UNION ALL SELECT 'near', 'clusters', count(DISTINCT cluster) FROM members
+  UNION ALL SELECT 'clusters', 'members', count(*) FROM whole UNION ALL SELECT 'clusters', 'exact_members', count(*) FROM whole WHERE later = 0 UNION ALL SELECT 'summary', 'files', count(*) FROM gone UNION ALL SELECT 'summary', 'bytes', sum(size)::BIGINT FROM gone)""")
+def scan_phases(spark, sf_dir):
+    photos = views.photo_candidates(spark, sf_dir).withColumns({"identity": F.col("size") % 400, "from_cache": F.col("size") % 3 == 0})
+    told = [(phase.name, figure, int(value)) for phase in scan_run.scan(photos) for figure, value in phase.figures.items()]
+    return spark.createDataFrame(told, "phase string, figure string, value long")
+
+
 @query(with_views(*CLUSTERS) + BYTES + "SELECT path, size::BIGINT AS size, row_number() OVER (ORDER BY path) AS place FROM gone")
 def deletion_order(spark, sf_dir):
     plan = _automatic(spark, sf_dir)[0].withColumn("g", F.lit(0))

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from framehouse.functions import media
 from framehouse.operators import runs
@@ -172,6 +173,37 @@ def read_moves(spark: SparkSession, path: str) -> DataFrame:
     return moves.where("m.completed").orderBy("file", F.desc("at")).select(F.col("m.sourcePath").alias("source"), F.col("m.destinationPath").alias("dest"), "m.hash")
 
 
+def read_review(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, str]:
+    """The items of a review's JSON lines, in their order of writing if they have an ordinal, and the filter it opens with.
+
+    needsAttention if any item needs it, else all. A line that doesn't fit fails the read; a file that isn't there has no items.
+    """
+    try:
+        items = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    except AnalysisException:
+        items = spark.createDataFrame([], schema)
+    attention = items.where("needs_attention").head(1)
+    return (items.orderBy("ordinal") if "ordinal" in items.columns else items), "needsAttention" if attention else "all"
+
+
+SOURCE_LOG = "sourcePath string, firstTransferredAt timestamp, lastTransferredAt timestamp, runCount int, lastCopiedCount int, totalCopiedCount int"
+
+
+def read_source_log(spark: SparkSession, path: str) -> DataFrame:
+    """source, first_run, last_run, n_runs, last_copied, total_copied of a destination's log, the last used first; no rows of one that isn't sound."""
+    schema = ArrayType(StructType.fromDDL(SOURCE_LOG))
+    none = spark.createDataFrame([], "r struct<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(SOURCE_LOG).fields) + ">")
+    try:
+        text = spark.read.text(path, wholetext=True)
+        sound = text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+        found = sound.select(F.explode("r").alias("r"))
+        whole = found.where("r.sourcePath IS NULL OR r.firstTransferredAt IS NULL OR r.lastTransferredAt IS NULL OR r.runCount IS NULL OR r.lastCopiedCount IS NULL OR r.totalCopiedCount IS NULL").count() == 0
+    except (AnalysisException, Py4JJavaError, PySparkException):
+        whole, found = False, none
+    rows = found if whole else none
+    return rows.select(F.col("r.sourcePath").alias("source"), F.col("r.firstTransferredAt").alias("first_run"), F.col("r.lastTransferredAt").alias("last_run"), F.col("r.runCount").alias("n_runs"), F.col("r.lastCopiedCount").alias("last_copied"), F.col("r.totalCopiedCount").alias("total_copied")).orderBy(F.desc("last_run"), "source")
+
+
 def artifact_kind(name):
     """The kind of a run's artifact by its file name, as a column, the first that fits; null for other files."""
     both = lambda prefix, suffix, kind: (name.startswith(prefix) & name.endswith(suffix), kind)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyarrow import fs
@@ -17,16 +18,28 @@ def writer(folder: str, name: str):
     return store.open_output_stream(f"{base}/{name}", compression=None)
 
 
-def replace(folder: str, name: str, data: bytes) -> None:
-    """Readers find the old file or the new one, whole: it gets its name once it is written."""
+@contextlib.contextmanager
+def whole_file(folder: str, name: str):
+    """A stream to a file that gets its name at the end, and none if writing fails."""
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
     draft = f"{base}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(draft, compression=None) as out:
-        out.write(data)
+    try:
+        with store.open_output_stream(draft, compression=None) as out:
+            yield out
+    except BaseException:
+        with contextlib.suppress(OSError):
+            store.delete_file(draft)
+        raise
     store.move(draft, f"{base}/{name}")
 
 
+def replace(folder: str, name: str, data: bytes) -> None:
+    """Readers find the old file or the new one, whole: it gets its name once it is written."""
+    with whole_file(folder, name) as out:
+        out.write(data)
+
+
 def read(folder: str, name: str) -> bytes:
     store, base = _open(folder)
     with store.open_input_stream(f"{base}/{name}", compression=None) as f:
