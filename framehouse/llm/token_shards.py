@@ -4,7 +4,7 @@ The ids of documents, each followed by an end id, run on through sequences of ``
 input, so that only a partition's last sequence may be shorter. Sequence number i of n takes the global slot that a
 keyed Feistel network gives it, walking its cycle until the slot is below n. Slots are dealt by range to shards, so
 reading the shards one after another is reading in training order, and any slot's bytes are at a place known by
-arithmetic. A table of documents tells which part of which document stands where.
+arithmetic. A task sends each shard its sequences as compressed blocks, not one by one. A table of documents tells which part of which document stands where.
 
 A record is ``2 + 2 * length`` bytes: the number of ids, the ids as little-endian unsigned 16-bit numbers, zeros to the end.
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from framehouse.llm.tokens import default_tokenizer, slices, word_encoder
 from framehouse.plans.lineage import fresh_path, written
 
 LENGTH, SHARD_BYTES, KEY, ROUNDS, END_ID = 512, 16 << 20, 0x5EED, 6, 0
+HELD_BYTES, BLOCK_LEVEL = 64 << 20, 3
 
 
 def stride(length: int) -> int:
@@ -131,30 +133,43 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, lengt
     each = max(1, shard_bytes // stride(length))
     n_shards = max(1, -(-total // each))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, shard, kept = TaskContext.get(), None, []
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd, held, size = zstandard.ZstdCompressor(level=BLOCK_LEVEL), {}, 0
 
-        def close() -> None:
-            first = shard * each
-            want = min(each, total - first)
-            if [s for s, _ in kept] != list(range(first, first + want)):
-                raise ValueError(f"shard {shard} hasn't every slot once")
-            files.put(path, f"shard-{shard:08d}.bin", f"{task.stageId()}-{task.attemptNumber()}", (r for _, r in kept))
+        def blocks() -> pa.RecordBatch:
+            shards = sorted(held)
+            data = [zstd.compress(np.array([s for s, _ in held[k]], "<i8").tobytes() + np.array([len(i) for _, i in held[k]], "<u2").tobytes() + b"".join(i for _, i in held[k])) for k in shards]
+            return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([len(held[k]) for k in shards], pa.int32()), pa.array(data, pa.binary())], ["shard", "rows", "data"])
 
         for batch in batches:
             for s, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if shard is not None and s // each != shard:
-                    close()
-                    kept = []
-                shard = s // each
-                kept.append((s, (len(ids) // 2).to_bytes(2, "little") + ids.ljust(2 * length, b"\0")))
-        if kept:
-            close()
+                held.setdefault(s // each, []).append((s, ids))
+                size += len(ids)
+            if size > HELD_BYTES:
+                yield blocks()
+                held, size = {}, 0
+        if held:
+            yield blocks()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, unzip, shards = TaskContext.get(), zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for shard, rows, data in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = unzip.decompress(data)
+                ends = 10 * rows + np.cumsum(np.frombuffer(raw, "<u2", rows, 8 * rows), dtype=np.int64)
+                slots = np.frombuffer(raw, "<i8", rows).tolist()
+                shards.setdefault(shard, {}).update((s, raw[a:b]) for s, a, b in zip(slots, [10 * rows, *ends[:-1].tolist()], ends.tolist()))
+        for shard, found in sorted(shards.items()):
+            first = shard * each
+            want = min(each, total - first)
+            if sorted(found) != list(range(first, first + want)):
+                raise ValueError(f"shard {shard} hasn't every slot once")
+            records = ((len(found[s]) // 2).to_bytes(2, "little") + found[s].ljust(2 * length, b"\0") for s in range(first, first + want))
+            files.put(path, f"shard-{shard:08d}.bin", f"{task.stageId()}-{task.attemptNumber()}", records)
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32())], ["done"])
 
-    shard_of = F.floor(F.col("slot") / F.lit(each)).cast("int")
-    ranges = placed.select("slot", "ids").repartitionById(n_shards, shard_of).sortWithinPartitions("slot")
-    ranges.mapInArrow(write, "done int").agg(F.count("*")).collect()
+    blocks = placed.select("slot", "ids").mapInArrow(deal, "shard int, rows int, data binary")
+    blocks.repartitionById(n_shards, F.col("shard")).mapInArrow(write, "done int").agg(F.count("*")).collect()
     return placed.select("slot", F.explode("docs").alias("d")).select("slot", "d.offset", "d.doc_id", "d.start", "d.n"), total, each
 
 
