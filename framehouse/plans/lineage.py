@@ -23,9 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+#: What this process has put under the shared folder, for delete_written().
+WRITTEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def delete_written(spark: SparkSession) -> int:
+    """Remove all intermediates so far; DataFrames that came of them can't be read any more. How many there were."""
+    gone, WRITTEN[:] = list(WRITTEN), []
+    for path in gone:
+        delete_path(spark, path)
+    return len(gone)
 
 
 def written(df: DataFrame, name: str, zstd_level: int = 3) -> DataFrame:
