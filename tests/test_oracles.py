@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from framehouse.plans import catalog, ledger
+from framehouse.plans import actions, catalog, ledger  # noqa: F401  (all register their queries with the catalog's)
 
 DIR = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
