@@ -4,7 +4,7 @@ Vectors and softmax are trained jointly in numpy, on the averages of whole texts
 shares most n-grams, so most of its vector, with words that were. A run of more than LONG letters and digits is read as
 several words of LONG, which overlap so that no n-gram is lost.
 
-The model is fitted on the driver on at most ``each`` rows of either label (those with the smallest hash of doc_id,
+The model is fitted on at most ``each`` rows of either label (those with the smallest hash of doc_id,
 of texts of at most ``longest`` characters, never rows held out); every document is scored whole. These rows are cut in
 PARTS; a model is fitted on all but each of them, and the mean of their logits is one wider model of the same kind. Each
 part is judged by the model that hasn't seen it, and the bias moved to where these logits part the labels best (by F1, with
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (3, 4, 5)
@@ -154,17 +154,38 @@ def best_shift(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> f
     return float((z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k])
 
 
-def fit_with_threshold(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS) -> SubwordModel:
-    """The mean of models that leave one part out each, its bias moved to the threshold that they give for what they haven't seen."""
-    part = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % PARTS for t in texts])
+def parts_of(texts: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % PARTS for t in texts])
+
+
+def without_part(texts: list[str], labels: np.ndarray, k: int, epochs: int = EPOCHS) -> tuple[SubwordModel, np.ndarray]:
+    """A model of all but part k, and its logits of that part."""
+    part = parts_of(texts)
+    model = fit([t for t, p in zip(texts, part) if p != k], labels[part != k], epochs)
+    scored = WordLogits(model)
+    return model, np.array([scored.logit(texts[i]) for i in np.flatnonzero(part == k).tolist()])
+
+
+def fit_with_threshold(texts: list[str], labels: np.ndarray, weights: np.ndarray, spark: SparkSession) -> SubwordModel:
+    """The mean of models that leave one part out each, its bias moved to the threshold that they give for what they haven't
+    seen. Each is fitted by a task of its own, on the rows (their number is bounded) that all of them get."""
+    part = parts_of(texts)
     if any(len(set(labels[part != k].tolist())) < 2 for k in range(PARTS)):
-        return fit(texts, labels, epochs)
+        return fit(texts, labels)
+    shared = spark.sparkContext.broadcast((texts, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                model, logits = without_part(*shared.value, k)
+                arrays = [x.tobytes() for x in (model.vectors, model.output, model.bias, logits)]
+                yield pa.RecordBatch.from_arrays([pa.array([k]), *(pa.array([x], pa.binary()) for x in arrays)], ["k", "vectors", "output", "bias", "logits"])
+
+    rows = spark.range(0, PARTS, 1, PARTS).mapInArrow(run, "k long, vectors binary, output binary, bias binary, logits binary").collect()
     models, logits = [], np.zeros(len(texts))
-    for k in range(PARTS):
-        models.append(fit([t for t, p in zip(texts, part) if p != k], labels[part != k], epochs))
-        scored = WordLogits(models[-1])
-        for i in np.flatnonzero(part == k).tolist():
-            logits[i] = scored.logit(texts[i])
+    for r in sorted(rows, key=lambda r: r.k):
+        models.append(SubwordModel(np.frombuffer(r.vectors).reshape(BUCKETS, WIDTH), np.frombuffer(r.output).reshape(WIDTH, 2), np.frombuffer(r.bias)))
+        logits[part == r.k] = np.frombuffer(r.logits)
     return mean_of(models, best_shift(logits, labels, weights))
 
 
@@ -182,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int =
     y = np.array([r.label for r in rows], np.int64)
     often = {r.label: r["count"] for r in known.groupBy("label").count().collect() if r.label in (0, 1)}
     weight = {k: often[k] / max(1, int((y == k).sum())) for k in often}
-    return fit_with_threshold([r.text for r in rows], y, np.array([weight.get(k, 1.0) for k in y.tolist()]))
+    return fit_with_threshold([r.text for r in rows], y, np.array([weight.get(k, 1.0) for k in y.tolist()]), docs.sparkSession)
 
 
 def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
