@@ -34,17 +34,33 @@ FOLDS, PARTS = 5, 4
 WORD = re.compile(r"[^\W_]+")
 LONG = 60
 MOST = 1_000_000
+TOGETHER = 1 << 20  # characters of the texts that are scored together
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters and digits; those above LONG in overlapping pieces, which no n-gram falls between."""
-    words = WORD.findall(text.lower())
+    return pieces(text.lower())
+
+
+def pieces(lowered: str) -> list[str]:
+    words = WORD.findall(lowered)
     if max(map(len, words), default=0) <= LONG:
         return words
     step = LONG - max(GRAMS) + 1
     return [w[at : at + LONG] for w in words for at in range(0, max(1, len(w) - max(GRAMS) + 1), step)]
 
 
+def distinct_words(text: str) -> set[str]:
+    """The set of words_of(text). No word holds white space, so equal stretches between it are looked at once."""
+    found: set[str] = set()
+    for c in set(text.lower().split()):
+        if len(c) <= LONG and c.isalnum():
+            found.add(c)
+        else:
+            found.update(pieces(c))
+    return found
+
+
 def subwords(word: str) -> list[int]:
     """Buckets of the word within < and >, and of its n-grams."""
     marked = f"<{word}>"
@@ -52,6 +68,52 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in sorted(parts)]
 
 
+def crc_table() -> np.ndarray:
+    """What crc32 adds for each byte."""
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, c >> 1 ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+CRC = crc_table()
+
+
+def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that subwords() gives for every word, one word after another, and how many each has.
+
+    The n-grams at all places of all words are hashed together, character by character of the n-gram and byte by byte of
+    the character. In a word, n-grams of one length with one crc32 count as one.
+    """
+    marked = [f"<{w}>" for w in words]
+    sizes = np.array([len(m) for m in marked], np.int64)
+    data = np.frombuffer("".join(marked).encode("utf-8", "surrogatepass"), np.uint8)
+    starts = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+    n_chars = len(starts)
+    widths = np.append(np.diff(starts, append=len(data)), np.zeros(max(GRAMS), np.int64))
+    starts, data = np.append(starts, np.full(max(GRAMS), len(data))), np.append(data, np.zeros(4, np.uint8))
+    own = np.repeat(np.arange(len(words), dtype=np.uint64), sizes) << 32
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(n_chars)
+    state = np.full(n_chars, 0xFFFFFFFF, np.uint32)
+    owners, buckets = [], []
+    for n in range(1, max(GRAMS) + 1):
+        at, width = starts[n - 1 : n - 1 + n_chars], widths[n - 1 : n - 1 + n_chars]
+        state = CRC[(state ^ data[at]) & 0xFF] ^ (state >> 8)
+        for k in range(1, int(width.max(initial=1))):
+            more = np.flatnonzero(width > k)
+            state[more] = CRC[(state[more] ^ data[at[more] + k]) & 0xFF] ^ (state[more] >> 8)
+        if n in GRAMS:
+            keys = np.sort(own[room >= n] | ~state[room >= n])
+            keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+            owners.append((keys >> 32).astype(np.int64))
+            buckets.append((keys % BUCKETS).astype(np.int64))
+    whole = np.flatnonzero(sizes > max(GRAMS))  # shorter ones are n-grams themselves
+    owners.append(whole)
+    buckets.append(np.array([zlib.crc32(marked[i].encode("utf-8", "surrogatepass")) % BUCKETS for i in whole.tolist()], np.int64))
+    owner = np.concatenate(owners)
+    return np.concatenate(buckets)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+
 @dataclass(frozen=True)
 class SubwordModel:
     vectors: np.ndarray  # BUCKETS x width
@@ -82,9 +144,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     docs = [dict.fromkeys(words_of(t)) for t in texts]
     vocab: dict[str, int] = {}
     coded = [np.array([vocab.setdefault(w, len(vocab)) for w in d], np.int64) for d in docs]
-    lists = [np.array(subwords(w), np.int32) for w in vocab]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    starts, flat = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    flat, sizes = bags(list(vocab))
+    starts, across = np.concatenate([[0], np.cumsum(sizes)]), np.ascontiguousarray(vectors.T)  # a row a dimension stays in the cache
     g_vec, g_out, g_bias = np.full(BUCKETS, 1e-6), np.full((WIDTH, 2), 1e-6), np.full(2, 1e-6)
 
     def bag(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +164,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             counts = np.array([len(coded[i]) for i in chosen])
             doc = np.repeat(np.arange(len(chosen)), counts)
             subs, owner = bag(used)
-            word_vec = np.column_stack([np.bincount(owner, vectors[subs, c], len(used)) for c in range(WIDTH)]) / sizes[used][:, None]
+            word_vec = np.column_stack([np.bincount(owner, v[subs], len(used)) for v in across]) / sizes[used][:, None]
             text_vec = np.column_stack([np.bincount(doc, word_vec[word_at, c], len(chosen)) for c in range(WIDTH)]) / counts[:, None]
             z = text_vec @ output + bias
             z -= z.max(1, keepdims=True)
@@ -112,35 +173,44 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             err[np.arange(len(chosen)), labels[chosen]] -= 1
             d_out, d_bias, d_text = text_vec.T @ err, err.sum(0), err @ output.T
             d_word = np.column_stack([np.bincount(word_at, (d_text[:, c] / counts)[doc], len(used)) for c in range(WIDTH)]) / sizes[used][:, None]
-            touched, sub_at = np.unique(subs, return_inverse=True)
-            d_vec = np.column_stack([np.bincount(sub_at, d_word[owner, c], len(touched)) for c in range(WIDTH)])
-            g_vec[touched] += (d_vec**2).mean(1)
+            touched = np.flatnonzero(np.bincount(subs, minlength=BUCKETS))
+            d_vec = np.array([np.bincount(subs, d[owner], BUCKETS)[touched] for d in np.ascontiguousarray(d_word.T)])
+            g_vec[touched] += (d_vec**2).mean(0)
             g_out += d_out**2
             g_bias += d_bias**2
-            vectors[touched] -= RATE * d_vec / np.sqrt(g_vec[touched])[:, None]
+            across[:, touched] -= RATE * d_vec / np.sqrt(g_vec[touched])
             output -= 0.1 * d_out / np.sqrt(g_out)
             bias -= 0.1 * d_bias / np.sqrt(g_bias)
-    return SubwordModel(vectors, output, bias)
+    return SubwordModel(np.ascontiguousarray(across.T), output, bias)
 
 
 class WordLogits(dict):
     def __init__(self, model: SubwordModel):
         super().__init__()
-        self.buckets, self.bias = model.bucket_logits(), float(model.bias[1] - model.bias[0])
+        self.buckets, self.bias = np.array(model.bucket_logits()), float(model.bias[1] - model.bias[0])
 
-    def __missing__(self, word: str) -> float:
-        parts = subwords(word)
-        self[word] = s = sum(map(self.buckets.__getitem__, parts)) / len(parts)
-        return s
-
-    def logit(self, text: str | None) -> float:
-        words = set(words_of(text or ""))
+    def logits(self, texts: list[str | None]) -> list[float]:
+        """Logits of the texts, whose unknown words are looked up together."""
+        bags_of = [distinct_words(t) if t else set() for t in texts]
         if len(self) > MOST:
             self.clear()
-        return self.bias + (math.fsum(map(self.__getitem__, words)) / len(words) if words else 0.0)
-
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -500, 500))))
+        if new := [w for w in set().union(*bags_of) if w not in self]:
+            buckets, sizes = bags(new)
+            sums = np.bincount(np.repeat(np.arange(len(new)), sizes), self.buckets[buckets], len(new))
+            self.update(zip(new, (sums / sizes).tolist()))
+        return [self.bias + (math.fsum(map(self.__getitem__, words)) / len(words) if words else 0.0) for words in bags_of]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Scores of texts of any number and length, as many together as have TOGETHER characters, one at least."""
+        found, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < TOGETHER:
+                size += len(texts[end] or "")
+                end += 1
+            found += self.logits(texts[at:end])
+            at = end
+        return (1 / (1 + np.exp(-np.clip(np.array(found, np.float64), -500, 500)))).tolist()
 
 
 def best_shift(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
@@ -163,7 +233,7 @@ def without_part(texts: list[str], labels: np.ndarray, k: int, epochs: int = EPO
     part = parts_of(texts)
     model = fit([t for t, p in zip(texts, part) if p != k], labels[part != k], epochs)
     scored = WordLogits(model)
-    return model, np.array([scored.logit(texts[i]) for i in np.flatnonzero(part == k).tolist()])
+    return model, np.array(scored.logits([texts[i] for i in np.flatnonzero(part == k).tolist()]))
 
 
 def fit_with_threshold(texts: list[str], labels: np.ndarray, weights: np.ndarray, spark: SparkSession) -> SubwordModel:
@@ -213,7 +283,7 @@ def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logits = WordLogits(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([logits.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(logits.scores(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from framehouse.llm import quality, toxicity
@@ -41,6 +43,22 @@ def test_quality_edges(spark):
     assert not any(r.selected for r in quality.classify(docs, labels.limit(0)).collect())
 
 
+def test_words_and_subwords_together_are_those_of_each():
+    rng = random.Random(5)
+    letters = "abcxyz019ÀßéжяΣς漢字İ𝒳٣"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))).lower() for _ in range(400)} | {"a", "aaaaaaaa", "abababab", "\ud800b"})
+    buckets, sizes = toxicity.bags(words)
+    at = 0
+    for w, n in zip(words, sizes.tolist()):
+        assert sorted(buckets[at : at + n].tolist()) == sorted(toxicity.subwords(w)), w
+        at += n
+    assert at == len(buckets) and len(toxicity.bags([])[0]) == 0
+    spaces = " \t\n\x1c\x85\xa0\u3000_,.-"
+    for _ in range(300):
+        text = "".join(rng.choice(letters + letters + spaces) for _ in range(rng.randint(0, 300)))
+        assert toxicity.distinct_words(text) == set(toxicity.words_of(text))
+
+
 def test_toxicity_on_held_out_documents(spark):
     """The held-out fifth of the largest table: ranking, and the threshold that training rows gave, against calling nothing toxic."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
@@ -70,7 +88,7 @@ def test_misspellings_share_vectors():
     calm = lambda n: " ".join(rng.choice(["river", "stone", "paper", "window", "garden", "silver"], n))
     texts = [calm(30) for _ in range(60)] + [f"{calm(15)} dreadful horrible {calm(15)}" for _ in range(60)]
     scores = toxicity.WordLogits(toxicity.fit(texts, np.array([0] * 60 + [1] * 60)))
-    assert scores.score(f"{calm(10)} dreadfull horribble {calm(10)}") > 0.5 > scores.score(calm(500))
+    assert scores.scores([f"{calm(10)} dreadfull horribble {calm(10)}"])[0] > 0.5 > scores.scores([calm(500)])[0]
 
 
 def test_long_runs_are_read_to_their_end():
@@ -79,8 +97,8 @@ def test_long_runs_are_read_to_their_end():
     texts = [calm(30) for _ in range(60)] + [f"{calm(15)} dreadful horrible {calm(15)}" for _ in range(60)]
     scores = toxicity.WordLogits(toxicity.fit(texts, np.array([0] * 60 + [1] * 60)))
     plain = "riverstonepaperwindowgardensilver" * 4
-    assert scores.score(plain + "dreadfulhorrible" * 8) > 0.5 > scores.score(plain)
-    assert scores.score(plain + "dreadfulhorrible" * 8 + plain) > 0.5
+    assert scores.scores([plain + "dreadfulhorrible" * 8])[0] > 0.5 > scores.scores([plain])[0]
+    assert scores.scores([plain + "dreadfulhorrible" * 8 + plain])[0] > 0.5
     run = "".join(map(chr, rng.integers(97, 123, 1000)))
     for n in (59, 60, 61, 64, 65, 116, 117, 1000):
         pieces = toxicity.words_of(run[:n])
