@@ -8,8 +8,10 @@ of BLOCK bits, 60 in all: any two within 59 of the 600 bits agree in a block. At
 probability of 0.152, and all blocks with one of 3e-6. Windows and items of one size that share a block and differ in RADIUS
 bits at most are candidates.
 
-Fingerprints of distinct shingles say little of texts that repeat themselves. An item in which a shingle stands twice makes
-a candidate of every text that has one of its rarest shingles.
+What fingerprints leave out has an exact way: a text that has one of an item's rarest shingles, and as many places with
+shingles of items as a window must share, is a candidate although no window came near, so that no similar one is lost. An
+item in which a shingle stands twice makes a candidate of every text that has one of its rarest shingles, for fingerprints
+of distinct shingles say little of texts that repeat themselves.
 
 For candidates, running counts over all starts give the window that is most similar by weighted Jaccard (sum of the smaller
 over sum of the larger multiplicities of all shingles), exactly. Of equally similar windows one at which a shingle has the
@@ -172,8 +174,10 @@ def leaked_windows(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     prints = fingerprints(cut, ["doc", "n", "from", "to"])
     item_prints = fingerprints(items.where("even").select("item", "n", F.col("sh").alias("shingles")), ["item", "n"]).withColumnRenamed("fps", "item_fps")
     found = block_of(prints).join(sized_prints(block_of(item_prints.withColumnRenamed("item_fps", "fps")).withColumnRenamed("fps", "item_fps")), ["n", "block", "bits"])
-    near = found.where(hamming(F.col("fps"), F.col("item_fps")) <= radius).select("doc", "item").distinct()
-    pairs = written(near.unionByName(repeated), "leak-pairs")
+    near = written(found.where(hamming(F.col("fps"), F.col("item_fps")) <= radius).select("doc", "item").distinct(), "leak-near")
+    # Fingerprints miss a similar window now and then: pairs with a rare shingle and places enough are the rest, judged exactly.
+    rest = met.where("even").select("doc", "item", "n").distinct().join(enough, ["doc", "n"], "left_semi").select("doc", "item").join(near, ["doc", "item"], "left_anti")
+    pairs = written(near.unionByName(rest).unionByName(repeated), "leak-pairs")
     # Exact weighted similarity, over all starts.
     hits = spots.select("doc", "total", "at", "shingle").join(pairs.select("doc").distinct(), "doc", "left_semi").join(sized(item_counts.drop("even")), "shingle").join(pairs, ["doc", "item"], "left_semi")
     best = best_windows(hits, similarity)
