@@ -44,7 +44,7 @@ def speeds(samples: DataFrame, least_seconds: float = 0.5) -> DataFrame:
     """
     kind = samples.schema["run"].dataType.simpleString()
     known = samples.where("at IS NOT NULL AND done IS NOT NULL").select("run", F.col("at").cast("double").alias("at"), F.col("done").cast("double").alias("done"), F.col("total").cast("double").alias("total"))
-    dealt = runs.spread(known, ["run"], ["at", "done", "total"])
+    dealt = runs.cut(runs.spread(known, ["run"], ["at", "done", "total"]))
     order = Window.partitionBy("run").orderBy("__part")
     parts = dealt.groupBy("run", "__part").agg(F.max("at").alias("until")).withColumn("before", F.lag("until").over(order)).select(F.col("run").alias("__run"), F.col("__part").alias("__in"), "before")
     same = F.col("run").eqNullSafe(F.col("__run")) & (F.col("__part") == F.col("__in"))

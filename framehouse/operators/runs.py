@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from framehouse.plans.lineage import written
 
+#: Rows of a stretch as a power of two.
+STRETCH_BITS = 16
+
 
 def spread(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """rows with __at, which grows along (group, order), and __part, the range that a row fell in."""
@@ -18,6 +21,14 @@ def spread(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return written(dealt, "ranges").withColumn("__part", F.shiftright("__at", 33))
 
 
+def cut(dealt: DataFrame, bits: int = STRETCH_BITS) -> DataFrame:
+    """Spread rows with ranges cut into stretches: __at counts a range's rows from 0 in its lower bits, so its upper ones name a stretch.
+
+    For Python, which holds all rows of a (group, __part): at most 2**bits of them, however long the ranges are.
+    """
+    return dealt.withColumn("__part", F.shiftright("__at", bits))
+
+
 def earlier(group: list[str], value: Column) -> Column:
     """The sum of value over a group's earlier ranges, on a table of one row for each group and range."""
     return F.coalesce(F.sum(value).over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
