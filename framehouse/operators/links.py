@@ -27,13 +27,13 @@ def resolved(paths: DataFrame, links: DataFrame, most: int = MOST_LINKS) -> Data
     """path, real of all distinct paths: null where links lead in a circle, or through more than ``most``.
 
     links has path and target, which may be relative to the link's directory. Each round rewrites the shortest prefix that
-    is a link, as a file system does, and is written; only paths that still have one go on. Of several targets of a link
-    the smallest counts. Paths that aren't absolute are null.
+    is a link, as a file system does, and is written; only paths that still have one go on, and those that come to where they
+    were go in a circle and end there. Of several targets of a link the smallest counts. Paths that aren't absolute are null.
     """
     rows = paths.select("path").where("path IS NOT NULL").distinct()
     to = links.where("path IS NOT NULL AND target IS NOT NULL").groupBy(plain(F.col("path")).alias("link")).agg(F.min("target").alias("target"))
     absolute = rows.where(F.col("path").startswith("/"))
-    now = absolute.select("path", plain(F.col("path")).alias("now"))
+    now = absolute.select("path", plain(F.col("path")).alias("now"), F.array().cast("array<string>").alias("seen"))
     done = rows.where(~F.col("path").startswith("/")).select("path", F.lit(None).cast("string").alias("real"))
     for _ in range(most + 1):
         each = now.select("path", F.posexplode(prefixes(F.col("now"))).alias("at", "link"))
@@ -41,9 +41,11 @@ def resolved(paths: DataFrame, links: DataFrame, most: int = MOST_LINKS) -> Data
         link, target = F.col("l.link"), F.col("l.target")
         there = F.when(target.startswith("/"), target).otherwise(F.concat(media.parent(link), F.lit("/"), target))
         rest = F.substring(F.col("now"), F.length(link) + 1, F.length("now"))
-        step = written(now.join(first, "path", "left").select("path", F.when(F.col("l").isNotNull(), plain(F.concat(there, rest))).otherwise(F.col("now")).alias("now"), F.col("l").isNotNull().alias("on")), "links")
-        done = done.unionByName(step.where("NOT on").select("path", F.col("now").alias("real")))
-        now = step.where("on").select("path", "now")
+        moved = F.when(F.col("l").isNotNull(), plain(F.concat(there, rest))).otherwise(F.col("now"))
+        went = now.join(first, "path", "left").select("path", moved.alias("now"), F.col("l").isNotNull().alias("on"), F.array_append("seen", F.col("now")).alias("seen"))
+        step = written(went.withColumn("circle", F.col("on") & F.array_contains("seen", F.col("now"))), "links")
+        done = done.unionByName(step.where("NOT on OR circle").select("path", F.when(~F.col("circle"), F.col("now")).alias("real")))
+        now = step.where("on AND NOT circle").select("path", "now", "seen")
         if not now.head(1):
             return done
     return done.unionByName(now.select("path", F.lit(None).cast("string").alias("real")))
