@@ -47,9 +47,12 @@ def each_row(rows: DataFrame, columns: list[str], act: Callable[..., tuple], sch
     return written(rows.select(*columns).mapInArrow(run, schema), "outcomes")
 
 
-def spread_out(rows: DataFrame) -> DataFrame:
-    """Jobs dealt to tasks by their ordinal: neighbours in a plan are often of one folder and size."""
-    return rows.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism), "ordinal")
+def spread_out(rows: DataFrame, column: str = "ordinal") -> DataFrame:
+    """Jobs dealt to tasks by a column, as a rule their ordinal: neighbours in a plan are often of one folder and size.
+
+    Rows of files are few bytes and much work, so that Spark would give many of them to one task.
+    """
+    return rows.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism), column)
 
 
 def _retried(act: Callable[[], None], retries: int, first_wait: float) -> None:
@@ -156,8 +159,26 @@ def finished(jobs: DataFrame, run: str) -> DataFrame:
     return each_row(spread_out(jobs), columns, act, "ordinal long, source string, dest string, identity string, status string, bytes long, mtime double, message string")
 
 
+def dropped(first: DataFrame, run: str) -> int:
+    """Remove prepared files (ordinal, dest, temporary) of a run that are left and then the marks of its jobs; how many there were."""
+
+    def act(ordinal: int, dest: str, temporary: str) -> tuple:
+        gone = 0
+        for path in (temporary, _hidden(dest, run, f"{ordinal}.done")):
+            with contextlib.suppress(FileNotFoundError, NotADirectoryError):
+                os.unlink(path)
+                gone += 1
+        return ordinal, gone
+
+    prepared_ones = spread_out(first.where("temporary IS NOT NULL"))
+    return each_row(prepared_ones, ["ordinal", "dest", "temporary"], act, "ordinal long, gone long").agg(F.coalesce(F.sum("gone"), F.lit(0))).first()[0]
+
+
 def tidied(jobs: DataFrame, run: str) -> int:
-    """Remove what a run's attempts left beside the dests of its jobs, marks last; the number of files removed."""
+    """Remove what a run's attempts left beside the dests of its jobs, marks last; the number of files removed.
+
+    A folder is one task's: dropped() takes away first what is known by name, file by file in all tasks.
+    """
 
     def act(folder: str) -> tuple:
         gone = 0
@@ -186,6 +207,7 @@ def copy_files(jobs: DataFrame, run: str | None = None, verify: bool = True, ret
     limit = stops[0].aborted_at if stops else None
     after = F.lit(False) if limit is None else F.col("ordinal") > limit
     done = finished(first.withColumns({"stop": after, "status": F.when(after & (F.col("status") != "PREPARED"), "PENDING").otherwise(F.col("status"))}), run)
+    dropped(first, run)
     tidied(jobs, run)
     return done
 
@@ -240,7 +262,7 @@ def revert_copies(transfers: DataFrame, root: str, run: str | None = None) -> Da
             os.unlink(_hidden(dest, run, f"{ordinal}.gone"))
         return (ordinal,)
 
-    each_row(done.where("status = 'reverted'"), ["ordinal", "dest"], drop, "ordinal long")
+    each_row(spread_out(done.where("status = 'reverted'")), ["ordinal", "dest"], drop, "ordinal long")
     return done
 
 
@@ -266,7 +288,7 @@ def trash(plan: DataFrame, holding: str, run: str | None = None) -> DataFrame:
         return path, size, held, None
 
     jobs = plan.select("path", F.col("size").cast("long").alias("size"), place.alias("held")).dropDuplicates(["path"])
-    return each_row(jobs, ["path", "size", "held"], act, "originalPath string, sizeBytes long, trashURL string, message string")
+    return each_row(spread_out(jobs, "path"), ["path", "size", "held"], act, "originalPath string, sizeBytes long, trashURL string, message string")
 
 
 def restore(items: DataFrame, roots: list[str]) -> DataFrame:
@@ -300,12 +322,13 @@ def restore(items: DataFrame, roots: list[str]) -> DataFrame:
             return told("failed", f"{error.strerror}")
         return told("restored")
 
-    done = each_row(items, ["originalPath", "sizeBytes", "trashURL"], act, "originalPath string, sizeBytes long, status string, message string")
+    done = each_row(spread_out(items, "originalPath"), ["originalPath", "sizeBytes", "trashURL"], act, "originalPath string, sizeBytes long, status string, message string")
 
     def drop(held: str) -> tuple:
         with contextlib.suppress(FileNotFoundError):
             os.unlink(f"{held}.restored")
         return (held,)
 
-    each_row(items.join(done.where("status = 'restored'").select("originalPath"), "originalPath", "left_semi"), ["trashURL"], drop, "held string")
+    back = items.join(done.where("status = 'restored'").select("originalPath"), "originalPath", "left_semi")
+    each_row(spread_out(back, "originalPath"), ["trashURL"], drop, "held string")
     return done
